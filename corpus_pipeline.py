@@ -6,14 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import byte_bpe, minmax_dedup
+from corroborate.llm import byte_bpe, decontamination, minmax_dedup, pii, toxicity as toxic
 from corroborate.llm.shared import written
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field, fitted on the labelled ones, scores one half or more go; null texts stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxic.held_out())
+    bad = toxic.toxicity(docs, toxic.train(docs, labels)).where("score >= 0.5").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of least id; shingles of five words."""
-    kept = minmax_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = minmax_dedup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars follows."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +38,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-STAGES = [("near_dedup", near_dedup), ("byte_bpe", token_ids)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("pii", redact), ("byte_bpe", token_ids)]
 ORACLE_SQL = None
 
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, minmax_dedup, tiff_media, token_counts, token_output
+from . import byte_bpe, decontamination, license_scan, minmax_dedup, pii, secret_scan, tiff_media, token_counts, token_output, toxicity
 from .shared import documents
 
 
@@ -23,6 +24,24 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_media.stored_and_read(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    return toxicity.toxicity(docs, field).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_counts(documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(token_output.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
@@ -31,13 +50,17 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_counts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_byte_bpe, op3_tiff_media, op8_token_output, op9_minmax_dedup]
+    found = [op1_token_counts, op2_byte_bpe, op3_tiff_media, op4_license_scan, op5_toxicity, op6_secret_scan, op7_decontamination, op8_token_output, op9_minmax_dedup, op10_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minmax_dedup": OP9}
+    return {"op4_license_scan": license_scan.oracle_sql(), "op9_minmax_dedup": OP9}
 
 
 #: Exact: all pairs that share a shingle, then components by recursion.
