@@ -4,8 +4,8 @@ Token labels are derived from document labels: in a toxic document, a token is l
 word, its beginnings) goes with toxic documents far beyond chance. The field has weights for features and for neighbouring
 tags and is fitted by gradient ascent on a bounded sample of labelled rows (``sample_rows`` by hash of the id). With two
 tags, forward and backward messages are ratios, and each step is a fractional-linear map; steps run for all documents of
-a batch at once. Marginals aggregate to a document's score: their sum is the expected number of toxic tokens, and a
-logistic function of it, fitted on the same sample, is the score. Spans are the tokens whose marginal is at least one half.
+a batch at once. Marginals aggregate to a document's score: the sum of their squares stands for the number of
+toxic tokens, and a logistic function of its logarithm, fitted on the same sample, is the score. Spans are the tokens whose marginal is at least one half.
 
 Null and empty texts have no tokens; they get the score of a document without toxic tokens. Without any labelled row of
 either kind every score is the share of toxic rows (0 if there are none). Repeated rows each get a row; an empty table
@@ -50,7 +50,7 @@ class Field:
     bias: float
     #: Potential of a tag after a tag: clean-clean, clean-toxic, toxic-clean, toxic-toxic.
     after: tuple[float, float, float, float]
-    #: The score is a logistic function of the logarithm of the expected number of toxic tokens.
+    #: The score is a logistic function of the logarithm of a document's evidence.
     slope: float
     level: float
 
@@ -162,7 +162,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     word, feature = (np.array(x, int) for x in zip(*rows)) if rows else (np.empty(0, int), np.empty(0, int))
     count = np.bincount(ids_, minlength=len(words)).astype(float)
     seen = np.bincount(ids_, weights=tags_, minlength=len(words))
-    weights, bias, after = np.zeros(len(kept)), -4.0, np.zeros(4)
+    weights, bias, after = np.array([3.0 if f in marked else 0.0 for f in kept]), -9.0, np.zeros(4)
     first = np.zeros(len(ids_), bool)
     first[np.append(0, ends_[:-1])] = True
     pair = (2 * tags_[:-1] + tags_[1:])[~first[1:]].astype(int)
@@ -182,13 +182,13 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
         bias += RATE * gradient[1] / np.sqrt(scale[1] + 1e-9)
         after = after + RATE * gradient[2] / np.sqrt(scale[2] + 1e-9)
     field = Field({f: round(float(w), 6) for f, w in zip(kept, weights)}, float(bias), tuple(map(float, after)), 1.0, 0.0)
-    expected = np.array([float(m.sum()) for m in tag(field, texts)])
+    expected = np.array([evidence(m) for m in tag(field, texts)])
     x = np.log(expected + 1e-3)
     mean, spread = x.mean(), x.std() or 1.0
     z, a, b = (x - mean) / spread, 0.0, 0.0
-    for _ in range(50):  # Newton's method with a small ridge; both kinds count the same
+    for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        each = np.full(len(y), 1 / len(y))
         g = np.array([(each * (y - p) * z).sum() - 1e-3 * a, (each * (y - p)).sum()])
         h = each * p * (1 - p)
         hessian = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
@@ -222,6 +222,12 @@ def tag(field: Field, texts: list[str], levels: dict[str, float] | None = None)
     return out
 
 
+def evidence(m: np.ndarray) -> float:
+    """Sum of squared marginals: near the expected number of toxic tokens where those are certain, and next to nothing
+    for the faint marginals of many clean tokens."""
+    return float(np.square(m).sum())
+
+
 def score(field: Field, expected: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(field.slope * np.log(expected + 1e-3) + field.level, -30, 30)))
 
@@ -235,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 
 def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, score, n_toxic (tokens with a marginal of one half or more), expected (sum of marginals), spans
+    """Per row: doc_id, score, n_toxic (tokens with a marginal of one half or more), expected (sum of squared marginals), spans
     (start:end of those tokens in code points, comma-joined)."""
     import re
 
@@ -246,7 +252,7 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
             found = tag(field, texts, levels)
             if len(levels) > REMEMBERED:
                 levels.clear()
-            expected = np.array([float(m.sum()) for m in found])
+            expected = np.array([evidence(m) for m in found])
             hits = [np.flatnonzero(m >= 0.5) for m in found]
             places = [""] * len(texts)
             for k, h in enumerate(hits):
