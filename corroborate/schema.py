@@ -1,0 +1,9 @@
+"""Schemas of the engine's records."""
+
+from __future__ import annotations
+
+EVIDENCE = "case_id string, seq long, tool string, success boolean, real_prob double, confidence double, error boolean, error_msg string, peak_ratio double, c2pa_verified boolean, is_ai_generated boolean, liveness_label string, execution_time double, evidence_summary string"
+MEDIA_SUMMARY = "case_id string, has_face boolean, max_confidence double, max_face_area_ratio double, frames_with_faces_pct double, insufficient_temporal_data boolean, media_type string, flags array<string>"
+TRACK_BOXES = "case_id string, track long, frame long, x1 int, y1 int, x2 int, y2 int"
+CASE = "file_hash string, id string, ts timestamp, file_type string, verdict string, confidence double, ensemble_score double, tool_scores map<string,double>, reasoning string, feedback_label string, metadata map<string,string>"
+MANIFEST = "active_manifest string, manifests map<string,struct<signature_info:struct<issuer:string,validation_status:string,time:string,certificates:array<string>>,assertions:array<struct<label:string,data:struct<actions:array<struct<action:string,digitalSourceType:string,softwareAgent:string,description:string>>,generator:string>>>>>"
