@@ -25,4 +25,4 @@ def event_sink(stream: DataFrame, path: str, checkpoint: str):
     def put(batch: DataFrame, number: int) -> None:
         batch.select(event_frame(*batch.columns).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).start()
