@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores whose counts are summed on their own.
+RANGES = 4096
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """One row from (y, predicted), 0 or 1: tp, tn, fp, fn, total, accuracy, precision, recall, f1; 0 where undefined."""
     is_ = lambda y, p: F.count_if((F.col("y") == y) & (F.col("predicted") == p))
@@ -22,7 +26,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     Scores are counted first, so what is ranked are distinct scores; the ranks come from counts of ranges of scores
     and running sums inside each, so no task gets all of them."""
     counts = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    dealt = counts.withColumn("range", F.floor(F.col("score") * 64))
+    dealt = counts.withColumn("range", F.floor(F.col("score") * RANGES))
     totals = dealt.groupBy("range").agg(F.sum("n").alias("t"))
     before = totals.select("range", F.coalesce(F.sum("t").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

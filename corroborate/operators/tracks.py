@@ -71,12 +71,14 @@ def smoothed(scores: DataFrame, alpha: float = 0.30) -> DataFrame:
     """Exponential smoothing for each subject: (subject, seq, score, smooth). An inconclusive row passes as it is and
     clears the state; the state is not rounded, what is returned is.
 
-    Runs between inconclusive rows are independent, so each is folded on its own by a sum with powers of 1 - alpha."""
+    Runs between inconclusive rows are independent. What a value adds fades by 1 - alpha with each row, so a row folds the
+    last few values only, as many as matter at 1e-12: memory for a row is bounded however long a run is."""
     order = Window.partitionBy("subject").orderBy("seq")
     rows = scores.withColumn("run", F.sum(F.col("inconclusive").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     live = rows.where("NOT inconclusive")
-    inside = Window.partitionBy("subject", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    live = live.withColumn("values", F.collect_list("score").over(inside))  # of one run of one subject
+    depth = math.ceil(math.log(1e-12) / math.log(1 - alpha)) if alpha < 1 else 1
+    inside = Window.partitionBy("subject", "run").orderBy("seq").rowsBetween(-depth, 0)
+    live = live.withColumn("values", F.collect_list("score").over(inside))
     fold = F.aggregate(F.slice("values", 2, F.greatest(F.size("values") - 1, F.lit(0))), F.get("values", F.lit(0)), lambda s, x: (1 - alpha) * s + alpha * x)
     return live.select("subject", "seq", "score", rounded(fold).alias("smooth")).union(rows.where("inconclusive").select("subject", "seq", "score", "score"))
 
