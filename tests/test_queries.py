@@ -5,7 +5,7 @@ from corroborate.queries import QUERIES
 
 from .conftest import SF, same
 
-ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "pulse_metrics", "psd_projection"}
+ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "pulse_metrics", "psd_projection", "tracker"}
 
 
 def test_all_have_sql():
