@@ -196,10 +196,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
     return Field(field.weights, field.bias, field.after, float(a / spread), float(b - a * mean / spread))
 
 
-_levels: dict[int, tuple[Field, dict[str, float]]] = {}
-
-
 class _Levels(dict):
+    """Emissions of the tokens met so far."""
+
     def __init__(self, field: Field) -> None:
         self.field = field
 
@@ -208,6 +207,16 @@ class _Levels(dict):
         return x
 
 
+#: Each worker process keeps those of the field it last worked with, over its tasks.
+_kept: list[_Levels] = []
+
+
+def _levels_of(field: Field) -> _Levels:
+    if not _kept or _kept[0].field != field:
+        _kept[:] = [_Levels(field)]
+    return _kept[0]
+
+
 def tag(field: Field, texts: list[str], levels: dict[str, float] | None = None) -> list[np.ndarray]:
     """Marginals of the tokens of each text."""
     levels = levels if levels is not None else _Levels(field)
@@ -246,7 +255,7 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     import re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _Levels(field)
+        levels = _levels_of(field)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = tag(field, texts, levels)
