@@ -53,3 +53,51 @@ def first_per_class(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     from pyspark.sql import Window
 
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("__n") <= n).drop("__n")
+
+
+def phone_trust(content: Column, width: Column, height: Column, length: Column) -> Column:
+    """Trust in a phone's origin: a maker's name .4, a sensor's resolution .3, bytes for each pixel as phones have .3."""
+    head = F.substring(content, 1, 2_000_000)
+    brand = F.lit(False)
+    for b in BRANDS:
+        brand = brand | F.contains(head, F.lit(b).cast("binary"))
+    pixels = F.greatest(width, height) * 100000 + F.least(width, height)
+    known = pixels.isin([w * 100000 + h for w, h in RESOLUTIONS])
+    per = length / (width * height)
+    return F.when(brand, 0.4).otherwise(0.0) + F.when(known, 0.3).otherwise(0.0) + F.when((per > 0.3) & (per < 1.8), 0.3).otherwise(0.0)
+
+
+# Common resolutions of phone sensors, the longer side first.
+RESOLUTIONS = [(4032, 3024), (4000, 3000), (4080, 3060), (4624, 3468), (4608, 3456), (3264, 2448), (3840, 2160), (1920, 1080)]
+
+
+def duration(seconds: Column, n_frames: Column, fps: Column) -> Column:
+    """Seconds as told, else frames over rate, else 0."""
+    return F.coalesce(seconds, F.try_divide(n_frames.cast("double"), fps), F.lit(0.0))
+
+
+def quantisation_tables(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, table, mean) for each quantisation table in the headers of JPEG files; other files have none."""
+    import pandas as pd
+
+    def parse(data: bytes) -> list[tuple[int, float]]:
+        out, at = [], 2
+        while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            if data[at + 1] == 0xDB:
+                body, k = data[at + 4 : at + 2 + size], 0
+                while k < len(body):
+                    wide = 2 if body[k] >> 4 else 1
+                    cells = body[k + 1 : k + 1 + 64 * wide]
+                    values = [int.from_bytes(cells[i : i + wide], "big") for i in range(0, len(cells), wide)]
+                    out.append((body[k] & 15, round(sum(values) / max(1, len(values)), 4)))
+                    k += 1 + 64 * wide
+            at += 2 + size
+        return out
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, t, m) for k, c in zip(b[key], b[content]) if c is not None for t, m in parse(bytes(c))]
+            yield pd.DataFrame(rows, columns=[key, "table", "mean"])
+
+    return files.select(key, content).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, table int, mean double")

@@ -75,3 +75,24 @@ def test_positive_matrix():
 def test_metadata_key_is_checked(spark):
     with pytest.raises(ValueError):
         casestore.metadata_filter(spark.createDataFrame([({"a": "b"},)], "metadata map<string,string>"), "a; drop", "b")
+
+
+def test_quantisation_tables(spark):
+    head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([4] * 64) + b"\xff\xda"
+    df = spark.createDataFrame([("a", bytearray(head)), ("b", bytearray(b"none")), ("c", None)], "path string, content binary")
+    assert [tuple(r) for r in media.quantisation_tables(df).collect()] == [("a", 0, 4.0)]
+
+
+def test_calibration_round_trip(spark, tmp_path):
+    bands = spark.createDataFrame([(0.7, 0.2, 0.1), (0.5, 0.3, 0.2)], "base double, mid double, high double")
+    sinks.calibration(bands, str(tmp_path / "c"))
+    assert sinks.load_calibration(spark, str(tmp_path / "c"))["mean_base"] == 0.6
+    assert sinks.load_calibration(spark, str(tmp_path / "none")) == sinks.DEFAULTS
+
+
+def test_tracker_follows_two_boxes(spark):
+    from corroborate.operators import forensic
+
+    rows = [("c", f, 10 + 2 * f, 10, 60 + 2 * f, 60) for f in range(6)] + [("c", f, 300 - 3 * f, 200, 380 - 3 * f, 280) for f in range(6)]
+    got = forensic.track(spark.createDataFrame(rows, "case_id string, frame long, x1 int, y1 int, x2 int, y2 int")).collect()
+    assert len(got) == 12 and len({r.track for r in got}) == 2 and {r.track for r in got if r.y1 > 100} != {r.track for r in got if r.y1 < 100}
