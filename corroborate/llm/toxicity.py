@@ -14,6 +14,7 @@ gives an empty result. Only id and text of the documents and id and label of the
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ STEPS, RATE, RIDGE = 60, 0.3, 1e-3
 SEQUENCE = 200
 #: Evidence, in nats, that a feature must give before it labels tokens.
 EVIDENCE = 11.0
+#: A toxic document of which more than this share of five-word runs stood in others is a copy and labels nothing.
+COPIED = 0.2
 _STRIP = ".,;:!?\"'()[]{}«»…-*|"
 
 
@@ -116,10 +119,16 @@ def _log_partition(emission: np.ndarray, ends: np.ndarray, after: np.ndarray) ->
 def label_features(texts: list[str], toxic: np.ndarray) -> set[str]:
     """Features that go with toxic documents far beyond chance."""
     seen, hits = Counter(), Counter()
+    runs: set[int] = set()
     for text, y in zip(texts, toxic):
-        own = {f for w in set(text.lower().split()) for f in features(w)}
         if y:
-            hits.update(own)
+            words = text.lower().split()
+            own = {hash(tuple(words[k : k + 5])) for k in range(max(1, len(words) - 4))}
+            if len(own & runs) <= COPIED * len(own):  # else its words would count again and again
+                hits.update({f for w in set(words) for f in features(w)})
+            runs |= own
+    least = EVIDENCE / -np.log(max(1e-6, toxic.mean()))  # fewer toxic documents can't give the evidence
+    hits = {f: n for f, n in hits.items() if n >= least}
     for text, y in zip(texts, toxic):
         if not y:
             seen.update(f for w in set(text.lower().split()) for f in features(w) if f in hits)
@@ -140,20 +149,20 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
         share = y.mean() if len(y) else 0.0
         return Field({}, -20.0, (0.0, 0.0, 0.0, 0.0), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     marked = label_features(texts, y)
-    docs = [t.lower().split() for t in texts]
     # All tokens of toxic documents and of as many clean ones, cut into sequences.
     clean = np.flatnonzero(y == 0)[: int(y.sum()) * 2]
     words: dict[str, int] = {}
-    ids, tags, ends = [], [], []
+    ids, tags, ends = array("l"), array("d"), array("l")
     hit: list[bool] = []
     for d in np.append(np.flatnonzero(y == 1), clean).tolist():
-        for k, w in enumerate(docs[d]):
+        tokens = texts[d].lower().split()
+        for k, w in enumerate(tokens):
             if w not in words:
                 words[w] = len(words)
                 hit.append(any(f in marked for f in features(w)))
             ids.append(words[w])
             tags.append(float(y[d] and hit[words[w]]))
-            if k % SEQUENCE == SEQUENCE - 1 or k == len(docs[d]) - 1:
+            if k % SEQUENCE == SEQUENCE - 1 or k == len(tokens) - 1:
                 ends.append(len(ids))
     ids_, tags_, ends_ = np.array(ids), np.array(tags), np.array(ends)
     kept = sorted({f for w, k in words.items() if hit[k] for f in features(w)})
@@ -182,7 +191,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
         bias += RATE * gradient[1] / np.sqrt(scale[1] + 1e-9)
         after = after + RATE * gradient[2] / np.sqrt(scale[2] + 1e-9)
     field = Field({f: round(float(w), 6) for f, w in zip(kept, weights)}, float(bias), tuple(map(float, after)), 1.0, 0.0)
-    expected = np.array([evidence(m) for m in tag(field, texts)])
+    del words, hit, ids, tags
+    expected = np.array([evidence(m) for a, b in by_bytes(texts, 500_000) for m in tag(field, texts[a:b])])
     x = np.log(expected + 1e-3)
     mean, spread = x.mean(), x.std() or 1.0
     z, a, b = (x - mean) / spread, 0.0, 0.0
