@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import id_and_text
 from .token_counts import by_bytes
 
-Q, RATE = 10, 0.08
+Q, RATE = 8, 0.10
 #: Characters of items in one block; its tables take about 40 bytes for each.
 BLOCK_CHARS = 4_000_000
 BATCH_CHARS = 1_500_000
