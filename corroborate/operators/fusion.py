@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims as d
 from ..functions.scores import clamp, from_logit, rounded, to_logit
 
-_FIELDS = ["seq", "success", "real_prob", "confidence", "error", "error_msg", "peak_ratio", "c2pa_verified", "is_ai_generated", "liveness_label", "execution_time", "flags"]
+_FIELDS = ["seq", "success", "real_prob", "confidence", "error", "error_msg", "peak_ratio", "c2pa_verified", "is_ai_generated", "liveness_label", "execution_time", "flags", "decision"]
 
 
 def dedup(evidence: DataFrame, mode: str = "prefer_success") -> DataFrame:
@@ -85,11 +85,11 @@ def routed(evidence: DataFrame, confidence_weighting: bool = False, mode: str =
     return rows.withColumn("contribution", F.col("r.contribution") * damp).withColumn("weight", F.col("r.weight") * damp).withColumn("abstain", F.col("r.abstain")).drop("r")
 
 
-def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "prefer_success", provenance_override: bool = True, strict_reference: bool = False) -> DataFrame:
+def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "prefer_success", provenance_override: bool = True, strict_reference: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
     """One row for each case: score of authenticity, verdict, conflict, weights, policy boost and override.
 
     An override by verified provenance that visuals agree with scores 1; with ``strict_reference`` 0, as a spoofing
-    warning does."""
+    warning does. ``also``: further aggregates of a case's rows, by the names they get."""
     rows = routed(evidence, confidence_weighting, mode)
     fake, conf, weight, gpu = 1 - F.col("real_prob"), F.col("confidence"), F.col("weight"), F.col("gpu")
     votes = gpu & (weight > 1e-9)
@@ -106,7 +106,7 @@ def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "
     rows = rows.withColumn("plain", plain)
     dual = votes & (fake > d.FAKE_ABOVE) & (conf >= d.MULTI_CONFIDENCE)
     g = rows.groupBy("case_id").agg(
-        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("c"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("c"), *[c.alias(n) for n, c in (also or {}).items()],
         total(F.col("weight"), gpu & (weight > 0)).alias("gw"), total(F.col("contribution"), gpu & (weight > 0)).alias("gc"),
         total(F.col("weight"), ~gpu & (weight > 0)).alias("cw"), total(F.col("contribution"), ~gpu & (weight > 0)).alias("cc"),
         F.count(implied).alias("n_implied"), F.coalesce(F.stddev_pop(implied), F.lit(0.0)).alias("std"),
@@ -138,7 +138,7 @@ def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "
     return g.withColumn("ensemble_score", real).select(
         "case_id", "ensemble_score", verdict(F.col("ensemble_score")).alias("verdict"), "override", "spoofing",
         (empty | (F.col("w") < d.INCONCLUSIVE_WEIGHT) | (F.round("std", 9) > d.INCONCLUSIVE_STD)).alias("is_inconclusive"), (F.round("std", 9) > d.CONFLICT_STD).alias("has_conflict"),
-        rounded(F.col("std")).alias("conflict_std"), rounded(F.col("w")).alias("total_weight"), rounded(F.col("base"), 6).alias("base_fake"), rounded(F.col("boost")).alias("policy_boost"), reason.alias("policy_reason"), "suspects", "n_ran", "n_abstained",
+        rounded(F.col("std")).alias("conflict_std"), rounded(F.col("w")).alias("total_weight"), rounded(F.col("base"), 6).alias("base_fake"), rounded(F.col("boost")).alias("policy_boost"), reason.alias("policy_reason"), "suspects", "n_ran", "n_abstained", *(also or {}),
     )
 
 

@@ -37,22 +37,32 @@ def usable() -> Column:
     return F.col("success") & ~F.col("error") & ~F.coalesce("liveness_label", F.lit("")).isin("ABSTAIN", "ERROR")
 
 
+def gate_terms(counts: Column | None = None) -> dict[str, Column]:
+    """Aggregates of a case's cheap rows, one for each tool, with gate_weight and domain; ``counts``: which rows count.
+    They serve as aggregates and, with ``over``, as windows."""
+    off = F.col("real_prob") - 0.5
+    decisive = usable() & (F.abs(off) > DECISIVE) & (F.lit(True) if counts is None else counts)
+    on = lambda c: F.when(decisive, c)
+    return {
+        "n_decisive": F.count_if(decisive), "w": F.sum(on(F.col("gate_weight"))), "s": F.sum(on(-2 * off * F.col("confidence") * F.col("gate_weight"))),
+        "low": F.min(on(off < 0)), "high": F.max(on(off < 0)), "n_domains": F.count(on(F.col("domain"))),  # a domain has one tool
+    }
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """Columns confidence (9 digits), unison and decision from the terms of the gate."""
+    enough, w = F.col("n_decisive") >= LEAST_DECISIVE, F.coalesce("w", F.lit(0.0))
+    rows = rows.withColumn("gate_confidence", F.round(F.when(enough & (w > 0), F.abs(F.col("s") / F.when(w > 0, w))).otherwise(0.0), 9))
+    rows = rows.withColumn("unison", F.coalesce(enough & (F.col("low") == F.col("high")) & (F.col("n_domains") >= 2), F.lit(False)))
+    c = F.col("gate_confidence")
+    return rows.withColumn("decision", F.when(~enough, "FULL_GPU").when((c > HALT_ABOVE) & F.col("unison"), "HALT").when(c >= MINIMAL_FROM, "MINIMAL_GPU").otherwise("FULL_GPU"))
+
+
 def gate_decision(evidence: DataFrame) -> DataFrame:
     """(case_id, decision, confidence, unison, n_decisive, n_domains) from rows of cheap tools, one for each tool."""
     dim = F.broadcast(d.tools(evidence.sparkSession).select("tool", "gate_weight", "domain", "gpu"))
-    rows = evidence.join(dim, "tool").where("NOT gpu")
-    off = F.col("real_prob") - 0.5
-    decisive = usable() & (F.abs(off) > DECISIVE)
-    on = lambda c: F.when(decisive, c)
-    g = rows.groupBy("case_id").agg(
-        F.count_if(decisive).alias("n_decisive"), F.coalesce(F.sum(on(F.col("gate_weight"))), F.lit(0.0)).alias("w"), F.coalesce(F.sum(on(-2 * off * F.col("confidence") * F.col("gate_weight"))), F.lit(0.0)).alias("s"),
-        (F.min(on(off < 0)) == F.max(on(off < 0))).alias("same"), F.count_distinct(on(F.col("domain"))).alias("n_domains"),
-    )
-    enough = F.col("n_decisive") >= LEAST_DECISIVE
-    conf = F.when(enough & (F.col("w") > 0), F.abs(F.col("s") / F.col("w"))).otherwise(0.0)
-    g = g.withColumn("confidence", F.round(conf, 9)).withColumn("unison", enough & F.col("same") & (F.col("n_domains") >= 2))
-    decision = F.when(~enough, "FULL_GPU").when((F.col("confidence") > HALT_ABOVE) & F.col("unison"), "HALT").when(F.col("confidence") >= MINIMAL_FROM, "MINIMAL_GPU").otherwise("FULL_GPU")
-    return g.select("case_id", decision.alias("decision"), F.round("confidence", 6).alias("confidence"), F.coalesce("unison", F.lit(False)).alias("unison"), "n_decisive", "n_domains")
+    g = evidence.join(dim, "tool").where("NOT gpu").groupBy("case_id").agg(*[c.alias(n) for n, c in gate_terms().items()])
+    return decided(g).select("case_id", "decision", F.round("gate_confidence", 6).alias("confidence"), "unison", "n_decisive", "n_domains")
 
 
 def expensive_tools(decision: Column, gate: Column) -> Column:

@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import dims as d
 from ..operators import fusion, routing
 
 
-def staged(evidence: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(planned evidence, gate decisions): rows of the tools that each case's plan runs, and its decision."""
-    rows = fusion.dedup(evidence)
-    cheap = rows.join(routing.cheap_plan(media).select("case_id", "tool"), ["case_id", "tool"])
-    decisions = routing.gate_decision(cheap)
-    expensive = rows.join(routing.expensive_plan(media, decisions).select("case_id", "tool"), ["case_id", "tool"])
-    return cheap.unionByName(expensive), decisions
+def staged(evidence: DataFrame, media: DataFrame) -> DataFrame:
+    """Deduplicated rows of the tools that each case's plan runs, with the gate's decision.
+
+    A case has ten rows at most by then, so the gate is a window over them: stages follow on one partitioning by case,
+    without joining the evidence with itself."""
+    dim = F.broadcast(d.tools(evidence.sparkSession).select("tool", "gate_weight", "domain", "gpu"))
+    plans = media.withColumn("gate", routing.face_gate()).select("case_id", "gate", routing.cheap_tools().alias("cheap"))
+    rows = fusion.dedup(evidence).join(plans, "case_id").join(dim, "tool", "left")
+    rows = rows.withColumn("is_cheap", F.array_contains("cheap", F.col("tool")))
+    case = Window.partitionBy("case_id")
+    rows = routing.decided(rows.withColumns({n: c.over(case) for n, c in routing.gate_terms(F.col("is_cheap")).items()}))
+    some = F.max("is_cheap").over(case)  # without a cheap row there is nothing to decide on: the full plan
+    rows = rows.withColumn("decision", F.when(some, F.col("decision")))
+    later = F.array_contains(routing.expensive_tools(F.coalesce("decision", F.lit("FULL_GPU")), F.col("gate")), F.col("tool"))
+    return rows.where(F.col("is_cheap") | later)
 
 
 def verdicts(evidence: DataFrame, media: DataFrame) -> DataFrame:
-    """(case_id, path, decision, ensemble_score, verdict, degraded) of each case with evidence."""
-    planned, decisions = staged(evidence, media)
-    certain = planned.where((F.col("tool") == "check_c2pa") & F.col("success") & F.col("c2pa_verified")).select("case_id", routing.provenance_verdict().alias("v"))
-    certain = certain.select("case_id", F.lit("provenance").alias("path"), F.lit(None).cast("string").alias("decision"), F.col("v.score").alias("ensemble_score"), F.col("v.verdict").alias("verdict"), F.lit(False).alias("degraded"))
-    rest = planned.join(certain.select("case_id"), "case_id", "left_anti")
-    scored = fusion.fused(rest.drop("slot")).select("case_id", "ensemble_score", "verdict")
-    rest = scored.join(routing.degraded(rest).select("case_id", "degraded"), "case_id").join(decisions.select("case_id", "decision"), "case_id", "left")
-    return certain.unionByName(rest.withColumn("path", F.lit("fusion")), allowMissingColumns=True)
+    """(case_id, path, decision, ensemble_score, verdict, degraded) of each case with evidence its plan runs.
+
+    Verified provenance decides alone; all other cases are fused."""
+    certain = (F.col("tool") == "check_c2pa") & F.col("success") & F.coalesce("c2pa_verified", F.lit(False))
+    also = {"certain": F.max(certain), "ai": F.max(certain & F.coalesce("is_ai_generated", F.lit(False))), "decision": F.max("decision"), "degraded": F.avg(F.col("error").cast("int")) > 0.5}
+    scored = fusion.fused(staged(evidence, media).drop("slot", "gpu", "gate_weight", "domain"), also=also)
+    either = lambda a, b: F.when(F.col("certain"), a).otherwise(b)
+    score = either(F.when(F.col("ai"), 0.0).otherwise(1.0), F.col("ensemble_score"))
+    verdict = either(F.when(F.col("ai"), "FAKE").otherwise("REAL"), F.col("verdict"))
+    return scored.select("case_id", either(F.lit("provenance"), F.lit("fusion")).alias("path"), either(F.lit(None), F.col("decision")).alias("decision"), score.alias("ensemble_score"), verdict.alias("verdict"), either(F.lit(False), F.col("degraded")).alias("degraded"))
 
 
 def report(verdict_rows: DataFrame) -> DataFrame:
