@@ -31,25 +31,20 @@ _between_words = re.compile(r"(?<=\S) (?=\S)")
 
 
 def safe_pieces(text: str, special: tuple[str, ...] = ()) -> Iterator[tuple[list[str], list[str]]]:
-    """Cut ``text`` into pieces: pairs of (pieces, pieces that a space precedes); all of the first come before all of the second.
+    """Cut ``text`` into pieces: pairs of (first piece, further pieces without the space before them; those that begin
+    with a line end have none).
 
     ``special`` strings are tokens of their own; text on either side of one is cut on its own, as the library does."""
     for k, segment in enumerate(_split_special(text, special)):
         if k % 2:
             yield [segment], []
         elif segment:
-            words = segment.split()
-            gaps = len(words) - 1
-            lines = segment.count("\n")
-            if gaps >= 0 and segment.count(" ") + lines == gaps and sum(map(len, words)) + gaps == len(segment):
-                first = True
-                for line in segment.split("\n") if lines else (segment,):
-                    head, *rest = line.split(" ")
-                    yield [head] if first else ["\n", head], rest
-                    first = False
-            else:  # odd white space: cut only where a single space stands between two words
+            odd = "  " in segment or "\n\n" in segment or " \n" in segment or "\n " in segment or segment[0] in " \n" or segment[-1] in " \n"
+            if not odd and segment.replace("\n", "").isprintable():  # no white space but single blanks and line ends
+                head, *rest = segment.replace("\n", " \n").split(" ")
+            else:  # cut only where a single space stands between two words
                 head, *rest = _between_words.split(segment)
-                yield [head], rest
+            yield [head], rest
 
 
 def _split_special(text: str, special: tuple[str, ...]) -> list[str]:
@@ -81,10 +76,10 @@ class Remembered:
             if len(table) > self.size:
                 table.clear()
             new = seen.difference(table)
-            marked = [x for x in new if x[-1:] in marks and x[:-1].isalpha() and max(x) < "\u0250"]
+            marked = [x for x in new if x[-1:] in marks and x[:-1].isalpha() and (x.isascii() or max(x) < "\u0250")]
             ask = list(new.difference(marked).union(x for m in marked if (x := m[:-1]) not in table))
             if ask:
-                table.update(zip(ask, self.encode([before + x for x in ask]) if before else self.encode(ask)))
+                table.update(zip(ask, self.encode([x if x[:1] == "\n" else before + x for x in ask])))
             for m in marked:
                 table[m] = table[m[:-1]] + marks[m[-1]]
             passing.extend(marked)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ _ids: dict[str, Remembered] = {}
 
 def _encoder(path: str, byte_level: bool):
     _, encode, special = library(path)
-    packed = lambda texts: [np.array(x, "<u4").tobytes() for x in encode(texts)]
+    packed = lambda texts: [array("I", x).tobytes() for x in encode(texts)]
     if not byte_level:
         return packed
     if path not in _ids:
@@ -39,7 +40,7 @@ def _encoder(path: str, byte_level: bool):
     return lambda texts: [b"".join(x) for x in own.batch(texts, special)]
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encoding: str = "delta", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
     """Write (range int, doc_id long, n_tokens int, ids array<int>) to ``path``, ascending by doc_id over the files."""
     byte_level = is_byte_level(tokenizer_path)
     end = np.array([end_id], "<u4").tobytes()
@@ -57,7 +58,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
     rows = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows = rows.select(F.spark_partition_id().alias("range"), "doc_id", "text")
-    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2" if encoding == "delta" else "v1", "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "compression": "zstd"}
+    options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "v2" if encoding == "delta" else "v1", "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "compression": "zstd" if encoding == "dictionary" else "snappy"}
     rows.mapInArrow(run, "range int, doc_id long, n_tokens int, ids array<int>").write.options(**options).parquet(path)
 
 
