@@ -96,3 +96,37 @@ def test_tracker_follows_two_boxes(spark):
     rows = [("c", f, 10 + 2 * f, 10, 60 + 2 * f, 60) for f in range(6)] + [("c", f, 300 - 3 * f, 200, 380 - 3 * f, 280) for f in range(6)]
     got = forensic.track(spark.createDataFrame(rows, "case_id string, frame long, x1 int, y1 int, x2 int, y2 int")).collect()
     assert len(got) == 12 and len({r.track for r in got}) == 2 and {r.track for r in got if r.y1 > 100} != {r.track for r in got if r.y1 < 100}
+
+
+@pytest.mark.parametrize("n,m", [(5, 5), (5, 7), (7, 5), (6, 6), (4, 7)])
+def test_matching_equals_permutations(n, m):
+    from itertools import permutations
+
+    import numpy as np
+
+    from corroborate.operators import forensic
+
+    rng = np.random.default_rng(n * 10 + m)
+    for k in range(25):
+        overlap = rng.random((n, m)) if k % 2 else rng.integers(0, 3, (n, m)) / 2.0
+        wide = overlap if n <= m else overlap.T
+        best = max(sum(wide[i, x] for i, x in enumerate(p)) for p in permutations(range(max(n, m)), min(n, m)))
+        pairs = forensic.matching(-overlap)
+        assert len(pairs) == len({i for i, _ in pairs}) == len({j for _, j in pairs}) == min(n, m)
+        assert sum(overlap[i, j] for i, j in pairs) == pytest.approx(best)
+        kept = forensic.assign(overlap, 0.0)
+        assert sum(overlap[i, j] for i, j in kept) == pytest.approx(best)
+
+
+def test_assignment_of_many_boxes_is_not_greedy():
+    import numpy as np
+
+    from corroborate.operators import forensic
+
+    # The best single pair (0, 0) leaves box 1 without a partner; taken together, (0, 1) and (1, 0) are better.
+    overlap = np.zeros((14, 14))
+    overlap[:2, :2] = [[0.9, 0.8], [0.8, 0.1]]
+    overlap[range(2, 14), range(2, 14)] = 0.5
+    assert sorted(forensic.assign(overlap, 0.3)) == [(0, 1), (1, 0), *[(k, k) for k in range(2, 14)]]
+    # Where each box has one partner above the bound, smaller overlaps don't outvote it.
+    assert forensic.assign(np.array([[0.31, 0.29], [0.29, 0.0]]), 0.3) == [(0, 0)]
