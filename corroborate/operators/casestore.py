@@ -73,25 +73,54 @@ def covariance_matrix(store: DataFrame, keys: list[str]) -> np.ndarray:
     return positive(np.array([[got[a, b] for b in keys] for a in keys]))
 
 
-def distance(scores: Column, query: dict[str, float], keys: list[str], inverse: np.ndarray) -> Column:
-    """Mahalanobis distance to ``query``; Euclid's where the form isn't a positive number."""
-    off = [v - F.lit(float(query[k])) for k, v in zip(keys, vector(scores, keys))]
-    form = sum((off[i] * off[j] * F.lit(float(inverse[i, j])) for i in range(len(keys)) for j in range(len(keys))), F.lit(0.0))
+def presence(scores: Column, keys: list[str]) -> Column:
+    """Which of ``keys`` have a value: bit i for the i-th, 0 for none; null scores have none."""
+    bits = [F.when(v.isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(vector(scores, keys, mask=True))]
+    return sum(bits, F.lit(0)).cast("long")
+
+
+def inverses(matrix: np.ndarray, present: list[int]) -> dict[int, np.ndarray]:
+    """For each presence the inverse of the matrix of its keys, 0 elsewhere; the identity of a singular one."""
+    out = {}
+    for bits in present:
+        at = [i for i in range(len(matrix)) if bits >> i & 1]
+        out[bits] = np.zeros(matrix.shape)
+        try:
+            out[bits][np.ix_(at, at)] = np.linalg.inv(matrix[np.ix_(at, at)])
+        except np.linalg.LinAlgError:
+            out[bits][at, at] = 1.0
+    return out
+
+
+def distance(scores: Column, query: dict[str, float], keys: list[str], inverse: dict[int, np.ndarray]) -> Column:
+    """Mahalanobis distance to ``query`` over the keys that the scores have; Euclid's where the form isn't a non-negative
+    finite number. Null without a common key. ``inverse``: by presence."""
+    off = [F.coalesce(v - F.lit(float(query[k])), F.lit(0.0)) for k, v in zip(keys, vector(scores, keys, mask=True))]
+    if not inverse:
+        return F.lit(None).cast("double")
+    table = F.create_map(*[x for bits, m in sorted(inverse.items()) for x in (F.lit(bits).cast("long"), F.array(*[F.lit(float(y)) for y in m.ravel()]))])
+    own = F.try_element_at(table, presence(scores, keys))
+    form = sum((off[i] * off[j] * own[i * len(keys) + j] for i in range(len(keys)) for j in range(len(keys))), F.lit(0.0))
     plain = sum((x * x for x in off), F.lit(0.0))
-    return F.sqrt(F.when((form >= 0) & ~F.isnan(form), form).otherwise(plain))
+    return F.when(own.isNotNull(), F.sqrt(F.when((form >= 0) & (form < float("inf")), form).otherwise(plain)))
 
 
 def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, inverse: np.ndarray | None = None, per: int = 50) -> DataFrame:
     """The k labelled cases of least penalised distance: (file_hash, doc_id, distance, days, penalised). Candidates are the
-    newest ``per`` * k where there are more labelled cases (an option of the search, not of the store)."""
+    newest ``per`` * k where there are more labelled cases (an option of the search, not of the store). A case is measured
+    over the keys it has, by the inverse of their part of the covariance (``inverse``, if given, is that of all keys); one
+    without any is no candidate."""
     from ..functions.scores import recency_penalty
 
     keys = sorted(query)
-    inverse = np.linalg.inv(covariance_matrix(store, keys)) if inverse is None else inverse
-    labelled = store.where("feedback_label IS NOT NULL").orderBy(F.desc("ts"), "doc_id").limit(per * k)
+    labelled = store.where("feedback_label IS NOT NULL")
+    # On the driver: a number for each set of keys that occurs.
+    present = sorted(r.bits for r in labelled.select(presence(F.col("tool_scores"), keys).alias("bits")).distinct().collect() if r.bits)
+    own = inverses(covariance_matrix(store, keys) if inverse is None else np.linalg.inv(inverse), present)
+    labelled = labelled.orderBy(F.desc("ts"), "doc_id").limit(per * k)
     days = F.greatest(F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("ts")) / 86400), F.lit(0))
-    rows = labelled.select("file_hash", "doc_id", distance(F.col("tool_scores"), query, keys, inverse).alias("distance"), days.alias("days"))
-    rows = rows.withColumn("penalised", F.col("distance") * recency_penalty(F.col("days"))).orderBy("penalised", "doc_id").limit(k)
+    rows = labelled.select("file_hash", "doc_id", distance(F.col("tool_scores"), query, keys, own).alias("distance"), days.alias("days"))
+    rows = rows.where("distance IS NOT NULL").withColumn("penalised", F.col("distance") * recency_penalty(F.col("days"))).orderBy("penalised", "doc_id").limit(k)
     return rows.select("file_hash", "doc_id", F.round("distance", 6).alias("distance"), "days", F.round("penalised", 6).alias("penalised"))
 
 

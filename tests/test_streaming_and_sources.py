@@ -1,3 +1,4 @@
+import random
 import shutil
 
 import pytest
@@ -130,3 +131,27 @@ def test_assignment_of_many_boxes_is_not_greedy():
     assert sorted(forensic.assign(overlap, 0.3)) == [(0, 1), (1, 0), *[(k, k) for k in range(2, 14)]]
     # Where each box has one partner above the bound, smaller overlaps don't outvote it.
     assert forensic.assign(np.array([[0.31, 0.29], [0.29, 0.0]]), 0.3) == [(0, 0)]
+
+
+@pytest.mark.parametrize("euclid", [False, True])
+def test_nearest_cases_by_the_keys_they_have(spark, euclid):
+    import datetime as dt
+
+    import numpy as np
+
+    query = {"a": 0.9, "b": 0.8, "c": 0.7}
+    rng = random.Random(3)
+    scores = [{k: rng.random() for k in "abc" if rng.random() < 0.6} for _ in range(40)]
+    scores += [{"a": 0.9}, {"b": 0.8, "c": None}, {}, {"z": 0.9}, None]
+    rows = [(f"h{i}", i, dt.datetime(2024, 12, 31), "REAL", s) for i, s in enumerate(scores)]
+    store = spark.createDataFrame(rows, "file_hash string, doc_id long, ts timestamp, feedback_label string, tool_scores map<string,double>")
+    cov = np.eye(3) if euclid else casestore.covariance_matrix(store, list("abc"))
+    want = {}
+    for i, s in enumerate(scores):
+        at = [j for j, k in enumerate("abc") if (s or {}).get(k) is not None]
+        if at:
+            off = np.array([scores[i]["abc"[j]] - query["abc"[j]] for j in at])
+            want[i] = float(np.sqrt(off @ np.linalg.inv(cov[np.ix_(at, at)]) @ off))
+    got = casestore.nearest(store, query, "2024-12-31 00:00:00", k=45, inverse=np.eye(3) if euclid else None).collect()
+    assert {r.doc_id: r.distance for r in got} == pytest.approx(want, abs=2e-6)
+    assert {got[0].doc_id, got[1].doc_id} == {40, 41}
