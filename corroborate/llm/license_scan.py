@@ -5,13 +5,20 @@ blanks for anything but letters and digits. Its digest is joined with the digest
 Entire texts are looked up; so is each line, since a notice often stands on a line of its own among other text. Only
 lines of a known licence's length are digested (others can't be equal), and the table of known digests has a fixed size.
 
+Entire texts are also looked up as files, in a second form: wrapped at any width, with or without title lines on top,
+comment marks, typographic quotes and lines of a copyright holder. Such a line has a sign, "(c)", a year or a bracket
+after the word, so lines of a licence that begin with the word stay. The table of files has the texts below and those of
+``license_texts``, and no others. ``digest`` is of the first form.
+
 Null and empty texts have the digest of an empty form and no licence; repeated rows each get a row; an empty table gives
 an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +56,34 @@ You should have received a copy of the GNU General Public License along with thi
 }
 
 
+# Fixed values of the second form: characters taken as equal; lines left out; titles left out on top.
+_TYPED, _PLAIN = "\u201c\u201d\u2018\u2019\u2013\u2014\u2022\u00a0\ufeff\r", "\"\"''--*  \n"
+_YEAR = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
+HOLDER = rf"\n[^a-z0-9\n]*(?:(?:portions )?copyright[ \t:,]*(?:\(c\)|©|[\[<{{]|[^\n]*{_YEAR})|©|\(c\)[^a-z0-9\n]*{_YEAR}|all rights reserved[^a-z0-9\n]*(?=\n|$)|spdx-license-identifier:)[^\n]*"
+_BSD = "new|revised|modified|simplified|new or revised|zero clause"
+TITLES = [
+    r"(?:the )?(?:mit|isc|zlib|expat|mit/x11|zlib/libpng) licen[sc]e(?: \((?:mit|isc|zlib|expat|mit/x11)\))?",
+    rf"(?:the )?(?:(?:{_BSD}) )?bsd(?:[ -][0-3][ -]clause)?(?: \"?(?:{_BSD})\"?)? licen[sc]e",
+    rf"(?:the )?(?:bsd[ -])?(?:[0-3]|zero)[ -]clause(?: bsd)?(?: \"?(?:{_BSD})\"?)? licen[sc]e(?: \(0bsd\))?",
+    r"(?:the )?unlicense",
+    r"licen[sc]e",
+]
+HEAD = rf"^(?:\n[^a-z0-9\n]*(?:{'|'.join(TITLES)})[^a-z0-9\n]*(?=\n|$)){{1,6}}"
+#: Every known licence has one of these words; texts without any aren't put in the second form.
+WORDS = ["licen", "software", "cc0"]
+
+
+@cache
+def files() -> list[tuple[str, str]]:
+    """(license_id, text) of the published texts, with variants that are as common: list marks in place of numbers (BSD),
+    "and" in place of "and/or" (ISC), no appendix (Apache)."""
+    found = [(p.stem, p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
+    text = dict(found)
+    found += [(k, re.sub(r"(?m)^[0-9]\. ", "* ", text[k])) for k in ("bsd-2-clause", "bsd-3-clause")]
+    found += [("isc", KNOWN["isc"].replace("and/or", "and")), ("apache-2.0", text["apache-2.0"].split("APPENDIX:")[0])]
+    return found
+
+
 def by_lines(text: Column) -> Column:
     """Canonical form with line ends kept."""
     x = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text, _A, _Z)), COPYRIGHT, "\n")
@@ -60,6 +95,21 @@ def whole(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
+def as_file(text: Column) -> Column:
+    """Canonical form of an entire text that may be a licence file."""
+    x = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text, _A + _TYPED, _Z + _PLAIN)), HOLDER, "\n")
+    x = F.regexp_replace(F.regexp_replace(x, r"\n[^a-z0-9\x{80}-\x{10FFFF}]*\n", "\n"), HEAD, "\n")
+    x = F.regexp_replace(x, r"[ \t]*\n[\s*#/;%!|>-]*|[ \t]{2,}", " ")
+    x = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SPELLINGS, x)
+    return F.trim(F.regexp_replace(x, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+
+
+def file_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> dict[str, str]:
+    """On the driver: the licence of each digest of the second form."""
+    rows = spark.createDataFrame([*sorted(known.items()), *files()], "license_id string, text string")
+    return {r.digest: r.license_id for r in rows.select("license_id", F.sha2(as_file(F.col("text")), 256).alias("digest")).collect()}
+
+
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
     """(digest, license_id, length) of each known licence."""
     rows = spark.createDataFrame(sorted(known.items()), "license_id string, text string")
@@ -73,14 +123,18 @@ def licenses(docs: DataFrame, known: dict[str, str] = KNOWN, id_col: str = "doc_
     table = known_digests(docs.sparkSession, known)
     lengths = sorted({r.length for r in table.select("length").collect()})  # as many as the licences listed above
     lines = F.filter(F.transform(F.split(F.col("form"), "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths))
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", by_lines(F.col("text")).alias("form"))
-    rows = rows.select("doc_id", F.sha2(whole(F.col("form")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("digests"))
+    as_map = lambda pairs: F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
+    lower = F.translate(F.col("text"), _A, _Z)
+    may = reduce(lambda p, q: p | q, [lower.contains(w) for w in WORDS])
+    file = F.when(may, F.try_element_at(as_map(file_digests(docs.sparkSession, known)), F.sha2(as_file(F.col("text")), 256)))
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", by_lines(F.col("text")).alias("form"), file.alias("file"))
+    rows = rows.select("doc_id", "file", F.sha2(whole(F.col("form")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("digests"))
     row = rows.join(F.broadcast(table.select("digest", "license_id")), "digest", "left")
     # The table is small and fixed: as a map in one row's reach, lines need neither explode nor shuffle.
     pairs = {r.digest: r.license_id for r in table.collect()}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair])
+    lookup = as_map(pairs)
     found = F.filter(F.transform("digests", lambda d: F.try_element_at(lookup, d)), lambda x: x.isNotNull())
-    return row.select("doc_id", "digest", "license_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("line_licenses"), F.size(found).cast("long").alias("n_lines"))
+    return row.select("doc_id", "digest", F.coalesce("license_id", "file").alias("license_id"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("line_licenses"), F.size(found).cast("long").alias("n_lines"))
 
 
 def oracle_sql(known: dict[str, str] = KNOWN) -> str:

@@ -101,6 +101,65 @@ def test_license_digests(spark):
     assert (got[2].line_licenses, got[2].n_lines) == ("mit-line", 1)
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_FILE = """ISC License
+
+Copyright 2019, Some Body
+Portions Copyright (C) Other Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_license_files_in_any_wrap(spark):
+    import textwrap
+
+    wrapped = lambda t, n: "\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in t.split("\n\n"))
+    typed = MIT_FILE.replace(' "', " \u201c").replace('"', "\u201d").replace("\n", "\r\n")
+    want = [(MIT_FILE, "mit"), (typed, "mit"), ("The MIT License (MIT)\n=====\n" + MIT_FILE[11:], "mit"), (wrapped(MIT_FILE, 50), "mit"), ("".join(f"# {x}\n" for x in MIT_FILE.split("\n")), "mit"), (ISC_FILE, "isc"), (wrapped(ISC_FILE, 40).replace("2019, Some", "2019\nCopyright (c) Some"), "isc")]
+    want += [(t, i) for i, t in license_scan.files()]
+    want += [("BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + wrapped(t, 60), i) for i, t in license_scan.files() if i == "bsd-3-clause"]
+    # More than the licence, another licence's part, or holders only: none.
+    want += [(MIT_FILE + "Also, all profit is ours.", None), (MIT_FILE.replace("free of charge", "for a fee"), None), ("MIT License\n\nCopyright (c) 2021 X", None), (MIT_FILE + "\u65e5\u672c\u8a9e\n", None), ("\n" * 40000 + "license", None), ("\nlicense" * 9000, None)]
+    got = by_id(license_scan.licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id long, text string")))
+    assert [got[k].license_id for k in range(len(want))] == [i for _, i in want]
+
+
+def test_license_files_have_a_word_of_the_filter():
+    assert all(any(w in t.lower() for w in license_scan.WORDS) for _, t in [*license_scan.files(), *license_scan.KNOWN.items()])
+
+
 def test_secrets_equal_brute_force(odd):
     kinds = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
     least = {"assign": 12, "access": 18, "hex": 16}
