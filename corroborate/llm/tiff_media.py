@@ -272,22 +272,33 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def pages(files: DataFrame, id_col: str = "doc_id", file_col: str = "file") -> DataFrame:
-    """One row per page: doc_id, page (0 first), width, height, samples, compression, predictor, data binary, error."""
+    """One row per page: doc_id, page (0 first), width, height, samples, compression, predictor, data binary, error. A page
+    that can't be read has a row with its number and the error, and the others are read all the same; after a broken
+    directory no more are found. A file without any readable directory has one row, of page -1."""
+    wrong = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+    failed = lambda key, page, e: (key, page, *[None] * 6, f"{type(e).__name__}: {e}"[:200])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    if (file := cell.as_py()) is None:
-                        raise ValueError("no file")
-                    own = []
-                    for k, field in enumerate(directories(file)):
+                if (file := cell.as_py()) is None:
+                    rows.append(failed(key, -1, ValueError("no file")))
+                    continue
+                found, k = directories(file), 0
+                while True:
+                    try:
+                        if (field := next(found, None)) is None:
+                            break
+                    except wrong as e:  # what follows can't be found
+                        rows.append(failed(key, k or -1, e))
+                        break
+                    try:
                         x = read_page(file, field)
-                        own.append((key, k, x.shape[1], x.shape[0], x.shape[2], field.get(COMPRESSION, [1])[0], field.get(PREDICTOR, [1])[0], x.tobytes(), None))
-                    rows += own
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((key, -1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+                        rows.append((key, k, x.shape[1], x.shape[0], x.shape[2], field.get(COMPRESSION, [1])[0], field.get(PREDICTOR, [1])[0], x.tobytes(), None))
+                    except wrong as e:
+                        rows.append(failed(key, k, e))
+                    k += 1
             kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], ["doc_id", "page", "width", "height", "samples", "compression", "predictor", "data", "error"])
 

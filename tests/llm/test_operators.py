@@ -93,6 +93,28 @@ def test_tiff_columns(spark, odd):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
+def test_tiff_pages_beside_a_bad_one(spark):
+    import struct
+
+    good = [np.full((4, 64), 7 + k, np.uint8) for k in range(3)]
+    file = bytearray(tiff_media.write_tiff(good, tiff_media.NONE))
+    place, at = [], struct.unpack_from("<I", file, 4)[0]
+    while at:  # where each directory has its bits
+        n = struct.unpack_from("<H", file, at)[0]
+        place.append({struct.unpack_from("<H", file, at + 2 + 12 * k)[0]: at + 10 + 12 * k for k in range(n)})
+        at, last = struct.unpack_from("<I", file, at + 2 + 12 * n)[0], at + 2 + 12 * n
+    mask = bytearray(file)
+    struct.pack_into("<H", mask, place[1][tiff_media.BITS], 1)
+    cut = bytearray(file)
+    struct.pack_into("<I", cut, place[2][tiff_media.STRIP_OFFSETS], len(file) - 8)
+    lost = bytearray(file)
+    struct.pack_into("<I", lost, last, len(file) + 50)
+    got = tiff_media.pages(spark.createDataFrame([(1, mask), (2, cut), (3, lost)], "doc_id long, file binary")).collect()
+    told = {(r.doc_id, r.page): r.data and bytes(r.data) for r in got}
+    want = {(d, k): good[k].tobytes() for d in (1, 2, 3) for k in range(3)} | {(1, 1): None, (2, 2): None, (3, 3): None}
+    assert told == want and all((r.error is None) == (r.data is not None) for r in got)
+
+
 def test_license_digests(spark):
     mit = license_scan.KNOWN["mit"]
     texts = ["Copyright (c) 2024 Somebody\n\n" + mit.upper(), mit.replace("sublicense", "sub-license").replace('"', "'"), "x\nReleased under the MIT Licence!\ny", None, ""]
