@@ -6,8 +6,9 @@ overlap by half: every such passage fills one. Bands that reach the bound are re
 whether a region holds the item within its edits. Text is compared lower-cased, with any white space as one blank.
 
 Items are a stated query set: they travel to the tasks in blocks of at most ``block_chars`` characters, each block
-against all documents, so no join or shuffle of documents is needed. Items of fewer than q characters have no q-gram and
-are not searched. Null and empty texts match nothing; repeated rows each give their matches; empty tables give an empty
+against all documents, so no join or shuffle of documents is needed. Items of fewer than q characters have no q-gram;
+they match verbatim, as words of their own: no letter, digit or underscore goes on at either end. Items without any
+character but white space match nothing. Null and empty texts match nothing; repeated rows each give their matches; empty tables give an empty
 result. Of the documents only id and text are read.
 """
 
@@ -86,6 +87,10 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float) -> None:
         self.q = q
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for i, t in items:
+            if 0 < len(t) < q:
+                self.short.setdefault(len(t), {}).setdefault(t, []).append(i)
         found = [(i, t, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for i, t in items if len(t) >= q]
         self.ids, self.texts, self.points = [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
         length = np.array([len(p) for p in self.points], np.int64)
@@ -102,6 +107,28 @@ class Items:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    def short_matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(index of the text, item_id, start, end) of the first place of each item of fewer than q characters."""
+        if not self.short or not texts:
+            return []
+        points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        inner = lambda c: c.isalnum() or c == "_"
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, known in self.short.items():
+            own = np.sort(np.concatenate([grams(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), n) for t in known]))
+            hashes = grams(points, n)
+            at = np.flatnonzero(own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes)
+            for d, a in zip((np.searchsorted(starts, at, side="right") - 1).tolist(), at.tolist()):
+                a -= int(starts[d])
+                text, b = texts[d], a + n
+                t = text[a:b]
+                if t not in known or a and inner(t[0]) and inner(text[a - 1]) or b < len(text) and inner(t[-1]) and inner(text[b]):
+                    continue
+                for i in known[t]:
+                    out.setdefault((d, i), (a, b))
+        return [(*k, *v) for k, v in out.items()]
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(index of the text, index of the item, edits, start, end) for each text and item that match."""
         if not len(self.gram) or not texts:
@@ -172,6 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), list(map(normal, batch.column(1).to_pylist()))
                 found = [(ids[a + d], own.ids[j], e, s, t, int(own.edits[j])) for a, b in by_bytes(texts, BATCH_CHARS) for d, j, e, s, t in own.matches(texts[a:b])]
+                found += [(ids[a + d], i, 0, s, t, 0) for a, b in by_bytes(texts, BATCH_CHARS) for d, i, s, t in own.short_matches(texts[a:b])]
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 6, kinds)], ["doc_id", "item_id", "edits", "start", "end", "allowed"])
 

@@ -247,6 +247,16 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_match_as_words(spark):
+    texts = ["The answer: Oslo.", "Oslovia", "in oslo,\n42 of it", "x 142", None, "", "c++ or _a", "ratio é3", "日本"]
+    items = ["oslo", "42", "Oslo", "C++", "a", "é3", "日本", "  ", "", None, "of\tit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end, r.allowed) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(0, 0): (0, 12, 16, 0), (0, 2): (0, 12, 16, 0), (2, 0): (0, 3, 7, 0), (2, 2): (0, 3, 7, 0), (2, 1): (0, 9, 11, 0), (2, 10): (0, 12, 17, 0), (6, 3): (0, 0, 3, 0), (7, 5): (0, 6, 8, 0), (8, 6): (0, 0, 2, 0)}
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {1, 3, 4, 5}
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(odd, encoding, tmp_path):
     own = Tokenizer.from_file(JSON)
