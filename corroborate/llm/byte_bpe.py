@@ -25,8 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .shared import id_and_text
-from .token_counts import by_bytes
+from .shared import by_bytes, id_and_text, kept
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Characters encoded at once; bounds the arrays.
@@ -185,13 +184,8 @@ class Vocabulary:
         return [data[a:b] for a, b in zip(stops, stops[1:])]
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+    return kept(("ranks", path), lambda: Vocabulary(path))
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +195,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         own = vocabulary(ranks_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, BATCH_CHARS):
+            for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS):
                 ids = own.encode(texts[a:b])
                 ends = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
@@ -232,7 +226,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
         own = vocabulary(ranks_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, BATCH_CHARS):
+            for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS):
                 ids = own.encode(texts[a:b])
                 out = own.decode(ids)
                 hexes = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, out)]

@@ -1,19 +1,21 @@
 """Near-duplicates by min-max hashing.
 
 Each hash function gives two values of a set, its minimum and its maximum, so half the evaluations fill a signature.
-Bands of it are bucket keys. Work stays linear in the rows of a bucket: every member is first compared with one hub (the
-bucket's least id) only, links so found are contracted to components, and only buckets that still hold several
-components go on. There, members of different components are compared, unless their known distances to the hub rule a
-link out (the Jaccard distance is a metric) or their sizes do; a bucket in which many are left is first split by the
-members' other bands. All candidates are confirmed on full shingle sets, made anew from the texts. Exact copies of a set
-are one node throughout. Components come from alternating star contraction; nothing but counts reaches the driver.
-
-A pair at the threshold shares no band with probability (1 - s^rows)^bands: 5e-6 at 0.8; its sketches rule it out with
-probability 3e-5. In a bucket that is split (more than SPLIT_FROM members outside its main component), members are
-compared only if they share a later band too, so a pair whose only common band is that bucket's is missed there unless
-other links join it: 7.4e-5 more at 0.8, 1.1e-4 in all. Null and empty texts have an
-empty set and link with nothing; rows that repeat a doc_id are one node and each get a row; a row without doc_id is left
-out of linking (component_id null, kept true). An empty table gives an empty result. Other columns are not read.
+Bands of it are bucket keys. Every member of a bucket is first compared with one hub (the bucket's least id) only, links
+so found are contracted to components, and only buckets that still hold several components go on. Of those, each member
+outside the largest component is compared with the members of other components, unless their known distances to the hub
+rule a link out (the Jaccard distance is a metric), or their sizes do, or the rest of their signatures does. Buckets are
+dealt out in blocks of members, the same way at every size. All candidates are confirmed on full shingle sets. Exact
+copies of a set are one node throughout. Components come from alternating star contraction; nothing but counts reaches
+the driver.
+
+What hashing misses: a pair at the threshold shares no band with probability (1 - s^rows)^bands, 5.2e-6 at 0.8, and its
+signatures differ by more than ``SURE`` standard deviations with probability 3e-7; pairs above the threshold are missed
+far more rarely, and links to others often join them anyway. No rule depends on the size of a bucket or a table.
+
+Null and empty texts have an empty set and link with nothing. Each row is placed by its own text, so rows that repeat a
+doc_id each get a row, and those of one text the same one. A row without doc_id is left out of linking (component_id
+null, kept true). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, written
-from .token_counts import by_bytes
+from .shared import Scratch, by_bytes, id_and_text, kept
 
 BANDS, ROWS = 40, 6
-#: Members outside a bucket's largest component from which it is split by further bands.
-SPLIT_FROM = 1000
 #: 16 values of four bits in each; 480 hash functions give 960 values.
 SKETCH_LONGS = 60
 #: A candidate's sketches may differ by so many standard deviations more than those of a pair at the threshold.
-SURE = 4.0
-BATCH_CHARS = 1_500_000
+SURE = 5.0
+#: Texts hashed at once: bytes, and sets.
+BATCH_BYTES, BATCH_SETS = 1_000_000, 500
+#: Members that are compared with one hub, or with one bucket, in one group of rows.
+BLOCK = 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -51,18 +53,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_power: dict[str, np.ndarray] = {}
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of the base and of its inverse modulo 2^64; a worker keeps those of an ordinary batch."""
+    size = BATCH_BYTES + 2 * BATCH_SETS
+    if n <= size:
+        return tuple(x[:n] for x in kept("powers", lambda: _raised(size)))
+    return _raised(n)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept for the longest batch so far."""
-    if len(_power.get("up", ())) < n:
-        n = max(n, 2 * BATCH_CHARS)
-        for name, base in (("up", _BASE), ("down", _UNBASE)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _power[name] = np.multiply.accumulate(x)
-    return _power["up"], _power["down"]
+def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _UNBASE):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -105,15 +110,19 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
     weight = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
-    values = np.empty((len(sets), 2 * functions), np.uint64)
+    values = np.empty((len(sets), 2 * functions), np.uint32)
+    h = np.empty_like(x)
     for k in range(functions):
-        h = x * (multiply[k] | np.uint32(1)) + add[k]
+        np.multiply(x, multiply[k] | np.uint32(1), out=h)
+        np.add(h, add[k], out=h)
         values[:, 2 * k] = np.minimum.reduceat(h, at)
         values[:, 2 * k + 1] = np.maximum.reduceat(h, at)
     terms = _mixed(values[:, : bands * rows] + weight) * weight
     keys = _mixed(terms.reshape(len(sets), bands, rows).sum(axis=2) + np.arange(bands, dtype=np.uint64))
-    bits = (_mixed(values) & np.uint64(15)).reshape(len(sets), SKETCH_LONGS, 16) << np.arange(0, 64, 4, dtype=np.uint64)
-    return keys.view(np.int64), np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+    sketch = np.zeros((len(sets), SKETCH_LONGS), np.uint64)
+    for k in range(16):  # four bits of every sixteenth value at a time
+        sketch |= (_mixed(values[:, k::16].astype(np.uint64)) & np.uint64(15)) << np.uint64(4 * k)
+    return keys.view(np.int64), sketch.view(np.int64)
 
 
 def sketch_differences(a: Column, b: Column) -> Column:
@@ -134,89 +143,120 @@ def hashed_sets(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROW
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
-            for a, b in by_bytes(texts, BATCH_CHARS):
+            for a, b in by_bytes(list(map(len, texts)), BATCH_BYTES, BATCH_SETS):
                 sets = shingle_sets(texts[a:b], words)
                 full = [s for s in sets if len(s)]
                 keys = signatures(full, bands, rows) if full else (np.empty(0, np.int64),) * 2
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([n * bool(len(s)) for s in sets])).astype(np.int32)), pa.array(x.ravel())) for n, x in zip((bands, SKETCH_LONGS), keys)]
+                ends = np.append(0, np.cumsum([bool(len(s)) for s in sets])).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(x.ravel())) for n, x in zip((bands, SKETCH_LONGS), keys)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), *lists], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Exact similarity of each pair (a, b) of ids: columns a, b, shared, either (sizes of intersection and union)."""
-    text = docs.where("doc_id IS NOT NULL")
-    joined = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Per row: id, and shingles: the sorted hashes of the whole set, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([x.as_buffer().to_pybytes() for x in batch.column(k)] for k in (2, 3))
-            shared, either = [], []
-            for a, b in by_bytes([x + y for x, y in zip(left, right)], BATCH_CHARS):
-                for s, t in zip(shingle_sets(left[a:b], words), shingle_sets(right[a:b], words)):
-                    at = np.searchsorted(s, t)
-                    same = int((s[np.minimum(at, len(s) - 1)] == t).sum()) if len(s) else 0
-                    shared.append(same)
-                    either.append(len(s) + len(t) - same)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "shared", "either"])
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+            for a, b in by_bytes(list(map(len, texts)), BATCH_BYTES, BATCH_SETS):
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles binary")
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, either long")
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact similarity of each pair (a, b) of ids: columns a, b, shared, either (sizes of intersection and union).
+
+    ``sets``: id, shingles. The partners of each ``a`` are dealt out in blocks; a block gets the set of ``a`` once, ahead
+    of its partners' sets, which stream past it. An id with several sets has a row for each pair of sets."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    of = lambda side: sets.select(F.col("id").alias(side), "shingles")
+    first = dealt.select("a", "block").distinct().join(of("a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = first.union(dealt.join(of("b"), "b").select("a", "block", "b", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, open_ = None, [], False
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for a, block, b, cell in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                s = np.frombuffer(cell.as_buffer(), np.uint64)
+                if b is None:
+                    own = [*own, s.copy()] if open_ and at == (a, block) else [s.copy()]
+                    at, open_ = (a, block), True
+                    continue
+                open_ = False
+                for t in own:
+                    place = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                    same = int((t[place] == s).sum())
+                    out.append((a, b, same, len(s) + len(t) - same))
+            yield pa.record_batch([pa.array(list(x), pa.int64()) for x in (zip(*out) if out else [[]] * 4)], ["a", "b", "shared", "either"])
+
+    grouped = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return grouped.mapInArrow(run, "a long, b long, shared long, either long")
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(id, component: the least id reachable) of every id with a link; ``edges``: columns a, b."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    scratch = Scratch(edges.sparkSession, name)
+    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "0")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before, after = None, state(now)
+    before, after, k = None, state(now), 0
     while before != after:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = written(small.distinct(), name)
-        before, after = after, state(now)
+        now = scratch.table(small.distinct(), str(k + 1))
+        scratch.drop(str(k))
+        before, after, k = after, state(now), k + 1
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id). Linked: 100 * shared >= percent * either."""
-    own = id_and_text(docs, id_col, text_col)
-    sets = written(hashed_sets(own, words, bands, rows), "minmax-sets")
+    own, tables = id_and_text(docs, id_col, text_col), Scratch(docs.sparkSession, "minmax")
+    sets = tables.table(hashed_sets(own, words, bands, rows), "sets")
     first = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = written(sets.join(first, "set_key").where("doc_id = rep").select("rep", "n_shingles", "bands", "sketch"), "minmax-nodes")
+    nodes = tables.table(sets.join(first, "set_key").where("doc_id = rep").select("rep", "n_shingles", "bands", "sketch"), "nodes")
     keys = nodes.select("rep", F.posexplode("bands").alias("i", "key"))
-    buckets = written(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "minmax-buckets")
-    members = written(keys.join(buckets, "key").where("rep <> hub").distinct(), "minmax-members")
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    buckets = tables.table(keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = tables.table(keys.join(buckets, "key").distinct(), "members")
+    # Only texts that share a bucket are hashed again, and shuffled at all.
+    shared = members.select(F.col("rep").alias("doc_id")).distinct()
+    full = tables.table(full_sets(own.join(shared, "doc_id", "left_semi"), words), "full")
+    members = members.where("rep <> hub")
     to_hub = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    known = written(confirmed(to_hub, own, words).groupBy("a", "b").agg(F.max_by("shared", "shared").alias("shared"), F.min_by("either", "either").alias("either")), "minmax-known")
-    linked = F.expr(f"100 * shared >= {percent} * either")
-    label = components(known.where(linked))
+    near = F.when(F.count("*") == 1, F.max(F.col("shared") / F.col("either")))  # ids with several sets have no one distance
+    known = tables.table(confirmed(to_hub, full).groupBy("a", "b").agg(near.alias("near"), F.max(F.expr(f"100 * shared >= {percent} * either")).alias("linked")), "known")
+    label = components(known.where("linked"))
     # What the hubs didn't settle: members of one bucket in different components. Pairs with the hub itself are known.
-    open_ = members.where("size > 2").join(known.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (F.col("shared") / F.col("either")).alias("near")), ["hub", "rep"])
+    open_ = members.where("size > 2").join(known.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "near"), ["hub", "rep"])
     open_ = open_.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-    open_ = open_.join(held, "key").select("key", "i", "rep", "near", "component", "main", (F.col("n") - F.col("most")).alias("outside"))
-    open_ = written(open_.join(nodes, "rep"), "minmax-open")
-    none = F.lit(-1).alias("j")
-    small = open_.where(F.col("outside") <= SPLIT_FROM).select("*", none)
-    large = open_.where(F.col("outside") > SPLIT_FROM).select("*", F.posexplode("bands").alias("j", "further")).where("j > i")
-    rest = small.unionByName(large.withColumn("key", F.xxhash64("key", "further")).drop("further"))
-    x, y = rest.where("component <> main").alias("x"), rest.alias("y")
+    open_ = open_.join(held, "key").select("key", "i", "rep", "near", "component", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"))
+    open_ = tables.table(open_.join(nodes, "rep"), "open")
+    # Those outside the main component are dealt out in blocks; the whole bucket meets each block.
+    x = open_.where("component <> main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
+    y = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
     both = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
-    same = F.zip_with(*both("bands"), lambda p, q: p == q)  # of several buckets that hold a pair, the first names it
-    here = (F.array_position(same, True) - 1 == F.col("x.i")) & ((F.col("x.j") < 0) | (F.array_position(F.slice(same, F.col("x.i") + 2, bands), True) + F.col("x.i") == F.col("x.j")))
     s_ = percent / 100
     chance = (1 - s_) * 15 / 16  # that a value of two sets at the threshold differs in its four bits
     most = 16 * SKETCH_LONGS * chance + SURE * (16 * SKETCH_LONGS * chance * (1 - chance)) ** 0.5
     ok = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    ok = ok & fits(*both("n_shingles")) & (F.abs(F.col("x.near") - F.col("y.near")) <= 1 - s_ + 1e-9) & (sketch_differences(*both("sketch")) <= most) & here
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.j") == F.col("y.j")) & ok)
+    ok = ok & (100 * F.least(*both("n_shingles")) >= percent * F.greatest(*both("n_shingles")))
+    ok = ok & F.coalesce(F.abs(F.col("x.near") - F.col("y.near")) <= 1 - s_ + 1e-9, F.lit(True)) & (sketch_differences(*both("sketch")) <= most)
+    # Of several buckets that hold a pair, the first names it.
+    ok = ok & (F.array_position(F.zip_with(*both("bands"), lambda p, q: p == q), True) - 1 == F.col("x.i"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & ok)
     pairs = pairs.select(F.least(*both("rep")).alias("a"), F.greatest(*both("rep")).alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(confirmed(pairs, own, words).where(linked).select("a", "b"), "minmax-more")
+    more = tables.table(confirmed(pairs, full).where(F.expr(f"100 * shared >= {percent} * either")).select("a", "b"), "more")
+    tables.drop("nodes", "buckets", "members", "full", "known", "open")
     if not more.isEmpty():
         label = components(label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     out = sets.select("doc_id", "n_shingles", "set_key").join(first, "set_key", "left").join(label, F.col("rep") == F.col("id"), "left")

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a new one of this machine if Spark runs
+    in this one process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+class Scratch:
+    """Intermediate tables in a folder of their own below the shared one.
 
-    Cuts the lineage, and survives the loss of any executor, unlike cached blocks."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    A table cuts the lineage, and survives the loss of any executor, unlike cached blocks. ``drop`` deletes those that
+    nothing will read any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as one table of a new folder, read back."""
+    return Scratch(df.sparkSession, name).table(df, "rows")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +56,37 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_bytes(sizes: Sequence[int], most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``sizes`` bytes: at most ``most`` bytes and ``rows`` texts each, or one text."""
+    start = size = 0
+    for k, n in enumerate(sizes):
+        if k > start and (size + n > most or k - start >= rows):
+            yield start, k
+            start, size = k, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker process keeps from task to task under ``key``. It keeps one thing at a time: processes are reused,
+    so tables of an operator that is done would otherwise stay beside those of the next."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def fold(values: Column, zero: Column, step, finish=None) -> Column:
     return F.aggregate(values, zero, step, finish) if finish else F.aggregate(values, zero, step)

@@ -2,9 +2,10 @@
 
 Token labels are derived from document labels: in a toxic document, a token is labelled toxic if one of its features (the
 word, its beginnings) goes with toxic documents far beyond chance. The field has weights for features and for neighbouring
-tags and is fitted by gradient ascent on a bounded sample of labelled rows (``sample_rows`` by hash of the id). With two
-tags, forward and backward messages are ratios, and each step is a fractional-linear map; steps run for all documents of
-a batch at once. Marginals aggregate to a document's score: the sum of their squares stands for the number of
+tags and is fitted by gradient ascent on a bounded sample of labelled rows, by hash of the id: at most ``sample_rows``
+rows and ``sample_bytes`` bytes, and of its clean rows at most ``clean_per_toxic`` for each toxic one. With two tags,
+each token is a 2 x 2 matrix that takes one message to the next. Products of blocks of tokens are made for all blocks of a
+batch at once, so a very long text costs few steps more than short ones. Marginals aggregate to a document's score: the sum of their squares stands for the number of
 toxic tokens, and a logistic function of its logarithm, fitted on the same sample, is the score. Spans are the tokens whose marginal is at least one half.
 
 Null and empty texts have no tokens; they get the score of a document without toxic tokens. Without any labelled row of
@@ -21,16 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_and_text
-from .token_counts import by_bytes
+from .shared import by_bytes, id_and_text, kept
 
-#: Labelled rows the field is fitted on at most.
-SAMPLE_ROWS = 4000
-BATCH_CHARS = 6_000_000
-REMEMBERED = 1_000_000
+#: Labelled rows the field is fitted on at most, and their bytes; clean rows at most for each toxic one.
+SAMPLE_ROWS, SAMPLE_BYTES, CLEAN_PER_TOXIC = 4000, 12_000_000, 2.0
+BATCH_CHARS = 2_000_000
+#: Tokens whose emissions a worker keeps.
+REMEMBERED = 250_000
+#: Tokens in a block of the messages' scan at most.
+LONGEST_BLOCK = 128
 STEPS, RATE, RIDGE = 60, 0.3, 1e-3
 #: Training sequences are cut after so many tokens (all tokens are used).
 SEQUENCE = 200
@@ -62,30 +65,51 @@ class Field:
 
 
 def marginals(emission: np.ndarray, ends: np.ndarray, after: tuple[float, float, float, float]) -> np.ndarray:
-    """P(toxic) of each token. ``emission``: log odds of the tokens of all sequences; ``ends``: where each ends."""
-    size = np.diff(np.append(0, ends))
-    by = np.argsort(-size, kind="stable")
-    begin, length = (ends - size)[by], size[by]
-    odds = np.exp(np.clip(emission, -30, 30))
-    t00, t01, t10, t11 = np.exp(after)
-    forward, backward = np.empty(len(odds)), np.empty(len(odds))
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
-    for t in range(steps):
-        at = begin[: active[t]] + t
-        if t:
-            r = forward[at - 1]
-            forward[at] = odds[at] * (t01 + r * t11) / (t00 + r * t10)
-        else:
-            forward[at] = odds[at]
-    for t in range(steps - 1, -1, -1):
-        n = active[t + 1] if t + 1 < steps else 0
-        at = begin[: active[t]] + t
-        backward[at[n:]] = 1.0
-        inner = at[:n] + 1
-        x = odds[inner] * backward[inner]
-        backward[at[:n]] = (t10 + t11 * x) / (t00 + t01 * x)
-    both = forward * backward
+    """P(toxic) of each token. ``emission``: log odds of the tokens of all sequences; ``ends``: where each ends, none empty."""
+    n, size = len(emission), np.diff(np.append(0, ends))
+    if not n:
+        return np.empty(0)
+    width = int(np.clip(n // len(size), 8, LONGEST_BLOCK))
+    per = -(-size // width)  # blocks of each sequence
+    sequence = np.repeat(np.arange(len(size)), per)
+    nth = np.arange(len(sequence)) - np.repeat(np.cumsum(per) - per, per)
+    at = (np.append(0, ends[:-1])[sequence] + nth * width)[:, None] + np.arange(width)
+    inside = at < np.asarray(ends)[sequence][:, None]
+    at = np.minimum(at, n - 1)
+    first = np.zeros(n, bool)
+    first[np.append(0, ends[:-1])] = True
+    odds, t = np.exp(np.clip(emission, -30, 30)), np.exp(np.asarray(after))
+    # A token's matrix: (clean, toxic) <- ((a, b), (c, d)); the first of a sequence has no tag before it, padding does nothing.
+    begins, o = first[at], odds[at]
+    a, b = np.where(inside & ~begins, t[0], 1.0), np.where(inside & ~begins, t[2], 0.0)
+    c, d = np.where(inside & ~begins, o * t[1], 0.0), np.where(inside, np.where(begins, o, o * t[3]), 1.0)
+    blocks = len(sequence)
+    p, q, r, s = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
+    for k in range(width):  # the product of each block
+        p, q, r, s = a[:, k] * p + b[:, k] * r, a[:, k] * q + b[:, k] * s, c[:, k] * p + d[:, k] * r, c[:, k] * q + d[:, k] * s
+        most = np.maximum(np.maximum(p, q), np.maximum(r, s))
+        p, q, r, s = p / most, q / most, r / most, s / most
+    before, behind = np.ones((blocks, 2)), np.ones((blocks, 2))  # the messages that enter a block from either side
+    by = np.argsort(nth, kind="stable")
+    steps = np.split(by, np.cumsum(np.bincount(nth))[:-1])
+    for x in steps[1:]:  # from one block of a sequence to the next
+        u, v = before[x - 1, 0], before[x - 1, 1]
+        y = np.stack((p[x - 1] * u + q[x - 1] * v, r[x - 1] * u + s[x - 1] * v), 1)
+        before[x] = y / y.max(1, keepdims=True)
+    for x in steps[:0:-1]:
+        u, v = behind[x, 0], behind[x, 1]
+        y = np.stack((p[x] * u + r[x] * v, q[x] * u + s[x] * v), 1)
+        behind[x - 1] = y / y.max(1, keepdims=True)
+    ratio = np.empty((blocks, width))
+    u = before[:, 1] / before[:, 0]
+    for k in range(width):
+        u = (c[:, k] + d[:, k] * u) / (a[:, k] + b[:, k] * u)
+        ratio[:, k] = u
+    u = behind[:, 1] / behind[:, 0]
+    for k in range(width - 1, -1, -1):
+        ratio[:, k] *= u
+        u = (b[:, k] + d[:, k] * u) / (a[:, k] + c[:, k] * u)
+    both = ratio[inside]
     return both / (1 + both)
 
 
@@ -142,15 +166,16 @@ def label_features(texts: list[str], toxic: np.ndarray) -> set[str]:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
-    """The field from whole labelled texts; ``toxic`` is 0 or 1 for each."""
+def fit(texts: list[str], toxic: list[int], steps: int = STEPS, clean_per_toxic: float = CLEAN_PER_TOXIC) -> Field:
+    """The field from whole labelled texts; ``toxic`` is 0 or 1 for each. Tags are learned from the toxic texts and from
+    the first of the clean ones, ``clean_per_toxic`` for each toxic one; features and calibration use all texts."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Field({}, -20.0, (0.0, 0.0, 0.0, 0.0), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     marked = label_features(texts, y)
-    # All tokens of toxic documents and of as many clean ones, cut into sequences.
-    clean = np.flatnonzero(y == 0)[: int(y.sum()) * 2]
+    # All tokens of the documents, cut into sequences.
+    clean = np.flatnonzero(y == 0)[: int(y.sum() * clean_per_toxic)]
     words: dict[str, int] = {}
     ids, tags, ends = array("l"), array("d"), array("l")
     hit: list[bool] = []
@@ -192,7 +217,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS) -> Field:
         after = after + RATE * gradient[2] / np.sqrt(scale[2] + 1e-9)
     field = Field({f: round(float(w), 6) for f, w in zip(kept, weights)}, float(bias), tuple(map(float, after)), 1.0, 0.0)
     del words, hit, ids, tags
-    expected = np.array([evidence(m) for a, b in by_bytes(texts, 500_000) for m in tag(field, texts[a:b])])
+    expected = np.array([evidence(m) for a, b in by_bytes(list(map(len, texts)), 500_000) for m in tag(field, texts[a:b])])
     x = np.log(expected + 1e-3)
     mean, spread = x.mean(), x.std() or 1.0
     z, a, b = (x - mean) / spread, 0.0, 0.0
@@ -217,21 +242,22 @@ class _Levels(dict):
         return x
 
 
-#: Each worker process keeps those of the field it last worked with, over its tasks.
-_kept: list[_Levels] = []
-
-
 def _levels_of(field: Field) -> _Levels:
-    if not _kept or _kept[0].field != field:
-        _kept[:] = [_Levels(field)]
-    return _kept[0]
+    """Those of the field that this worker last worked with."""
+    found = kept("toxicity", lambda: _Levels(field))
+    if found.field != field:
+        found.clear()
+        found.field = field
+    if len(found) > REMEMBERED:
+        found.clear()
+    return found
 
 
 def tag(field: Field, texts: list[str], levels: dict[str, float] | None = None) -> list[np.ndarray]:
     """Marginals of the tokens of each text."""
     levels = levels if levels is not None else _Levels(field)
     out: list[np.ndarray] = []
-    for a, b in by_bytes(texts, BATCH_CHARS):
+    for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS):
         words = [t.lower().split() for t in texts[a:b]]
         size = np.fromiter(map(len, words), np.int64, b - a)
         emission = np.concatenate([np.fromiter(map(levels.__getitem__, w), float, len(w)) for w in words])
@@ -251,12 +277,16 @@ def score(field: Field, expected: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(field.slope * np.log(expected + 1e-3) + field.level, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """Fit the field on a bounded sample of the labelled rows; ``labels``: a row for each labelled document."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, clean_per_toxic: float = CLEAN_PER_TOXIC, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+    """Fit the field on a bounded sample of the labelled rows; ``labels``: a row for each labelled document. Rows are taken
+    by hash of the id until their whole texts would exceed ``sample_bytes``."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).select("text", "y").toPandas()
-    return fit(rows["text"].tolist(), rows["y"].tolist())
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text").limit(sample_rows)
+    total = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("h", "doc_id", "text"))  # of at most sample_rows rows
+    found = rows.withColumn("total", total).where(F.col("total") <= sample_bytes).select("text", "y").toPandas()
+    return fit(found["text"].tolist(), found["y"].tolist(), clean_per_toxic=clean_per_toxic)
 
 
 def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,12 +295,10 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     import re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _levels_of(field)
         for batch in batches:
+            levels = _levels_of(field)
             texts = batch.column(1).to_pylist()
             found = tag(field, texts, levels)
-            if len(levels) > REMEMBERED:
-                levels.clear()
             expected = np.array([evidence(m) for m in found])
             hits = [np.flatnonzero(m >= 0.5) for m in found]
             places = [""] * len(texts)
@@ -283,6 +311,21 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_toxic long, expected double, spans string")
 
 
+def clean(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` with all their columns, without the rows whose text scores ``least`` or more. Each row is judged by its own
+    text, so rows without an id and rows that repeat one are no different; nothing is shuffled. A null text scores as an
+    empty one."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(place).to_pylist()]
+            found = tag(field, texts, _levels_of(field))
+            yield batch.filter(pa.array(score(field, np.array([evidence(m) for m in found])) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """True for rows that training must not see."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
