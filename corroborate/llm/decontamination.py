@@ -2,8 +2,8 @@
 
 A passage of m characters that survives in a document with at most k edits shares at least m + 1 - q - k q of its
 q-grams, all on diagonals that differ by at most k. So shared q-grams are counted in bands of 2 (k + 1) diagonals that
-overlap by half: every such passage fills one. Bands that reach the bound are regions, and a banded alignment decides
-whether a region holds the item within its edits. Text is compared lower-cased, with any white space as one blank.
+overlap by half: every such passage fills one. Bands that reach the bound are regions, and an alignment of just their
+diagonals decides whether a region holds the item within its edits. Text is compared lower-cased, with any white space as one blank.
 
 Items are a stated query set: they travel to the tasks in blocks of at most ``block_chars`` characters, each block
 against all documents, so no join or shuffle of documents is needed. Items of fewer than q characters have no q-gram;
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text
-from .token_counts import by_bytes
+from .shared import by_bytes, id_and_text, unused
 
 Q, RATE = 8, 0.10
 #: Characters of items in one block; its tables take about 40 bytes for each.
 BLOCK_CHARS = 4_000_000
 BATCH_CHARS = 1_500_000
+#: Pairs of a place in a text and a place in an item that are held at once, and cells of alignments.
+PRODUCTS, CELLS = 4_000_000, 1_000_000
 _FILTER_BITS = 23
 _BASE = 0x9E3779B97F4A7C15
 
@@ -61,25 +62,35 @@ def budget(length: int, q: int, rate: float) -> int:
     return max(0, min(int(rate * length), (length - q) // q))
 
 
-def aligned(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best match of all of ``item`` in ``region``, or None beyond k edits.
-
-    One row of the alignment at a time; begin and end in the region are free. The region is the band: it is only as
-    long as the item and the diagonals that the filter left."""
-    n = len(region)
-    steps = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), steps.copy()
-    for c in item:
-        # Cost and begin in one number, so that minima carry the begin with them.
-        pack = cost * (n + 2) + begin
-        down = pack + (n + 2)
-        down[1:] = np.minimum(down[1:], pack[:-1] + (region != c) * (n + 2))
-        pack = np.minimum.accumulate(down - steps * (n + 2)) + steps * (n + 2)
-        cost, begin = np.divmod(pack, n + 2)
-        if cost.min() > k:
-            return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= k else None
+def aligned(item: np.ndarray, text: np.ndarray, first: np.ndarray, width: int, k: int) -> list[tuple[int, int, int]]:
+    """The best (edits, start, end) of all of ``item`` in ``text`` within at most k edits, in each of some bands of ``width``
+    diagonals (place in the text less place in the item) that begin at ``first``; bands without any are left out.
+
+    A row of cells for each character of the item, for all bands at once; begin and end in the text are free."""
+    n, out = len(text), []
+    step, far = n + 2, k + 2  # cost and begin are one number, so that minima carry the begin with them
+    many = max(1, CELLS // width)
+    for part in range(0, len(first), many):
+        place = first[part : part + many, None] + np.arange(width)
+        pack = np.where((place >= 0) & (place <= n), np.maximum(place, 0), far * step)
+        insert = np.arange(width) * step
+        for c in item:
+            inside = (place >= 0) & (place < n)
+            down = np.where(inside, pack + (text[np.clip(place, 0, n - 1)] != c) * step, far * step)
+            down[:, :-1] = np.minimum(down[:, :-1], pack[:, 1:] + step)
+            place += 1
+            down[(place < 0) | (place > n)] = far * step
+            pack = np.minimum(np.minimum.accumulate(down - insert, axis=1) + insert, far * step)
+            pack[place > n] = far * step
+            live = pack.min(axis=1) < (k + 1) * step
+            if not live.all():
+                pack, place = pack[live], place[live]
+                if not len(pack):
+                    break
+        for row, at in zip(pack, place):
+            d = int(np.argmin(row))
+            out.append((int(row[d]) // step, int(row[d]) % step, int(at[d])))
+    return [x for x in out if x[0] <= k]
 
 
 class Items:
@@ -142,44 +153,43 @@ class Items:
         at, k = at[same], k[same]
         if not len(at):
             return []
+        # Shared q-grams by text, item and band; a q-gram that many items have is multiplied out in parts.
+        longest = int(np.diff(starts).max()) + 2 * int(self.edits.max() + 1) + 2
+        total = np.cumsum(self.count[k])
+        cuts = np.searchsorted(total, np.arange(0, total[-1], PRODUCTS), side="right")
+        tallies = [self._tally(at[a:b], k[a:b], starts, longest) for a, b in zip(cuts, np.append(cuts[1:], len(at))) if a < b]
+        key, where = np.unique(np.concatenate([x for x, _ in tallies]), return_inverse=True)
+        count = np.bincount(where, weights=np.concatenate([x for _, x in tallies])).astype(np.int64)
+        lone = np.append(True, key[1:] != key[:-1] + 1)  # the band before holds no q-gram, but the rest of the passage may lie there
+        key, count = np.append(key, key[lone] - 1), np.append(count, np.zeros(lone.sum(), np.int64))
+        by = np.argsort(key)
+        key, count = key[by], count[by]
+        both = count + np.where(np.append(key[1:] == key[:-1] + 1, False), np.append(count[1:], 0), 0)
+        owner = key // longest
+        good = both >= self.least[owner % len(self.ids)]
+        out = []
+        pairs, first = np.unique(owner[good], return_index=True)
+        bands = np.split((key[good] % longest).astype(np.int64), first[1:])
+        for p, own in zip(pairs.tolist(), bands):
+            d, j = divmod(p, len(self.ids))
+            w, m = int(self.edits[j]) + 1, len(self.points[j])
+            diagonal = (own - 2) * w
+            if (exact := texts[d].find(self.texts[j], max(0, int(diagonal[0])), int(diagonal[-1]) + 2 * w + m)) >= 0:
+                out.append((d, j, 0, exact, exact + m))
+            elif found := aligned(self.points[j], points[starts[d] : starts[d + 1] - 1], diagonal, 2 * w, w - 1):
+                out.append((d, j, *min(found)))
+        return out
+
+    def _tally(self, at: np.ndarray, k: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each text, item and band in which places ``at`` of texts hold the q-grams ``k``, and how often."""
         n = self.count[k]
         entry = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = np.repeat(at, n)
         item = self.item[entry]
         text = np.searchsorted(starts, at, side="right") - 1
         width = self.edits[item] + 1
-        diagonal = at - starts[text] - self.place[entry] + 2 * width  # from 0 to begin with a positive band
-        longest = int(np.diff(starts).max()) + 2 * int(width.max()) + 2
-        band = np.maximum(diagonal, 0) // width
-        pair = text * len(self.ids) + item
-        key, count = np.unique(pair * longest + band, return_counts=True)
-        follows = np.append(key[1:] == key[:-1] + 1, False)
-        total = count + np.where(follows, np.append(count[1:], 0), 0)
-        owner = key // longest
-        good = total >= self.least[owner % len(self.ids)]
-        out: list[tuple[int, int, int, int, int]] = []
-        last = None
-        for p, b in zip(owner[good].tolist(), (key[good] % longest).tolist()):
-            if last and last[0] == p and b <= last[2] + 2:
-                last[2] = b
-                continue
-            last = [p, b, b]
-            out.append(last)  # type: ignore[arg-type]
-        best: dict[int, tuple] = {}
-        for p, low, high in out:  # type: ignore[misc]
-            d, j = divmod(p, len(self.ids))
-            w, m = int(self.edits[j]) + 1, len(self.points[j])
-            a = max(0, (low - 2) * w - w)
-            b = min(len(texts[d]), high * w + 2 * w + m)
-            if (exact := texts[d].find(self.texts[j], a, b)) >= 0:
-                got = (0, exact, exact + m)
-            else:
-                own = np.frombuffer(texts[d][a:b].encode("utf-32-le", "surrogatepass"), np.uint32)
-                got = aligned(self.points[j], own, w - 1)
-                got = got and (got[0], got[1] + a, got[2] + a)
-            if got and (p not in best or got < best[p]):
-                best[p] = got
-        return [(*divmod(p, len(self.ids)), *x) for p, x in best.items()]
+        diagonal = at - starts[text] - self.place[entry] + 2 * width  # so that bands begin at 1 and have one before them
+        return np.unique((text * len(self.ids) + item) * longest + np.maximum(diagonal // width, 1), return_counts=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -198,8 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
             own = Items(listed, q, rate)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), list(map(normal, batch.column(1).to_pylist()))
-                found = [(ids[a + d], own.ids[j], e, s, t, int(own.edits[j])) for a, b in by_bytes(texts, BATCH_CHARS) for d, j, e, s, t in own.matches(texts[a:b])]
-                found += [(ids[a + d], i, 0, s, t, 0) for a, b in by_bytes(texts, BATCH_CHARS) for d, i, s, t in own.short_matches(texts[a:b])]
+                found = [(ids[a + d], own.ids[j], e, s, t, int(own.edits[j])) for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS) for d, j, e, s, t in own.matches(texts[a:b])]
+                found += [(ids[a + d], i, 0, s, t, 0) for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS) for d, i, s, t in own.short_matches(texts[a:b])]
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 6, kinds)], ["doc_id", "item_id", "edits", "start", "end", "allowed"])
 
@@ -211,5 +221,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with all their columns, without those that hold an item. Rows without an id stay: no match
     can name them."""
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("__found"), "left_anti")
+    own = unused(docs, "found_id")
+    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(own), "left_anti")
