@@ -1,24 +1,29 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees on format and context features score
 them, and a calibrated threshold selects what is redacted besides the base spans. DataFrame functions only.
 
-Base spans (email, ip, card with Luhn, phone) are found by pattern. They also label the candidates of a bounded sample
-of rows (``sample_rows`` by hash of the id among rows with any candidate): overlapping a base span or not. The trees are
-fitted on the features of at most ``sample_candidates`` candidates; the threshold is the lowest score at which at least
-``precision`` of the candidates in the held-out half are right. Trees become CASE expressions, so scoring stays in the
-plan. Candidates above the threshold that overlap no base span are added as kind ``likely``.
-
-Null and empty texts have no spans; repeated rows each get a row; an empty table gives an empty result, for which no
-trees are fitted. Other columns are read by ``redacted`` only, which returns them unchanged.
+Base spans (email, ip, card with Luhn, phone) are found by pattern. The trees learn from a bounded sample of them
+(``sample_rows`` rows by hash of the id, ``sample_spans`` spans): personal data in other formats than the base patterns
+take, made of the base spans ("name at host dot org", numbers grouped in other ways, in the words they stand among), against
+look-alikes made of the same digits (numbers that fail Luhn, versions, dates, order numbers). So what is learned is not
+what the patterns know already. Half of the spans fit the trees, the other half sets the threshold: the lowest score at
+which at least ``precision`` of its examples are right. Trees become CASE expressions, so scoring stays in the plan.
+Candidates above the threshold that overlap no base span are added as kind ``likely``.
+
+Null and empty texts have no spans; repeated rows each get a row; an empty table gives an empty result, and without base
+spans nothing is learned and nothing added. Other columns are read by ``redacted`` only, which returns them unchanged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .shared import id_and_text
+from .shared import id_and_text, unused
 
 KINDS = ["email", "ip", "card", "phone", "likely"]
 # The patterns of the base spans. Possessive repeats and look-behinds change no match; they keep the search
@@ -27,12 +32,21 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: The generators: anything around an at sign; digit groups with separators.
-CANDIDATES = [r"(?:(?<![^\s@])|\G)[^\s@]{1,64}+@[^\s@]{1,190}+", r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9]){5,40}+"]
+#: The generators: anything around an at sign, from a delimiter on; addresses spelled out; digit groups with separators;
+#: capitals that digits follow. None has an upper bound, and all repeats are possessive.
+CANDIDATES = [
+    r"""(?:(?<![^\s@"'()<>\[\],;=&:/])|\G)[^\s@"'()<>\[\],;=&:/]++@[^\s@"'()<>\[\],;=&/]++""",
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]?\x20?\bat\b\x20?[)\]]?\x20?[A-Za-z0-9-]++(?:\x20?[(\[]?\x20?\bdot\b\x20?[)\]]?\x20?[A-Za-z0-9-]++)++",
+    r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9]){5,}+",
+    r"(?<![0-9A-Za-z])[A-Z]{1,3}+[0-9](?:[\x20-]?+[0-9A-Z]){6,}+",
+]
 #: Words before a span that speak for personal data.
-CUES = r"(?i)(mail|contact|phone|tel|call|fax|mobile|card|visa|iban|account|ip|addr|host)[^\n]{0,4}$"
-FEATURES = ["length", "digits", "dots", "blanks", "hyphens", "colons", "at", "plus", "parentheses", "longest", "upper", "cue"]
-SAMPLE_ROWS, SAMPLE_CANDIDATES, TREES, RATE, PRECISION = 2000, 4000, 24, 0.3, 0.95
+CUES = r"(?i)(mail|contact|reach|write|phone|tel|call|fax|mobile|card|visa|iban|account|\bip\b|addr|host)[^\n]{0,6}$"
+#: Words before what is made for training: personal data (or the words it stood among), and look-alikes.
+CUED = ["call me: ", "tel. ", "phone ", "mail to ", "contact ", "fax: ", "my mobile is ", "card "]
+NEUTRAL = ["order no. ", "version ", "total of ", "dated ", "page ", "the score was ", "see section ", ""]
+FEATURES = ["length", "digits", "dots", "blanks", "hyphens", "colons", "at", "plus", "parentheses", "longest", "groups", "upper", "letters", "spelled", "luhn", "domain", "cue"]
+SAMPLE_ROWS, SAMPLE_SPANS, TREES, RATE, PRECISION = 2000, 2000, 30, 0.3, 0.95
 
 
 def _digits(value: Column) -> Column:
@@ -65,17 +79,22 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping spans that may hold personal data."""
-    return F.concat(spans.found(text, CANDIDATES[0], 4, only_if=text.contains("@")), spans.found(text, CANDIDATES[1], 4))
+    """Overlapping spans that may hold personal data, by start."""
+    tests = [text.contains("@"), text.rlike(r"(?i)\bdot\b"), None, text.rlike("[A-Z][0-9]")]
+    return F.array_sort(F.concat(*[spans.found(text, p, 4, only_if=test) for p, test in zip(CANDIDATES, tests)]))
 
 
-def features(text: Column, span: Column) -> list[Column]:
-    """Format features of the span's value, and a cue in the 24 code points before it."""
-    value = span["value"]
+def features(before: Column, value: Column) -> list[Column]:
+    """Format features of a candidate, whether it passes Luhn (-1: not a card's number of digits), and whether a cue stands
+    in the 24 code points before it."""
     count = lambda chars: F.length(value) - F.length(F.translate(value, chars, ""))
-    longest = F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda p: F.length(p)))
-    before = F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
-    exprs = [F.length(value), count("0123456789"), count("."), count(" "), count("-"), count(":/"), count("@"), count("+"), count("()"), longest, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), before.rlike(CUES).cast("int")]
+    groups = F.filter(F.split(value, "[^0-9]+"), lambda p: p != "")
+    n = F.length(_digits(value))
+    passes = F.when((n < 12) | (n > 19), F.lit(-1)).otherwise(luhn(_digits(value)).cast("int"))
+    exprs = [
+        F.length(value), n, count("."), count(" "), count("-"), count(":/"), count("@"), count("+"), count("()"), F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda p: F.length(p))), F.size(groups),
+        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz"), value.rlike(r"(?i)\bat\b").cast("int") + value.rlike(r"(?i)\bdot\b").cast("int"), passes, value.rlike(r"(?i)[a-z]{2,}$").cast("int"), before.rlike(CUES).cast("int"),
+    ]
     return [x.cast("int") for x in exprs]
 
 
@@ -131,39 +150,80 @@ def score(f: list[Column], model: tuple[float, list]) -> Column:
     return total
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_candidates: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> tuple[tuple[float, list], float] | None:
-    """(model, threshold on the raw score), or None where there is nothing to learn from. ``docs``: doc_id, text."""
+@dataclass(frozen=True)
+class Trained:
+    """Trees, threshold on their raw score, and what the held-out half says of it."""
+
+    model: tuple[float, list]
+    threshold: float
+    precision: float
+    recall: float
+    examples: int
+
+
+def examples(kind: int, before: str, value: str) -> list[tuple[str, str, int]]:
+    """Of one base span: (words before, value, 1 or 0) of personal data in other formats, and of look-alikes."""
+    h = crc32(value.encode())
+    before = before if h % 2 else CUED[h // 2 % len(CUED)]
+    neutral, d = NEUTRAL[h // 2 % len(NEUTRAL)], "".join(c for c in value if "0" <= c <= "9")
+    if kind == 0:
+        name, host = value.split("@", 1)
+        at, dot = [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" AT ", " DOT ")][h % 4]
+        return [(before, name + at + host.replace(".", dot), 1), (neutral, f"{name}@{h % 9}.{h % 31}.{h % 7}", 0), (neutral, f"{name} at {host.split('.')[0]}", 0)]
+    if kind == 1:
+        return [(neutral, f"{h % 40}.{h % 13}.{h % 900 + 256}.{h % 77}", 0), (neutral, f"{h % 24:02d}:{h % 60:02d}:{h % 59:02d}.{h % 1000:03d}", 0)]
+    if kind == 2:
+        cut = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, len(x), 4))
+        wrong = d[:-1] + str((int(d[-1]) + 1 + h % 9) % 10)
+        return [(before, cut(d, "./:"[h % 3]), 1), (before, cut(wrong, " -"[h % 2]), 0), (neutral, cut(wrong, "./:"[h % 3]), 0), (neutral, wrong, 0)]
+    local = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:4]} {d[4:7]} {d[7:]}", f"00{d[:2]} {d[2:5]} {d[5:]}"][h // 2 % 5]
+    date = [f"20{d[:2]}-{int(d[2]) % 9 + 1:02d}-{int(d[3]) + 10}", f"{int(d[3]) + 10}/{int(d[2]) % 9 + 1:02d}/20{d[:2]} {h % 24:02d}:{h % 60:02d}", f"20{d[:2]}{int(d[2]) % 9 + 1:02d}{int(d[3]) + 10}"][h % 3]
+    return [(before, local, 1), (neutral, d, 0), (neutral, date, 0), (neutral, f"{h % 10}.{d}", 0), (neutral, f"{d[:3]}-{h % 10}", 0)]
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_spans: int = SAMPLE_SPANS, precision: float = PRECISION) -> Trained | None:
+    """Trees and threshold, or None where there is nothing to learn from. ``docs``: doc_id, text."""
     text = F.col("text")
     likely = text.rlike("[0-9][\\x20().:/-]{0,2}[0-9]{2}") | text.contains("@")
     chosen = docs.where(likely).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", base_spans(text).alias("base"), F.explode(candidates(text)).alias("s"))
-    hit = F.exists("base", lambda o: (o["start"] < F.col("s.end")) & (F.col("s.start") < o["end"])).cast("int")
-    taken = rows.select(F.xxhash64("doc_id", "s.start").alias("h"), hit.alias("y"), *[c.alias(n) for n, c in zip(FEATURES, features(text, F.col("s")))]).orderBy("h", *FEATURES).limit(sample_candidates).collect()
-    if len(taken) < 20 or len({r.y for r in taken}) < 2:
+    rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", F.explode(base_spans(text)).alias("s"))
+    at = F.greatest(F.col("s.start") - 24, F.lit(0))
+    picked = rows.select(F.xxhash64("doc_id", "s.start").alias("h"), "s.kind", F.substring(text, at + 1, F.col("s.start") - at).alias("before"), "s.value").orderBy("h", "kind", "value").limit(sample_spans).collect()
+    made = [(k % 2, *e) for k, r in enumerate(picked) for e in examples(r.kind, r.before, r.value)]
+    if len({e[3] for e in made if not e[0]}) < 2 or len({e[3] for e in made if e[0]}) < 2:
         return None
-    x, y = np.array([[r[n] for n in FEATURES] for r in taken], float), np.array([r.y for r in taken], float)
-    half = len(y) // 2
-    model = fit(x[:half], y[:half])
-    got = raw_scores(x[half:], model)
-    by = np.argsort(-got, kind="stable")
-    right = np.cumsum(y[half:][by]) / np.arange(1, len(by) + 1)
-    good = np.flatnonzero(right >= precision)
-    return model, float(got[by][good[-1]]) if len(good) else float("inf")
-
-
-def all_spans(text: Column, base: Column, trained: tuple[tuple[float, list], float] | None) -> Column:
+    table = docs.sparkSession.createDataFrame(made, "half int, before string, value string, y int")
+    got = table.select("half", "y", F.array(*features(F.col("before"), F.col("value"))).alias("x")).orderBy("half", "y", "x").collect()
+    x, y, half = np.array([r.x for r in got], float), np.array([r.y for r in got], float), np.array([r.half for r in got])
+    model = fit(x[half == 0], y[half == 0])
+    got_, right = raw_scores(x[half == 1], model), y[half == 1]
+    by = np.argsort(-got_, kind="stable")
+    level, share = got_[by], np.cumsum(right[by]) / np.arange(1, len(by) + 1)
+    good = np.flatnonzero((share >= precision) & np.append(level[1:] < level[:-1], True))  # equal scores stand or fall together
+    if not len(good):
+        return Trained(model, float("inf"), 1.0, 0.0, len(made))
+    k = int(good[-1])
+    return Trained(model, float(level[k]) - 1e-9, float(share[k]), float(right[by][: k + 1].sum() / right.sum()), len(made))
+
+
+def all_spans(text: Column, base: Column, trained: Trained | None) -> Column:
     """Base spans and the candidates selected besides them, by start, then kind."""
     if not trained:
         return base
 
-    def taken(s: Column) -> Column:
-        bound = F.transform(F.array(F.array(*features(text, s))), lambda f: score([F.get(f, F.lit(k)) for k in range(len(FEATURES))], trained[0]))
-        return F.get(bound, F.lit(0)) >= trained[1]
+    def chosen(found: Column) -> Column:
+        def taken(pieces: Column, s: Column) -> Column:
+            at = F.greatest(s["start"] - 24, F.lit(0))
+            bound = F.transform(F.array(F.array(*features(spans.cut(pieces, at, s["start"] - at), s["value"]))), lambda f: score([F.get(f, F.lit(k)) for k in range(len(FEATURES))], trained.model))
+            return F.get(bound, F.lit(0)) >= trained.threshold
 
-    return spans.in_order(base, F.filter(spans.outside(candidates(text), base), taken))
+        picked = F.get(F.transform(F.array(spans.chunks(text)), lambda pieces: F.filter(found, lambda s: taken(pieces, s))), F.lit(0))
+        return F.when(F.size(found) > 0, picked).otherwise(found)
 
+    return spans.in_order(base, F.get(F.transform(F.array(spans.outside(candidates(text), base)), chosen), F.lit(0)))
 
-def personal_data(docs: DataFrame, trained: tuple[tuple[float, list], float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def personal_data(docs: DataFrame, trained: Trained | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text, base and all (arrays of spans by start, then kind; offsets in code points, end exclusive)."""
     own = id_and_text(docs, id_col, text_col)
     rows = own.withColumn("base", base_spans(F.col("text")))
@@ -179,21 +239,27 @@ def personal_counts(docs: DataFrame, **options) -> DataFrame:
 def mask(text: Column, found: Column, names: list[str] = KINDS) -> Column:
     """``text`` with each span (by start) replaced by its kind in brackets; of overlapping spans, the part not yet masked."""
     name = F.array(*map(F.lit, names))
-    state = "struct<at:int,out:array<string>>"
 
-    def one(s: Column, x: Column) -> Column:
-        kept = F.when(x["start"] > s["at"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).otherwise("")
-        put = F.when(x["start"] >= s["at"], F.concat(kept, F.lit("["), F.upper(F.get(name, x["kind"])), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.array_append(s["out"], put).alias("out")).cast(state)
+    def whole(x: Column) -> Column:
+        """x: struct of the spans, the furthest end up to each of them, and the text's chunks."""
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)
+            return F.when(s["start"] >= at, F.concat(spans.cut(x["pieces"], at, s["start"] - at), F.lit("["), F.upper(F.get(name, s["kind"])), F.lit("]"))).otherwise("")
+
+        last = F.get(x["ends"], F.size(x["ends"]) - 1)
+        return F.concat(F.array_join(F.transform(x["found"], one), ""), spans.cut(x["pieces"], last, F.length(text) - last))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state)
-    whole = F.aggregate(found, zero, one, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    ends = spans.scan(found, F.lit(0), lambda s, v: F.greatest(s, v["end"]), "int")
+    bound = F.transform(F.array(F.struct(found.alias("found"), ends.alias("ends"), spans.chunks(text).alias("pieces"))), whole)
+    return F.when(F.size(found) > 0, F.get(bound, F.lit(0))).otherwise(text)
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained=None) -> DataFrame:
-    """``docs`` with all its columns, personal data in the text masked. Null texts stay null."""
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained: Trained | None = None) -> DataFrame:
+    """``docs`` with all its columns, personal data in the text masked. Null texts stay null; every row stays, whatever its
+    id."""
     trained = trained or train(id_and_text(docs, id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__base", base_spans(text)).withColumn("__all", all_spans(text, F.col("__base"), trained))
-    return rows.withColumn(text_col, mask(F.col(text_col), F.col("__all"))).select(*docs.columns)
+    base, all_ = unused(docs, "base_spans"), unused(docs, "all_spans")
+    rows = docs.withColumn(base, base_spans(text)).withColumn(all_, all_spans(text, F.col(base), trained))
+    return rows.withColumn(text_col, mask(F.col(text_col), F.col(all_))).select(*docs.columns)

@@ -7,8 +7,6 @@ in proportion to them, and only texts that match at all pay for more than one se
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,10 +65,56 @@ def of_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def scan(values: Column, zero: Column, step, kind: str) -> Column:
+    """The running state after each of ``values``: ``step(state, value)`` from ``zero`` on, of the SQL type ``kind``. In
+    blocks, as sums are in ``found``."""
+    one = f"struct<at:{kind},out:array<{kind}>>"
+    all_ = f"struct<at:{kind},out:array<array<{kind}>>>"
+
+    def within(xs: Column) -> Column:
+        def each(s: Column, x: Column) -> Column:
+            bound = F.transform(F.array(step(s["at"], x)), lambda now: F.struct(now.alias("at"), F.array_append(s["out"], now).alias("out")))
+            return F.get(bound, F.lit(0)).cast(one)
+
+        def block(s: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(xs, b, F.lit(BLOCK)), F.struct(s["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")).cast(one), each)
+            bound = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(s["out"], x["out"]).alias("out")))
+            return F.get(bound, F.lit(0)).cast(all_)
+
+        start = F.struct(zero.alias("at"), F.array().alias("out")).cast(all_)
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK)), start, block)["out"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.get(F.transform(F.array(values), within), F.lit(0))
+
+
 def outside(spans: Column, others: Column) -> Column:
-    """Those of ``spans`` that overlap none of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    """Those of ``spans`` that overlap none of ``others``, by start: both lists are merged, and each span compares with the
+    furthest end before it and the next start behind it."""
+    far = 1 << 30
+
+    def merged(u: Column) -> Column:
+        """u: all spans by start, those of ``others`` first, with own = 1 for those of ``spans``."""
+        end = scan(u, F.lit(-1), lambda s, x: F.greatest(s, F.when(x["own"] == 0, x["s"]["end"]).otherwise(-1)), "int")
+        next_ = F.reverse(scan(F.reverse(u), F.lit(far), lambda s, x: F.least(s, F.when(x["own"] == 0, x["s"]["start"]).otherwise(far)), "int"))
+        rows = F.zip_with(F.arrays_zip(u.alias("u"), end.alias("end")), next_, lambda x, n: F.struct(x["u"].alias("u"), x["end"].alias("end"), n.alias("next")))
+        return F.transform(F.filter(rows, lambda x: (x["u"]["own"] == 1) & (x["end"] <= x["u"]["s"]["start"]) & (x["next"] >= x["u"]["s"]["end"])), lambda x: x["u"]["s"])
+
+    mark = lambda xs, own: F.transform(xs, lambda s: F.struct(s["start"].alias("at"), F.lit(own).alias("own"), s.alias("s")))
+    both = F.array_sort(F.concat(mark(others, 0), mark(spans, 1)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), F.get(F.transform(F.array(both), merged), F.lit(0))).otherwise(spans)
+
+
+CHUNK = 4096
+
+
+def chunks(text: Column) -> Column:
+    """``text`` in pieces of CHUNK code points: to find a place in a piece costs no walk through the whole text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK)))
 
 
-def any_contains(text: Column, *words: str) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+def cut(pieces: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` on (the first is 0) of a text given by its ``chunks``."""
+    a, b = F.floor(start / CHUNK).cast("int"), F.floor((start + size - 1) / CHUNK).cast("int")
+    first = F.get(pieces, a)
+    longer = F.concat(F.substring(first, start - a * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(F.get(pieces, b), F.lit(1), start + size - b * CHUNK))
+    return F.when(size <= 0, F.lit("")).when(a == b, F.substring(first, start - a * CHUNK + 1, size)).otherwise(longer)
