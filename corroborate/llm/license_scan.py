@@ -1,6 +1,6 @@
 """License scans: canonical digest lookup. DataFrame functions only.
 
-A text's canonical form has lower-case letters, no copyright lines, one spelling of words that have several, and single
+A text's canonical form has lower-case letters, no lines of copyright holders (a bare "(c)" makes none), one spelling of words that have several, and single
 blanks for anything but letters and digits. Its digest is joined with the digests of known licences, made the same way.
 Entire texts are looked up; so is each line, since a notice often stands on a line of its own among other text. Only
 lines of a known licence's length are digested (others can't be equal), and the table of known digests has a fixed size.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .shared import id_and_text
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"\n[^a-z\n]*(copyright|\(c\)|©)[^\n]*"
+#: A line of a copyright holder: the word with a sign, "(c)" or a bracket after it, or the word or a sign with a year behind it.
+COPYRIGHT = r"\n[^a-z0-9\n]*((portions )?copyright[ \t:,]*(\(c\)|©|[\[<{])|((portions )?copyright|©|\(c\))[^\n]*[^0-9\n](19|20)[0-9][0-9])[^\n]*"
 BETWEEN = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 #: Spellings taken as equal.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("favour", "favor"), ("per cent", "percent"), ("https:", "http:"), ("&", " and "), ("copyright holder", "copyright owner"), ("analogue", "analog"), ("acknowledgement", "acknowledgment")]
