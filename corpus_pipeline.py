@@ -11,30 +11,32 @@ from corroborate.llm.shared import written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field, fitted on the labelled ones, scores one half or more go; null texts stay."""
+    """Documents that the field, fitted on the labelled ones, scores one half or more go. Each row is judged by its own
+    text, a null one as an empty one, whatever its doc_id; repeated rows go or stay together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxic.held_out())
-    bad = toxic.toxicity(docs, toxic.train(docs, labels)).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return toxic.clean(docs, toxic.train(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of least id; shingles of five words."""
+    """One document of each group of near-duplicates stays: the one of least id; shingles of five words. Null and empty
+    texts and rows without doc_id stay; rows that repeat a doc_id stay or go together."""
     gone = minmax_dedup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts and rows without doc_id stay; rows that repeat a doc_id
+    go together if any of them holds one."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is masked; n_chars follows."""
+    """Personal data in the texts is masked; n_chars follows. Null texts stay null, and so does their n_chars; no row goes."""
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per row: doc_id (null where it is), n_tokens, ids_sha256, decoded_sha256; a null text counts as empty."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
