@@ -105,9 +105,9 @@ def distance(scores: Column, query: dict[str, float], keys: list[str], inverse:
     return F.when(own.isNotNull(), F.sqrt(F.when((form >= 0) & (form < float("inf")), form).otherwise(plain)))
 
 
-def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, inverse: np.ndarray | None = None, per: int = 50) -> DataFrame:
-    """The k labelled cases of least penalised distance: (file_hash, doc_id, distance, days, penalised). Candidates are the
-    newest ``per`` * k where there are more labelled cases (an option of the search, not of the store). A case is measured
+def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, inverse: np.ndarray | None = None, per: int | None = None) -> DataFrame:
+    """The k labelled cases of least penalised distance: (file_hash, doc_id, distance, days, penalised). All labelled cases are
+    candidates; with ``per``, the newest ``per`` * k of them only. A case is measured
     over the keys it has, by the inverse of their part of the covariance (``inverse``, if given, is that of all keys); one
     without any is no candidate."""
     from ..functions.scores import recency_penalty
@@ -117,16 +117,27 @@ def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, i
     # On the driver: a number for each set of keys that occurs.
     present = sorted(r.bits for r in labelled.select(presence(F.col("tool_scores"), keys).alias("bits")).distinct().collect() if r.bits)
     own = inverses(covariance_matrix(store, keys) if inverse is None else np.linalg.inv(inverse), present)
-    labelled = labelled.orderBy(F.desc("ts"), "doc_id").limit(per * k)
+    if per is not None:
+        labelled = labelled.orderBy(F.desc("ts"), "doc_id").limit(per * k)
     days = F.greatest(F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("ts")) / 86400), F.lit(0))
     rows = labelled.select("file_hash", "doc_id", distance(F.col("tool_scores"), query, keys, own).alias("distance"), days.alias("days"))
     rows = rows.where("distance IS NOT NULL").withColumn("penalised", F.col("distance") * recency_penalty(F.col("days"))).orderBy("penalised", "doc_id").limit(k)
     return rows.select("file_hash", "doc_id", F.round("distance", 6).alias("distance"), "days", F.round("penalised", 6).alias("penalised"))
 
 
+def words_of(text: Column) -> Column:
+    return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+")
+
+
+def containing(store: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id) of the cases whose reasoning has all words: one scan, nothing shuffled."""
+    hits = [F.array_contains("words", w) for w in sorted({w.lower() for w in words})]
+    return store.select("doc_id", words_of(F.col("reasoning")).alias("words")).where(F.forall(F.array(*hits), lambda h: h)).select("doc_id")
+
+
 def postings(store: DataFrame) -> DataFrame:
-    """(token, doc_id): an inverted index of the words of the reasoning."""
-    words = F.array_distinct(F.filter(F.split(F.translate("reasoning", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda w: w != ""))
+    """(token, doc_id): an inverted index of the words of the reasoning, to be stored where many searches follow."""
+    words = F.array_distinct(F.filter(words_of(F.col("reasoning")), lambda w: w != ""))
     return store.select("doc_id", F.explode(words).alias("token"))
 
 

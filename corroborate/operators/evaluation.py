@@ -43,3 +43,8 @@ def balanced_sample(rows: DataFrame, label: str, key: str, n: int, seed: int = 0
 
 def class_counts(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def matched(rows: DataFrame, verdict: str = "verdict", truth: str = "y") -> DataFrame:
+    """Adds ``matched``: a verdict of FAKE stands for 1, any other for 0."""
+    return rows.withColumn("matched", (F.col(verdict) == "FAKE").cast("int") == F.col(truth))

@@ -93,10 +93,13 @@ def admitted(path: Column, length: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(ADMITTED) & (length <= MAX_BYTES)
 
 
+#: Words in names of errors, the kind they stand for, and a failed tool's confidence.
+FAILURES = [("OutOfMemory", "RESOURCE", 0.1), ("Timeout", "TIMEOUT", 0.2), ("InvalidInput", "INPUT", 0.0), ("ValueError", "INPUT", 0.0)]
+
+
 def failure(message: Column) -> Column:
     """struct(kind, confidence) of an error text."""
-    rules = [("OutOfMemory", "RESOURCE", 0.1), ("Timeout", "TIMEOUT", 0.2), ("InvalidInput", "INPUT", 0.0), ("ValueError", "INPUT", 0.0)]
     kind, conf = F.lit("UNKNOWN"), F.lit(0.0)
-    for part, name, c in reversed(rules):
+    for part, name, c in reversed(FAILURES):
         kind, conf = F.when(message.contains(part), name).otherwise(kind), F.when(message.contains(part), c).otherwise(conf)
     return F.struct(kind.alias("kind"), conf.alias("confidence"))

@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-10
@@ -40,9 +40,19 @@ def calibration(bands: DataFrame) -> DataFrame:
     return bands.agg(*[F.round(F.avg(n), 6).alias(f"mean_{n}") for n in names], *[F.round(F.stddev_pop(n), 6).alias(f"std_{n}") for n in names], F.count("*").alias("num_samples"))
 
 
-def z_scores(bands: DataFrame, means: dict[str, float], stds: dict[str, float]) -> DataFrame:
-    z = {n: F.when(F.lit(stds[n]) > 1e-9, (F.col(n) - means[n]) / (stds[n] or 1.0)).otherwise(0.0) for n in means}
-    kind = F.when(z["high"] > 1.5, "high").when(z["base"] > 1.5, "base")
+#: Deviations that count as an anomaly, and the share of the high band that does where no calibration is known.
+Z_ANOMALY, HIGH_SHARE = 1.5, 0.15
+
+
+def z_scores(bands: DataFrame, means: dict[str, float] | None = None, stds: dict[str, float] | None = None) -> DataFrame:
+    """Bands with z_base, z_mid, z_high, anomaly, anomaly_type: the high band first, then the low one, in either direction.
+    Without calibration the z columns are null, and only a large share of the high band is an anomaly."""
+    if means is None or stds is None:
+        none = F.lit(None).cast("double")
+        high = F.col("high") > HIGH_SHARE
+        return bands.select("*", *[none.alias(f"z_{n}") for n in ("base", "mid", "high")], high.alias("anomaly"), F.when(high, "high_freq").alias("anomaly_type"))
+    z = {n: F.when(F.lit(stds[n]) >= 1e-8, (F.col(n) - means[n]) / (stds[n] or 1.0)).otherwise(0.0) for n in means}
+    kind = F.when(F.abs(z["high"]) > Z_ANOMALY, "high_freq").when(F.abs(z["base"]) > Z_ANOMALY, "low_freq")
     return bands.select("*", *[F.round(v, 6).alias(f"z_{n}") for n, v in z.items()], kind.isNotNull().alias("anomaly"), kind.alias("anomaly_type"))
 
 
@@ -66,72 +76,113 @@ def dct_matrix(n: int = 8) -> np.ndarray:
     return m
 
 
-def peak_ratio(grey: np.ndarray, dx: int = 0, dy: int = 0) -> float:
-    """Periodicity of rounded low-frequency coefficients of the 8 x 8 grid at an offset: largest autocorrelation of their
-    histogram away from the centre, over the centre."""
-    h, w = (grey.shape[0] - dy) // 8 * 8, (grey.shape[1] - dx) // 8 * 8
-    if h < 8 or w < 8:
-        return 0.0
-    blocks = grey[dy : dy + h, dx : dx + w].reshape(h // 8, 8, w // 8, 8).swapaxes(1, 2).reshape(-1, 8, 8) - 128.0
-    c = dct_matrix() @ blocks @ dct_matrix().T
+@cache
+def _low_frequencies() -> np.ndarray:
+    """64 x 20: what takes the pixels of a block to its coefficients of order 1 to 5."""
+    m = dct_matrix()
     i, j = np.indices((8, 8))
-    ac = np.rint(c[:, (i + j > 0) & (i + j <= 5)]).ravel()
-    hist, _ = np.histogram(ac, bins=513, range=(-256.5, 256.5))
-    hist = hist - hist.mean()
-    auto = np.correlate(hist, hist, "full")
-    mid = len(auto) // 2
-    return float(max(0.0, auto[mid + 2 : mid + 64].max() / auto[mid])) if auto[mid] > 0 else 0.0
-
-
-def dct_peaks(images: DataFrame, key: str = "case_id") -> DataFrame:
-    """(key, ratio, z) of grey images (key, h, w, data binary): the ratio at the grid's own offset, and how it stands
-    against all 64 offsets."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, h, w, data in zip(b[key], b["h"], b["w"], b["data"]):
-                grey = np.frombuffer(data, np.uint8).reshape(h, w).astype(float)
-                all_ = np.array([peak_ratio(grey, dx, dy) for dy in range(8) for dx in range(8)])
-                out.append((k, round(float(all_[0]), 6), round(float((all_[0] - all_.mean()) / (all_.std() + EPS)), 6)))
-            yield pd.DataFrame(out, columns=[key, "ratio", "z"])
-
-    return images.select(key, "h", "w", "data").mapInPandas(run, f"{key} {dict(images.dtypes)[key]}, ratio double, z double")
-
-
-def pulse(values: np.ndarray, fps: float = 30.0, n: int = 2048, low: float = 0.7, high: float = 2.5) -> tuple[float, float, float, float]:
-    """(beats per minute, concentration, SNR in dB, share below 0.5 Hz) of a trace."""
-    x = np.asarray(values, float)
-    x = (x - x.mean()) / (x.std() + EPS) * np.hanning(len(x))
-    power = np.abs(np.fft.rfft(x, n)) ** 2
-    f = np.fft.rfftfreq(n, 1 / fps)
-    band = np.flatnonzero((f >= low) & (f <= high))
-    k = band[np.argmax(power[band])]
-    near = np.arange(max(k - 2, 0), k + 3)
-    signal, rest = power[near].sum(), power[np.setdiff1d(band, near)].sum()
-    share = power[(f > 0) & (f < 0.5)].sum() / (power[1:].sum() + EPS)
-    return float(f[k] * 60), float(power[k] / (np.median(power[band]) + EPS)), float(10 * np.log10((signal + EPS) / (rest + EPS))), float(share)
-
-
-def pulse_metrics(signals: DataFrame, key: str = "case_id", length: int = 512) -> DataFrame:
-    """(key, window, n, bpm, concentration, snr_db, motion_share) of traces (key, t, value), in windows of ``length``
-    samples, so that a group in a task is bounded however long the trace."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(key, "part").orderBy("t")) - 1
-    rows = signals.withColumn("window", (F.col("part") * 1000000 + F.floor(place / length)).cast("long")) if "part" in signals.columns else signals.withColumn("part", F.lit(0)).withColumn("window", F.floor(place / length).cast("long"))
+    return np.einsum("ax,by->xyab", m, m)[:, :, (i + j > 0) & (i + j <= 5)].reshape(64, -1)
+
+
+def peak_ratios(grey: np.ndarray) -> np.ndarray:
+    """8 x 8: for each offset of the block grid (rows down, columns across), the periodicity of its rounded low-frequency
+    coefficients: the largest autocorrelation of their histogram beyond the centre and its neighbours, over the centre. The
+    blocks of all offsets in one row of blocks are transformed in one product."""
+    h, w = grey.shape
+    out = np.zeros((8, 8))
+    if h < 8 or w < 8:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(grey, (8, 8))
+    for dy in range(min(8, h - 7)):
+        c = np.rint(windows[dy::8].reshape(-1, 64) @ _low_frequencies()).reshape(len(windows[dy::8]), w - 7, -1)
+        for dx in range(min(8, w - 7)):
+            x = c[:, dx::8].ravel()
+            hist = np.bincount((x[np.abs(x) <= 256] + 256).astype(np.int64), minlength=513)
+            auto = np.correlate(hist, hist, "same").astype(float)
+            mid = len(auto) // 2
+            if auto[mid] >= 1e-10:
+                out[dy, dx] = np.delete(auto, [mid - 1, mid, mid + 1]).max() / auto[mid]
+    return out
+
+
+def dct_peaks(crops: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, dy, dx, ratio, z, n_crops) from grey crops (key, crop, h, w, data binary): the grid of the greatest ratio in the
+    first crop, then the mean over all crops of the ratio at that grid and of its z-score against all 64 offsets."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        v = b.sort_values("t")["value"].to_numpy(float)
-        got = pulse(v) if len(v) >= 90 else (None,) * 4
-        return pd.DataFrame([(b[key].iloc[0], int(b["window"].iloc[0]), len(v), *(None if g is None else round(g, 4) for g in got))], columns=[key, "window", "n", "bpm", "concentration", "snr_db", "motion_share"])
+        b = b.sort_values("crop")
+        every = [peak_ratios(np.frombuffer(d, np.uint8).reshape(h, w).astype(np.float32).astype(float)) for h, w, d in zip(b["h"], b["w"], b["data"])]
+        dy, dx = divmod(int(np.argmax(every[0])), 8)
+        at = [float(r[dy, dx]) for r in every]
+        z = [(x - r.mean()) / r.std() if r.std() > 1e-10 else 0.0 for x, r in zip(at, every)]
+        return pd.DataFrame([(b[key].iloc[0], dy, dx, round(float(np.mean(at)), 6), round(float(np.mean(z)), 6), len(at))], columns=[key, "dy", "dx", "ratio", "z", "n_crops"])
+
+    return crops.select(key, "crop", "h", "w", "data").groupBy(key).applyInPandas(run, f"{key} {dict(crops.dtypes)[key]}, dy int, dx int, ratio double, z double, n_crops int")
+
+
+#: Frames that a pulse needs at least, length of its transform, band of heart rates in Hz, share of motion.
+MIN_FRAMES, TRANSFORM, BAND, MOTION, MOTION_HZ, FLAT = 90, 2048, (0.7, 2.5), 0.75, 0.5, 1e-5
+
 
-    return rows.groupBy(key, "window").applyInPandas(run, f"{key} {dict(signals.dtypes)[key]}, window long, n long, bpm double, concentration double, snr_db double, motion_share double")
+def pos_signal(rgb: np.ndarray) -> np.ndarray:
+    """Pulse signal of mean colours (frames x 3): colours over their means, projected on the plane orthogonal to skin tone,
+    both projections brought to one scale and added, standardised."""
+    c = rgb / np.maximum(rgb.mean(axis=0), 1.0)
+    x, y = c[:, 1] - c[:, 2], c[:, 1] + c[:, 2] - 2 * c[:, 0]
+    h = x + x.std() / (y.std() + 1e-7) * y
+    return np.nan_to_num((h - h.mean()) / (h.std() + 1e-7))
 
 
-def liveness(bpm: Column, concentration: Column, snr: Column, motion: Column, n: Column) -> Column:
-    """The label of pulse metrics; the first rule that holds."""
-    return (
-        F.when(n < 90, "ABSTAIN").when(bpm.isNull(), "ABSTAIN").when(motion > 0.75, "MOTION").when(snr < -10, "FLATLINE")
-        .when((bpm < 40) | (bpm > 180), "IMPLAUSIBLE").when((snr >= 3) & (concentration >= 4), "PULSE").when(snr >= 3, "WEAK_PULSE").otherwise("ABSTAIN")
-    )
+def _power(x: np.ndarray, n: int, fps: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.fft.rfftfreq(n, 1 / fps), np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)), n)) ** 2
+
+
+def motion_share(green: np.ndarray, fps: float = 30.0) -> float:
+    """Energy below half a hertz, over that and the energy of heart rates; 1 for a trace too short to tell."""
+    if len(green) < MIN_FRAMES:
+        return 1.0
+    f, power = _power(np.asarray(green, float), max(256, len(green)), fps)
+    slow, heart = power[f < MOTION_HZ].sum(), power[(f >= BAND[0]) & (f <= BAND[1])].sum()
+    return float(slow / (slow + heart + 1e-10))
+
+
+def pulse(signal: np.ndarray, fps: float = 30.0) -> tuple[float, float, float]:
+    """(peak in Hz, SNR in dB of the five bins around it inside the band, concentration: peak over the band's median)."""
+    x = np.asarray(signal, float)
+    if x.std() < FLAT:
+        return 0.0, -100.0, 0.0
+    f, power = _power(x, TRANSFORM, fps)
+    band = (f >= BAND[0]) & (f <= BAND[1])
+    f, power = f[band], power[band]
+    if not power.sum():
+        return 0.0, -100.0, 0.0
+    k = int(np.argmax(power))
+    near = power[max(0, k - 2) : k + 3].sum()
+    rest = power[: max(0, k - 2)].sum() + power[k + 3 :].sum()
+    return float(f[k]), float(10 * np.log10(max(near, 1e-10) / max(rest, 1e-10))), float(power[k] / (np.median(power) + 1e-10))
+
+
+def carried(traces: DataFrame, key: list[str], order: str = "frame", colours: tuple[str, ...] = ("r", "g", "b"), seed: float = 128.0) -> DataFrame:
+    """Mean colours where a frame's region was empty (null): those of the last frame that had any, at first ``seed``."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return traces.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(seed)) for c in colours})
+
+
+def pulse_metrics(traces: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, region, n, peak_hz, snr_db, concentration, std, flat, motion_share, moving) from mean colours (key, region, frame,
+    r, g, b) of the skin regions of a face; nulls are carried. A trace holds the frames of one analysed clip (at most
+    300), so a group is bounded. With fewer than 90 frames, the metrics are null."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        rgb = b.sort_values("frame")[["r", "g", "b"]].to_numpy(float)
+        if len(rgb) < MIN_FRAMES:
+            got: list = [None] * 4 + [True, 1.0, True]
+        else:
+            h, share = pos_signal(rgb), motion_share(rgb[:, 1])
+            hz, snr, concentration = pulse(h)
+            got = [round(hz, 6), round(snr, 4), round(concentration, 4), round(float(rgb[:, 1].std()), 6), bool(h.std() < FLAT), round(share, 6), share > MOTION]
+        return pd.DataFrame([(b[key].iloc[0], b["region"].iloc[0], len(rgb), *got)], columns=[key, "region", "n", "peak_hz", "snr_db", "concentration", "std", "flat", "motion_share", "moving"])
+
+    kinds = dict(traces.dtypes)
+    rows = carried(traces.select(key, "region", "frame", "r", "g", "b"), [key, "region"])
+    return rows.groupBy(key, "region").applyInPandas(run, f"{key} {kinds[key]}, region {kinds['region']}, n long, peak_hz double, snr_db double, concentration double, std double, flat boolean, motion_share double, moving boolean")

@@ -112,3 +112,34 @@ def breaker_state(calls: DataFrame, failures: int = 3) -> DataFrame:
 def admission(length: Column, n_frames: Column) -> Column:
     """Tracks long enough to count."""
     return length >= F.least(F.lit(5), F.greatest(F.lit(3), F.floor(n_frames / 30)))
+
+
+def breaker(calls: DataFrame, failures: int = 3, recovery: float = 60.0) -> DataFrame:
+    """(tool, seq, allowed, state): calls (tool, seq, at in seconds, success) through a breaker for each tool. From ``failures``
+    failures in a row it is OPEN and lets nothing through until ``recovery`` seconds have passed; then HALF_OPEN: calls are
+    let through, a success closes it, a failure opens it again. What isn't let through has no outcome.
+
+    One pass over each sorted partition, carrying the state only, so a tool with very many calls costs no memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, state, count, tripped = None, "CLOSED", 0, 0.0
+        for b in batches:
+            out = []
+            for key, seq, at, ok in zip(b["tool"], b["seq"], b["at"], b["success"]):
+                if key != tool:
+                    tool, state, count, tripped = key, "CLOSED", 0, 0.0
+                if state == "OPEN" and at - tripped > recovery:
+                    state = "HALF_OPEN"
+                allowed = state != "OPEN"
+                if allowed and ok:
+                    state, count = "CLOSED", 0
+                elif allowed:
+                    count += 1
+                    if count >= failures:
+                        state, tripped = "OPEN", at
+                out.append((key, seq, allowed, state))
+            yield pd.DataFrame(out, columns=["tool", "seq", "allowed", "state"])
+
+    kinds = dict(calls.dtypes)
+    rows = calls.repartition("tool").sortWithinPartitions("tool", "at", "seq").select("tool", "seq", F.col("at").cast("double").alias("at"), "success")
+    return rows.mapInPandas(run, f"tool {kinds['tool']}, seq {kinds['seq']}, allowed boolean, state string")

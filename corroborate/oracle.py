@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import dims as d
-from .operators import provenance, signal
-from .queries import AS_OF, KEYS, PROBE, QUERY, RANGES
+from .operators import signal
+from .queries import AS_OF, KEYS, PROBE, QUERY
 from .sources.bridge import EVENT_TYPES
 
 SQL: dict[str, str] = {}
@@ -138,7 +138,6 @@ SQL["breaker_state"] = f"""WITH {ev()}, r AS (SELECT case_id AS tool, seq, confi
  SELECT tool, seq, in_row::BIGINT AS in_row, CASE WHEN in_row >= 3 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY tool, run ORDER BY seq) AS in_row FROM r)"""
 SQL["score_bands"] = f"""WITH {ev()} SELECT CASE WHEN confidence <= 0 THEN 'ABSTAINED' WHEN real_prob >= 0.70 THEN 'CLEAR' WHEN real_prob >= 0.45 THEN 'INCONCLUSIVE' ELSE 'SUSPICIOUS' END AS band,
  CASE WHEN error THEN 'ERROR' WHEN confidence = 0 THEN 'ABSTAINED' WHEN real_prob < 0.5 THEN 'SUSPICIOUS' ELSE 'CLEAR' END AS status, count(*) AS n FROM ev GROUP BY ALL"""
-SQL["evasion_flags"] = """SELECT doc_id, concat_ws(',', CASE WHEN n_chars % 40 < 8 THEN 'GRAYSCALE' END, CASE WHEN n_chars % 7 = 0 THEN 'CLIPPED_BLACK' END, CASE WHEN length(text) < 400 THEN 'COMPRESSION' END, CASE WHEN n_chars % 11 < 2 THEN 'HEAVY_BLUR' END, CASE WHEN length(text) < 200 THEN 'LOW_RES' END) AS flags FROM documents"""
 BOXES = """bx AS (SELECT CAST(user_id % 10 AS VARCHAR) AS case_id, user_id AS track, frame, x AS x1, y AS y1, (x + 60 + i % 80)::INT AS x2, (y + 50 + i % 90)::INT AS y2 FROM (
  SELECT user_id, frame, i, ((i * 37) % 500)::INT AS x, ((i * 53) % 400)::INT AS y FROM (SELECT user_id, floor((epoch(ts) - 1704067200) / 3600)::BIGINT AS frame, min(event_id) AS i FROM events GROUP BY ALL)))"""
 RUNS = """rn AS (SELECT case_id, track, min(frame) AS start, count(*) AS length FROM (SELECT case_id, track, frame, frame - row_number() OVER (PARTITION BY case_id, track ORDER BY frame) AS run FROM (SELECT DISTINCT case_id, track, frame FROM bx)) GROUP BY case_id, track, run),
@@ -177,24 +176,18 @@ SQL["global_stats"] = f"WITH {CASES} " + " UNION ALL ".join(f"SELECT '{k}' AS ke
 _COV = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN count(*) < 2 THEN {1 if a == b else 0} ELSE covar_samp({a}, {b}) + {1e-6 if a == b else 0} END, 9) AS cov FROM cs" for a in KEYS for b in KEYS)
 SQL["covariance"] = f"WITH {CASES} {_COV}"
 _DIST = "sqrt(" + " + ".join(f"power({k} - {QUERY[k]}::DOUBLE, 2)" for k in KEYS) + ")"
-SQL["nearest_cases"] = f"""WITH {CASES}, l AS (SELECT *, greatest(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(ts)) / 86400)::BIGINT, 0) AS days, {_DIST} AS dist FROM (SELECT * FROM cs WHERE feedback_label IS NOT NULL ORDER BY ts DESC, doc_id LIMIT 5000))
+SQL["nearest_cases"] = f"""WITH {CASES}, l AS (SELECT *, greatest(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(ts)) / 86400)::BIGINT, 0) AS days, {_DIST} AS dist FROM (SELECT * FROM cs WHERE feedback_label IS NOT NULL NEWEST))
  SELECT file_hash, doc_id, round(dist, 6) AS distance, days, round(dist * least(exp(0.005 * days), 10), 6) AS penalised FROM l ORDER BY dist * least(exp(0.005 * days), 10), doc_id LIMIT 5"""
+SQL["nearest_cases_newest"] = SQL["nearest_cases"].replace("NEWEST", "ORDER BY ts DESC, doc_id LIMIT 250")
+SQL["nearest_cases"] = SQL["nearest_cases"].replace(" NEWEST", "")
 SQL["fts_match"] = f"""WITH {CASES}, w AS (SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS ws FROM cs) SELECT doc_id FROM w WHERE list_has_all(ws, ['the', 'of', 'and'])"""
 SQL["metadata_filter"] = f"WITH {CASES} SELECT doc_id, file_hash FROM cs WHERE lang = 'de'"
-SQL["keyword_flags"] = "SELECT doc_id, regexp_matches(lower(text), '" + provenance.keyword_pattern() + "') AS ai, regexp_matches(lower(text), '" + provenance.keyword_pattern(["the", "license", "der"]) + "') AS control FROM documents"
-_SEV = "[" + ", ".join(map(str, provenance.SEVERITY.values())) + "]"
-_NSEV = len(provenance.SEVERITY)
-SQL["severity_score"] = f"""WITH s AS (SELECT page_id, {' + '.join(f'{_SEV}[(page_id * {k}) % {_NSEV} + 1]' for k in (3, 5, 7))} AS severity, page_id % 4 <> 0 AS valid, page_id % 5 = 0 AS ai FROM pages)
- SELECT page_id, severity, (CASE WHEN valid AND ai THEN 0 WHEN valid AND severity >= 3 THEN 0.4 WHEN valid AND severity >= 1 THEN 0.7 WHEN valid THEN 1 WHEN ai THEN 0.2 ELSE 0.5 END)::DOUBLE AS real_prob,
- (CASE WHEN valid AND ai THEN 0.95 WHEN valid AND severity >= 3 THEN 0.7 WHEN valid AND severity >= 1 THEN 0.8 WHEN valid THEN 0.95 WHEN ai THEN 0.6 ELSE 0.3 END)::DOUBLE AS confidence FROM s"""
-SQL["signature_states"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'invalid' WHEN page_id % 5 IN (1, 4) THEN 'invalid' WHEN page_id % 5 = 2 THEN 'untrusted' WHEN page_id % 5 = 3 THEN 'expired' WHEN page_id % 3 <> 0 THEN 'valid_no_chain' ELSE 'valid' END AS state FROM pages"""
-SQL["chain_tools"] = "SELECT conv_id, count(*) AS n, min(turn) FILTER (turn % 3 = 0) AS created, arg_max(role, turn) AS final_tool, arg_min(role, turn) AS first_tool FROM conversations GROUP BY conv_id"
 _Z = signal.zigzag()
 _E = ", ".join("sqrt(" + " + ".join(f"power(embedding[{k + 1}]::DOUBLE, 2)" for k in sorted(band)) + f") AS e{n}" for n, band in enumerate((_Z[:21], _Z[21:42], _Z[42:])))
 BANDS = f"bands AS (SELECT vec_id, round(e0 / (e0 + e1 + e2 + 1e-10), 6) AS base, round(e1 / (e0 + e1 + e2 + 1e-10), 6) AS mid, round(e2 / (e0 + e1 + e2 + 1e-10), 6) AS high FROM (SELECT vec_id, {_E} FROM embeddings))"
 SQL["band_energy"] = f"WITH {BANDS} SELECT * FROM bands"
 SQL["calibration_stats"] = f"WITH {BANDS} SELECT " + ", ".join(f"round(avg({n}), 6) AS mean_{n}, round(stddev_pop({n}), 6) AS std_{n}" for n in ("base", "mid", "high")) + ", count(*) AS num_samples FROM bands"
-SQL["band_z_scores"] = f"""WITH {BANDS}, z AS (SELECT *, (base - 0.35::DOUBLE) / 0.03::DOUBLE AS zb, (mid - 0.33::DOUBLE) / 0.03::DOUBLE AS zm, (high - 0.32::DOUBLE) / 0.03::DOUBLE AS zh FROM bands), k AS (SELECT *, CASE WHEN zh > 1.5 THEN 'high' WHEN zb > 1.5 THEN 'base' END AS anomaly_type FROM z)
+SQL["band_z_scores"] = f"""WITH {BANDS}, z AS (SELECT *, (base - 0.35::DOUBLE) / 0.03::DOUBLE AS zb, (mid - 0.33::DOUBLE) / 0.03::DOUBLE AS zm, (high - 0.32::DOUBLE) / 0.03::DOUBLE AS zh FROM bands), k AS (SELECT *, CASE WHEN abs(zh) > 1.5 THEN 'high_freq' WHEN abs(zb) > 1.5 THEN 'low_freq' END AS anomaly_type FROM z)
  SELECT vec_id, base, mid, high, round(zb, 6) AS z_base, round(zm, 6) AS z_mid, round(zh, 6) AS z_high, anomaly_type IS NOT NULL AS anomaly, anomaly_type FROM k"""
 _DOT = " + ".join(f"embedding[{k + 1}]::DOUBLE * {w}::DOUBLE" for k, w in enumerate(PROBE))
 _NORM = "sqrt(" + " + ".join(f"power(embedding[{k + 1}]::DOUBLE, 2)" for k in range(64)) + ")"
@@ -202,9 +195,6 @@ SQL["probe_score"] = f"""WITH p AS (SELECT vec_id, 1 / (1 + exp(-(CASE WHEN n >
  SELECT vec_id, round(p, 6) AS probability, round(greatest(0.3::DOUBLE, least(1, 0.3::DOUBLE + 4 * (p - 0.5) * (p - 0.5))), 6) AS confidence FROM p"""
 SQL["patch_consistency"] = """WITH g AS (SELECT user_id, avg((event_id % 100)::DOUBLE / 100) AS m, stddev_pop((event_id % 100)::DOUBLE / 100) / 6 AS s FROM events GROUP BY user_id)
  SELECT user_id, round(m, 6) AS mean, round(CASE WHEN m < 0.35 OR s >= 0.06 THEN m WHEN m >= 0.43 THEN m * greatest(0.2, s / 0.06::DOUBLE) ELSE m * (1 - 0.7 * (1 - sqrt(s / 0.06::DOUBLE))) END, 6) AS damped FROM g"""
-_SEVS = ", ".join(f"CASE WHEN v_{n} < {lo} THEN least(1, ({lo}::DOUBLE - v_{n}) / ({hi}::DOUBLE - {lo}::DOUBLE)) WHEN v_{n} > {hi} THEN least(1, (v_{n} - {hi}::DOUBLE) / ({hi}::DOUBLE - {lo}::DOUBLE)) ELSE 0 END AS {n}" for n, (lo, hi, _) in RANGES.items())
-_VALS = ", ".join(f"((vec_id * {k}) % 200)::DOUBLE / 100 AS v_{n}" for n, k in zip(RANGES, (3, 7, 11, 13)))
-SQL["geometry_checks"] = f"""WITH s AS (SELECT vec_id, {_SEVS} FROM (SELECT vec_id, {_VALS} FROM embeddings)) SELECT vec_id, round(1 - ({' + '.join(f'{n} * {w}' for n, (_, _, w) in RANGES.items())}) / {sum(w for *_, w in RANGES.values())}::DOUBLE, 6) AS score, {' + '.join(f'({n} > 0)::INT' for n in RANGES)} AS violations FROM s"""
 SQL["dct_scores"] = f"""WITH {ev()}, s AS (SELECT seq, confidence * 8 AS z, CASE WHEN confidence * 8 < 4.15 THEN least(0.15::DOUBLE, 0.15::DOUBLE * peak_ratio) WHEN seq % 2 = 0 THEN greatest(0, least(1, (peak_ratio - 0.96::DOUBLE) / 0.04::DOUBLE)) ELSE greatest(0, least(1, (peak_ratio - 0.88::DOUBLE) / 0.10::DOUBLE)) END AS s FROM ev WHERE tool = 'run_dct')
  SELECT seq, round(s, 6) AS score, round(least(0.95::DOUBLE, 0.4::DOUBLE + 0.5 * power((s - 0.5) / 0.45::DOUBLE, 2) + CASE WHEN z > 4.15 OR z < 1 THEN 0.15::DOUBLE ELSE 0 END), 6) AS confidence FROM s"""
 SQL["failure_kinds"] = f"""WITH {ev()} SELECT CASE seq % 5 WHEN 0 THEN 'RESOURCE' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'INPUT' WHEN 3 THEN 'INPUT' ELSE 'UNKNOWN' END AS kind, (CASE seq % 5 WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 0 END)::DOUBLE AS confidence, count(*) AS n FROM ev GROUP BY ALL"""
@@ -235,3 +225,11 @@ SQL["liveness_labels"] = """WITH r AS (SELECT vec_id::BIGINT AS v, k, (60 + v *
  (CASE WHEN unclear THEN 0.5 WHEN flat AND sd >= 0.05 THEN 0.35 WHEN flat OR an < 2 OR n_good < 2 OR pl = 0 THEN 0.5 WHEN best.gap <= 0.5 THEN 0.95 ELSE 0.5 END)::DOUBLE AS real_prob,
  round((CASE WHEN unclear THEN 0 WHEN flat AND sd >= 0.05 THEN least(0.8::DOUBLE, sd * 12) WHEN flat OR an < 2 OR n_good < 2 OR pl = 0 THEN 0 WHEN best.gap <= 0.5 THEN CASE WHEN tog >= 3 THEN 0.95 WHEN tog = 2 THEN 0.70 ELSE 0.50 END WHEN n_good = 3 THEN 0.60 ELSE 0.40 END)::DOUBLE, 6) AS confidence, n_good FROM t"""
 SQL["evidence_lines"] = f"""WITH {ev(True)}, {DD} SELECT case_id, string_agg(tool || ': ' || CASE WHEN confidence = 0 THEN '[ABSTAINED] Insufficient data.' ELSE 'Authenticity ' || format('{{:.1f}}', real_prob * 100) || '%: ' || CASE WHEN real_prob >= 0.70 THEN 'CLEAR' WHEN real_prob >= 0.45 THEN 'INCONCLUSIVE' ELSE 'SUSPICIOUS' END END, chr(10) ORDER BY slot) AS text FROM dd GROUP BY case_id"""
+#: The words as the rule has them, written out on their own.
+SQL["keyword_flags"] = r"""SELECT doc_id, regexp_matches(lower(text || ' made with ' || ['Gemini', 'dall e', 'DALL-E', 'StableDiffusion', 'megaminx', 'Midjourneyman', 'Kling-2', 'copilot', 'PIKA', 'dalle3'][doc_id % 10 + 1]),
+ '\bgemini\b|\bmidjourney\b|\bdall[-\s]?e?\b|\bstable[\s-]?diffusion\b|\bopenai\b|\badobe[\s-]?firefly\b|\bflux\b|\bideogram\b|\bleonardo\b|\bkling\b|\brunway\b|\bpika\b|\bsora\b|\brecraft\b|\bjimeng\b|\bimagen\b|\bpartylamb\b') AS ai,
+ regexp_matches(lower(text), '\b(the|license|der)\b') AS control FROM documents"""
+_SEV = "[1, 0, 1, 0, 1, 0, 2, 2, 1, 0, 0]"
+SQL["severity_score"] = f"""WITH s AS (SELECT page_id, {' + '.join(f'{_SEV}[(page_id * {k}) % 11 + 1]' for k in (3, 5, 7))} AS severity, page_id % 4 <> 0 AS valid, page_id % 5 = 0 AS ai FROM pages)
+ SELECT page_id, severity, (CASE WHEN valid AND ai THEN 0 WHEN valid AND severity >= 3 THEN 0.4 WHEN valid AND severity >= 1 THEN 0.7 WHEN valid THEN 1 WHEN ai THEN 0.2 ELSE 0.5 END)::DOUBLE AS real_prob,
+ (CASE WHEN valid AND ai THEN 0.95 WHEN valid AND severity >= 3 THEN 0.7 WHEN valid AND severity >= 1 THEN 0.8 WHEN valid THEN 0.95 WHEN ai THEN 0.6 ELSE 0.3 END)::DOUBLE AS confidence FROM s"""

@@ -19,8 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = sorted(d.NAMES[:4])
 #: The case that nearest cases are sought for, and the time of asking.
 QUERY, AS_OF = {k: 0.5 for k in KEYS}, "2025-01-01 00:00:00"
-#: Ratio of landmark distances that the geometry checks allow.
-RANGES = {"ipd": (0.35, 0.60, 2.0), "philtrum": (0.06, 0.20, 1.5), "nose": (0.45, 0.80, 1.5), "mouth": (0.75, 1.15, 1.0)}
 PROBE = [round(((k * 37) % 19 - 9) / 10, 1) for k in range(64)]
 
 
@@ -158,13 +156,6 @@ def score_bands(spark, sf_dir):
     return t.groupBy(fn.band(F.col("real_prob"), F.col("confidence")).alias("band"), fn.ui_status(F.col("real_prob"), F.col("confidence"), F.col("error")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query
-def evasion_flags(spark, sf_dir):
-    n, v = F.col("n_chars"), F.length("text")
-    flags = F.array_compact(F.array(F.when(n % 40 < 8, "GRAYSCALE"), F.when(n % 7 == 0, "CLIPPED_BLACK"), F.when(v < 400, "COMPRESSION"), F.when(n % 11 < 2, "HEAVY_BLUR"), F.when(v < 200, "LOW_RES")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
-
-
 @query
 def longest_run(spark, sf_dir):
     return tracks.longest_runs(bridge.track_boxes(spark, sf_dir))
@@ -277,7 +268,15 @@ def covariance(spark, sf_dir):
 def nearest_cases(spark, sf_dir):
     import numpy as np
 
-    return casestore.nearest(bridge.cases(spark, sf_dir), QUERY, AS_OF, k=5, inverse=np.eye(len(KEYS)), per=1000)
+    return casestore.nearest(bridge.cases(spark, sf_dir), QUERY, AS_OF, k=5, inverse=np.eye(len(KEYS)))
+
+
+@query
+def nearest_cases_newest(spark, sf_dir):
+    """Among the newest 50 labelled cases for each one asked for."""
+    import numpy as np
+
+    return casestore.nearest(bridge.cases(spark, sf_dir), QUERY, AS_OF, k=5, inverse=np.eye(len(KEYS)), per=50)
 
 
 @query
@@ -287,7 +286,7 @@ def nearest_cases_mahalanobis(spark, sf_dir):
 
 @query
 def fts_match(spark, sf_dir):
-    return casestore.match(casestore.postings(bridge.cases(spark, sf_dir)), ["The", "of", "and"])
+    return casestore.containing(bridge.cases(spark, sf_dir), ["The", "of", "and"])
 
 
 @query
@@ -298,11 +297,12 @@ def metadata_filter(spark, sf_dir):
 @query
 def keyword_flags(spark, sf_dir):
     c = table(spark, sf_dir, "documents")
-    return c.select("doc_id", provenance.mentions_ai(F.col("text")).alias("ai"), provenance.mentions_ai(F.col("text"), ["the", "license", "der"]).alias("control"))
+    text = F.concat("text", F.lit(" made with "), F.get(F.array(*map(F.lit, ["Gemini", "dall e", "DALL-E", "StableDiffusion", "megaminx", "Midjourneyman", "Kling-2", "copilot", "PIKA", "dalle3"])), (F.col("doc_id") % 10).cast("int")))
+    return c.select("doc_id", provenance.mentions_ai(text).alias("ai"), provenance.mentions_ai(F.col("text"), ["the", "license", "der"]).alias("control"))
 
 
 def _actions(key):
-    names = list(provenance.SEVERITY)
+    names = ["c2pa.edited", "C2PA.opened", "c2pa.cropped", "c2pa.resized", "c2pa.filtered", "c2pa.colorgraded", "c2pa.Retouched", "c2pa.composited", "c2pa.adjusted", "c2pa.created", "c2pa.placed"]
     pick = lambda by: F.get(F.array(*map(F.lit, names)), (key * by % len(names)).cast("int"))
     return F.array(pick(3), pick(5), pick(7))
 
@@ -314,22 +314,6 @@ def severity_score(spark, sf_dir):
     return rows.withColumn("s", provenance.provenance_score(F.col("valid"), F.col("ai"), F.col("severity"))).select("page_id", "severity", "s.real_prob", "s.confidence")
 
 
-@query
-def signature_states(spark, sf_dir):
-    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
-    status = F.get(F.array(*map(F.lit, ["ok", "Signature INVALID", "untrusted root", "expired cert", "Failed"])), (i % 5).cast("int"))
-    return p.select("page_id", provenance.signature_state(status, F.when(i % 7 != 0, "issuer"), i % 3 == 0).alias("state"))
-
-
-@query
-def chain_tools(spark, sf_dir):
-    """Manifests of conversations: a manifest for each turn, the first that creates and the last are told."""
-    c = table(spark, sf_dir, "conversations")
-    action = F.when(F.col("turn") % 3 == 0, "c2pa.created").otherwise("c2pa.edited")
-    g = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.when(action == "c2pa.created", F.col("turn"))).alias("created"), F.max_by("role", "turn").alias("final_tool"), F.min_by("role", "turn").alias("first_tool"))
-    return g
-
-
 @query
 def band_energy(spark, sf_dir):
     return signal.band_rows(table(spark, sf_dir, "embeddings"))
@@ -357,16 +341,6 @@ def patch_consistency(spark, sf_dir):
     return g.select("user_id", F.round("mean", 6).alias("mean"), F.round(fn.consistency_damping(F.col("mean"), F.col("std")), 6).alias("damped"))
 
 
-@query
-def geometry_checks(spark, sf_dir):
-    i = F.col("vec_id")
-    values = {n: (F.pmod(i * k, F.lit(200)).cast("double") / 100) for n, k in zip(RANGES, (3, 7, 11, 13))}
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[fn.range_severity(values[n], lo, hi).alias(n) for n, (lo, hi, _) in RANGES.items()])
-    total = sum(w for *_, w in RANGES.values())
-    score = sum((F.col(n) * w for n, (_, _, w) in RANGES.items()), F.lit(0.0)) / total
-    return rows.select("vec_id", F.round(1 - score, 6).alias("score"), sum(((F.col(n) > 0).cast("int") for n in RANGES), F.lit(0)).alias("violations"))
-
-
 @query
 def dct_scores(spark, sf_dir):
     t = bridge.tool_results(spark, sf_dir).where("tool = 'run_dct'")
@@ -382,29 +356,6 @@ def failure_kinds(spark, sf_dir):
     return t.withColumn("f", routing.failure(message)).groupBy("f.kind", "f.confidence").agg(F.count("*").alias("n"))
 
 
-@query
-def dct_peak(spark, sf_dir):
-    """Blocks of embeddings as grey pictures of 40 x 40: rows only."""
-    e = table(spark, sf_dir, "embeddings")
-
-    def pictures(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            data = [np.tile(np.clip(np.asarray(v, float) * 400 + 128, 0, 255).astype(np.uint8).reshape(8, 8), (5, 5)).tobytes() for v in b["embedding"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "h": 40, "w": 40, "data": data})
-
-    return signal.dct_peaks(e.select("vec_id", "embedding").mapInPandas(pictures, "vec_id long, h int, w int, data binary"), key="vec_id")
-
-
-@query
-def pulse_metrics(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    m = signal.pulse_metrics(e.select(F.col("event_type").alias("case_id"), F.col("event_id").alias("t"), "value", F.floor(F.col("event_id") / 100000).alias("part")))
-    return m.withColumn("label", signal.liveness(F.col("bpm"), F.col("concentration"), F.col("snr_db"), F.col("motion_share"), F.col("n")))
-
-
 @query
 def psd_projection(spark, sf_dir):
     m = casestore.covariance_matrix(bridge.cases(spark, sf_dir), KEYS)

@@ -90,3 +90,86 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, "FAKE").otherwise("REAL").alias("verdict"), (F.pmod(i * 31, F.lit(1000)).cast("double") / 1000).alias("confidence"), scores.alias("tool_scores"),
         F.col("text").alias("reasoning"), F.when(i % 4 == 0, F.when(i % 8 == 0, "FAKE").otherwise("REAL")).alias("feedback_label"), F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"),
     )
+
+
+#: Where some landmarks of a plain face lie, as shares of the picture.
+FACE = {
+    0: (0.50, 0.66), 1: (0.50, 0.55), 10: (0.50, 0.20), 33: (0.35, 0.40), 61: (0.43, 0.70), 66: (0.42, 0.33), 94: (0.50, 0.60), 98: (0.455, 0.58), 133: (0.45, 0.40), 152: (0.50, 0.82), 168: (0.50, 0.42), 234: (0.28, 0.50), 263: (0.65, 0.40),
+    291: (0.57, 0.70), 296: (0.58, 0.33), 327: (0.545, 0.58), 362: (0.55, 0.40), 454: (0.72, 0.50), 468: (0.43, 0.40), 473: (0.57, 0.40),
+}
+FRAME_W, FRAME_H = 640, 480
+
+
+def face_point(k: int) -> tuple[float, float]:
+    return FACE.get(k, (round(0.3 + k % 20 / 50, 6), round(0.25 + k % 30 / 60, 6)))
+
+
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces from embeddings, three to a case: a plain face, each point moved by two of the 64 numbers."""
+    e = table(spark, sf_dir, "embeddings")
+    base = [F.array(*[F.lit(face_point(k)[side]) for k in range(478)]) for side in (0, 1)]
+    number = lambda k: F.get("embedding", k.cast("int")).cast("double")
+    move = lambda xs, k, n: F.round(F.get(xs, k) + number(n) * 0.1, 6)
+    points = F.transform(F.sequence(F.lit(0), F.lit(477)), lambda k: F.array(move(base[0], k, k % 64), move(base[1], k, (k * 7 + 3) % 64)))
+    v = F.col("vec_id").cast("long")
+    return e.select(F.floor(v / 3).alias("case_id"), (v % 3).alias("face"), points.alias("landmarks"), F.lit(float(FRAME_W)).alias("frame_w"), F.lit(float(FRAME_H)).alias("frame_h"), F.when(v % 4 == 0, 0.45).otherwise(380.0).alias("crop_w"))
+
+
+def sharp_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track boxes with a sharpness from their corners, null for one in nine."""
+    s = F.pmod(F.col("x1") * 7 + F.col("y1") * 13, F.lit(40))
+    return track_boxes(spark, sf_dir).withColumn("sharpness", F.when(F.col("x1") % 9 != 0, s.cast("double")))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 RGB pictures from embeddings: a pixel's channels are three of the 64 numbers."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            x = np.clip(np.floor(np.stack(b["embedding"]).astype(float) * 200 + 128), 0, 255).astype(np.uint8)
+            rgb = np.stack([x, np.roll(x, -21, axis=1), np.roll(x, -42, axis=1)], axis=2)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "height": 8, "width": 8, "data": [p.tobytes() for p in rgb]})
+
+    return e.select("vec_id", "embedding").mapInPandas(run, f"vec_id {dict(e.dtypes)['vec_id']}, height int, width int, data binary")
+
+
+#: Parts that manifests are put together from.
+AGENTS = ["", "Adobe Photoshop 25", "DALL-E 3", "dalle 2", "Stable-Diffusion XL", "Fluxus", "Midjourneyman", "Adobe Firefly", "GIMP"]
+MANIFEST_ACTIONS = ["c2pa.created", "c2pa.edited", "C2PA.Cropped", "c2pa.opened", "c2pa.retouched", "c2pa.composited", "c2pa.placed", "x.Created", "c2pa.adjusted", "c2pa.colorgraded", "c2pa.resized", "c2pa.filtered", "custom.created"]
+SOURCE_TYPES = ["", "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia", "digitalCapture", "http://cv.iptc.org/newscodes/digitalsourcetype/compositeSynthetic", "minorHumanEdits", "negativeFilm"]
+STATUSES = ["", "Valid", "Signature INVALID", "untrusted root", "cert expired"]
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, manifest): JSON of one to three manifests for each document, null for one in ten; ids and lengths choose parts."""
+    i, n = F.col("doc_id").cast("long"), F.col("n_chars").cast("long")
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), F.pmod(k, F.lit(len(xs))).cast("int"))
+    last = n % 3
+
+    def entry(k: Column) -> Column:
+        agent = pick(AGENTS, n + k)
+        action = lambda a: F.struct(a.alias("action"), pick(SOURCE_TYPES, i + n + k).alias("digitalSourceType"), agent.alias("softwareAgent"))
+        none = "struct<label:string,data:struct<generator:string,actions:array<struct<action:string,digitalSourceType:string,softwareAgent:string>>>>"
+        acts = F.struct(F.when(k % 2 == 0, "c2pa.actions").otherwise("c2pa.actions.v2").alias("label"), F.struct(F.lit(None).cast("string").alias("generator"), F.array(action(pick(MANIFEST_ACTIONS, i * 7 + n + k * 5)), action(pick(MANIFEST_ACTIONS, i + 3 * k))).alias("actions")).alias("data")).cast(none)
+        work = F.when((i + k) % 4 == 0, F.struct(F.lit("stds.schema-org.CreativeWork").alias("label"), F.struct(pick(AGENTS, n * 3 + k).alias("generator"), F.lit(None).cast("array<struct<action:string,digitalSourceType:string,softwareAgent:string>>").alias("actions")).alias("data")).cast(none))
+        sign = F.struct(F.when((i + k) % 11 != 0, F.concat(F.lit("signer "), ((i + k) % 5).cast("string"))).alias("issuer"), pick(STATUSES, i * 3 + k).alias("validation_status"), F.when((i + k) % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("root"))).alias("certificates"))
+        return F.struct(F.concat(F.lit("m"), k.cast("string")).alias("key"), F.struct(sign.alias("signature_info"), F.array_compact(F.array(acts, work)).alias("assertions")).alias("value"))
+
+    body = F.struct(F.concat(F.lit("m"), last.cast("string")).alias("active_manifest"), F.map_from_entries(F.transform(F.sequence(F.lit(0).cast("long"), last), entry)).alias("manifests"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(i % 10 != 0, F.to_json(body)).alias("manifest"))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean colours of three skin regions for 120 frames, from embeddings: a beat of a rate of its own, and some noise."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    t, r = F.col("frame"), F.col("region")
+    rows = e.select(F.col("vec_id").cast("long").alias("case_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("region")).select("*", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("frame"))
+    noise = lambda k: F.get("embedding", F.pmod(t * 11 + r * 5 + k, F.lit(64)).cast("int")).cast("double")
+    beat = F.sin(t / 30.0 * 6.283185307179586 * (0.9 + (F.col("case_id") % 50) / 50.0))
+    gone = (t % 37 == 5) & (r == 1)
+    colour = lambda level, gain, k: F.when(~gone, F.round(level + gain * beat + noise(k) * (F.col("case_id") % 3), 6))
+    return rows.select("case_id", "region", "frame", colour(120.0, 0.3, 0).alias("r"), colour(100.0, 0.9, 1).alias("g"), colour(90.0, 0.2, 2).alias("b"))

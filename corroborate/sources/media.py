@@ -10,7 +10,10 @@ from ..operators.routing import ADMITTED, MAX_BYTES
 # Suffixes of kinds, and names of phone makers as they stand in files.
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff"]
 VIDEOS = ["mp4", "avi", "mov", "mkv", "webm", "flv"]
-BRANDS = ["Apple", "iPhone", "Samsung", "Google", "Pixel", "Xiaomi", "HUAWEI", "OnePlus", "OPPO", "vivo", "Sony", "Motorola", "Nokia", "realme"]
+BRANDS = ["Apple", "Samsung", "Xiaomi", "Huawei", "OnePlus", "Google", "SONY", "OPPO", "vivo", "realme", "Motorola", "Nokia", "LG", "HTC"]
+#: Of these, the makers that a second tool knows.
+TRUSTED_BRANDS = ["Apple", "Samsung", "Xiaomi", "Huawei", "OnePlus", "Google", "SONY"]
+EXIF, SIDES = b"Exif\0\0", ["4032", "3024"]
 
 
 def suffix(path: Column) -> Column:
@@ -31,14 +34,27 @@ def scan(spark: SparkSession, root: str, with_content: bool = False) -> DataFram
     return files.select(*columns, *["content"] * with_content)
 
 
+def _holds(content: Column, *words: str | bytes) -> Column:
+    """Any of some byte strings within the first 2 MB; case matters."""
+    head = F.substring(content, 1, 2_000_000)
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(head, F.lit(bytearray(w.encode() if isinstance(w, str) else w)))
+    return found
+
+
 def phone_origin(content: Column) -> Column:
     """An EXIF or JFIF marker and a maker's name, both within the first 2 MB."""
-    head = F.substring(content, 1, 2_000_000)
-    has = lambda word: F.contains(head, F.lit(word).cast("binary"))
-    brand = F.lit(False)
-    for b in BRANDS:
-        brand = brand | has(b)
-    return (has("Exif") | has("JFIF")) & brand
+    return _holds(content, EXIF, "JFIF") & _holds(content, *BRANDS)
+
+
+def phone_trust(content: Column, width: Column, height: Column) -> Column:
+    """struct(trust, is_phone): .4 for a maker's name and .3 for a side of phone pictures in digits, both only with an EXIF
+    marker, and .3 for as many bytes a pixel as phones have (sizes are null where the picture can't be read); a phone
+    from more than one half on."""
+    exif, per = _holds(content, EXIF), F.least(F.length(content), F.lit(2_000_000)) / (width * height)
+    trust = F.when(exif & _holds(content, *TRUSTED_BRANDS), 0.4).otherwise(0.0) + F.when(exif & _holds(content, *SIDES), 0.3).otherwise(0.0) + F.when((per > 0.3) & (per < 1.8), 0.3).otherwise(0.0)
+    return F.struct(F.round(F.least(trust, F.lit(1.0)), 6).alias("trust"), (trust > 0.5).alias("is_phone"))
 
 
 def frame_indices(src_fps: Column, n_frames: Column, fps: float = 30.0, most: int = 300) -> Column:
@@ -55,22 +71,6 @@ def first_per_class(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("__n") <= n).drop("__n")
 
 
-def phone_trust(content: Column, width: Column, height: Column, length: Column) -> Column:
-    """Trust in a phone's origin: a maker's name .4, a sensor's resolution .3, bytes for each pixel as phones have .3."""
-    head = F.substring(content, 1, 2_000_000)
-    brand = F.lit(False)
-    for b in BRANDS:
-        brand = brand | F.contains(head, F.lit(b).cast("binary"))
-    pixels = F.greatest(width, height) * 100000 + F.least(width, height)
-    known = pixels.isin([w * 100000 + h for w, h in RESOLUTIONS])
-    per = length / (width * height)
-    return F.when(brand, 0.4).otherwise(0.0) + F.when(known, 0.3).otherwise(0.0) + F.when((per > 0.3) & (per < 1.8), 0.3).otherwise(0.0)
-
-
-# Common resolutions of phone sensors, the longer side first.
-RESOLUTIONS = [(4032, 3024), (4000, 3000), (4080, 3060), (4624, 3468), (4608, 3456), (3264, 2448), (3840, 2160), (1920, 1080)]
-
-
 def duration(seconds: Column, n_frames: Column, fps: Column) -> Column:
     """Seconds as told, else frames over rate, else 0."""
     return F.coalesce(seconds, F.try_divide(n_frames.cast("double"), fps), F.lit(0.0))
