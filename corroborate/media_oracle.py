@@ -152,3 +152,21 @@ _TRUTH = "t AS (SELECT l.doc_id, toxic AS y, ((n_chars * 7 + toxic * 300) % 1000
 SQL["first_of_class"] = f"WITH {_TRUTH} SELECT doc_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY doc_id) AS k FROM t) WHERE k <= 20"
 SQL["first_pictures"] = "SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 500"
 SQL["tool_agreement"] = f"WITH {_TRUTH} SELECT CASE WHEN score >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS verdict, (score >= 0.5)::INT = y AS matched, count(*) AS n FROM t GROUP BY ALL"
+SQL["normalised_weights"] = """WITH w AS (SELECT tool, gw + 0.1e0 AS w FROM (VALUES ('check_c2pa', 0.05e0), ('run_dct', 0.15e0), ('run_rppg', 0.35e0), ('run_geometry', 0.25e0), ('run_illumination', 0.10e0), ('run_corneal', 0.10e0), ('run_univfd', 0e0), ('run_xception', 0e0), ('run_sbi', 0e0), ('run_freqnet', 0e0)) v(tool, gw))
+ SELECT tool, round(w / sum(w) OVER (), 9) AS weight FROM w"""
+SQL["breaker_calls"] = """WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS tool, event_id AS seq, (event_id * 7 % 900)::DOUBLE AS at_, (event_id * 31) % 10 > 5 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7 % 900, event_id) AS rn FROM events),
+ s AS (SELECT tool, 0::BIGINT AS rn, 0::BIGINT AS seq, true AS allowed, 'CLOSED' AS state, 0 AS n, 0e0 AS trip FROM (SELECT DISTINCT tool FROM c)
+  UNION ALL SELECT tool, rn, seq, st <> 'OPEN', CASE WHEN st = 'OPEN' THEN st WHEN ok THEN 'CLOSED' WHEN n + 1 >= 3 THEN 'OPEN' ELSE st END, CASE WHEN st = 'OPEN' THEN n WHEN ok THEN 0 ELSE n + 1 END, CASE WHEN st <> 'OPEN' AND NOT ok AND n + 1 >= 3 THEN at_ ELSE trip END
+  FROM (SELECT c.*, s.n, s.trip, CASE WHEN s.state = 'OPEN' AND c.at_ - s.trip > 60 THEN 'HALF_OPEN' ELSE s.state END AS st FROM s JOIN c ON c.tool = s.tool AND c.rn = s.rn + 1))
+ SELECT tool, seq, allowed, state FROM s WHERE rn > 0"""
+_POWER = lambda n: f"power(sum(w * cos(2 * pi() * k * frame / {n})), 2) + power(sum(w * sin(2 * pi() * k * frame / {n})), 2)"
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * frame / 119))"
+SQL["pulse_metrics"] = f"""WITH {TRACES}, ca AS (SELECT case_id, region, frame, {_CARRY} FROM tr), mn AS (SELECT *, r / greatest(avg(r) OVER p, 1) AS cr, g / greatest(avg(g) OVER p, 1) AS cg, b / greatest(avg(b) OVER p, 1) AS cb FROM ca WINDOW p AS (PARTITION BY case_id, region)),
+ xy AS (SELECT *, cg - cb AS x, cg + cb - 2 * cr AS y FROM mn), hh AS (SELECT *, x + stddev_pop(x) OVER p / (stddev_pop(y) OVER p + 1e-7) * y AS h FROM xy WINDOW p AS (PARTITION BY case_id, region)), hs AS (SELECT *, (h - avg(h) OVER p) / (stddev_pop(h) OVER p + 1e-7) AS s FROM hh WINDOW p AS (PARTITION BY case_id, region)),
+ sw AS (SELECT case_id, region, frame, (s - avg(s) OVER p) * {_HANN} AS w, (g - avg(g) OVER p) * {_HANN} AS v FROM hs WINDOW p AS (PARTITION BY case_id, region)),
+ pw AS (SELECT case_id, region, k, {_POWER(2048)} AS p FROM sw, range(48, 171) b(k) GROUP BY ALL), pk AS (SELECT case_id, region, arg_max(k, p) AS top, max(p) AS most, median(p) AS mid, sum(p) AS total FROM pw GROUP BY ALL),
+ nr AS (SELECT pk.case_id, pk.region, any_value(top) AS top, any_value(most) AS most, any_value(mid) AS mid, any_value(total) AS total, sum(p) FILTER (abs(k - top) <= 2) AS near FROM pk JOIN pw ON pk.case_id = pw.case_id AND pk.region = pw.region GROUP BY ALL),
+ mw AS (SELECT case_id, region, k, {_POWER(256).replace('w *', 'v *')} AS p FROM sw, range(0, 22) b(k) WHERE k <= 4 OR k >= 6 GROUP BY ALL), mo AS (SELECT case_id, region, sum(p) FILTER (k <= 4) / (sum(p) + 1e-10) AS share FROM mw GROUP BY ALL),
+ st AS (SELECT case_id, region, count(*) AS n, stddev_pop(g) AS std FROM ca GROUP BY ALL), fl AS (SELECT case_id, region, stddev_pop(s) < 1e-5 AS flat FROM hs GROUP BY ALL)
+ SELECT st.case_id, st.region, n, round(top * 30e0 / 2048, 6) AS peak_hz, round(10 * log10(greatest(near, 1e-10) / greatest(total - near, 1e-10)), 3) AS snr_db, round(most / (mid + 1e-10), 1) AS concentration, round(std, 5) AS std, flat, round(share, 5) AS motion_share, share > 0.75 AS moving
+ FROM st JOIN nr ON st.case_id = nr.case_id AND st.region = nr.region JOIN mo ON st.case_id = mo.case_id AND st.region = mo.region JOIN fl ON st.case_id = fl.case_id AND st.region = fl.region"""

@@ -195,7 +195,8 @@ def dct_peak(spark, sf_dir):
 
 @query
 def pulse_metrics(spark, sf_dir):
-    return signal.pulse_metrics(bridge.traces(spark, sf_dir))
+    m = signal.pulse_metrics(bridge.traces(spark, sf_dir))
+    return m.withColumns({c: F.round(c, n) for c, n in (("peak_hz", 6), ("snr_db", 3), ("concentration", 1), ("std", 5), ("motion_share", 5))})
 
 
 @query

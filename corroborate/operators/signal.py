@@ -95,13 +95,13 @@ def peak_ratios(grey: np.ndarray) -> np.ndarray:
     windows = np.lib.stride_tricks.sliding_window_view(grey, (8, 8))
     for dy in range(min(8, h - 7)):
         c = np.rint(windows[dy::8].reshape(-1, 64) @ _low_frequencies()).reshape(len(windows[dy::8]), w - 7, -1)
+        hist = np.zeros((8, 513))
         for dx in range(min(8, w - 7)):
             x = c[:, dx::8].ravel()
-            hist = np.bincount((x[np.abs(x) <= 256] + 256).astype(np.int64), minlength=513)
-            auto = np.correlate(hist, hist, "same").astype(float)
-            mid = len(auto) // 2
-            if auto[mid] >= 1e-10:
-                out[dy, dx] = np.delete(auto, [mid - 1, mid, mid + 1]).max() / auto[mid]
+            hist[dx] = np.bincount((x[np.abs(x) <= 256] + 256).astype(np.int64), minlength=513)
+        power = np.abs(np.fft.rfft(hist, 1024, axis=1)) ** 2
+        auto = np.rint(np.fft.irfft(power, 1024, axis=1)[:, :257])  # whole numbers: counts of equal distances
+        out[dy] = np.where(auto[:, 0] > 0, auto[:, 2:].max(axis=1) / np.maximum(auto[:, 0], 1), 0.0)
     return out
 
 
@@ -180,7 +180,7 @@ def pulse_metrics(traces: DataFrame, key: str = "case_id") -> DataFrame:
         else:
             h, share = pos_signal(rgb), motion_share(rgb[:, 1])
             hz, snr, concentration = pulse(h)
-            got = [round(hz, 6), round(snr, 4), round(concentration, 4), round(float(rgb[:, 1].std()), 6), bool(h.std() < FLAT), round(share, 6), share > MOTION]
+            got = [hz, snr, concentration, float(rgb[:, 1].std()), bool(h.std() < FLAT), share, share > MOTION]
         return pd.DataFrame([(b[key].iloc[0], b["region"].iloc[0], len(rgb), *got)], columns=[key, "region", "n", "peak_hz", "snr_db", "concentration", "std", "flat", "motion_share", "moving"])
 
     kinds = dict(traces.dtypes)

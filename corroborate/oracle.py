@@ -206,22 +206,22 @@ SQL["key_order"] = "SELECT '" + ",".join(KEYS) + "' AS keys"
 SQL["recency"] = "SELECT doc_id, round(least(exp(0.005::DOUBLE * greatest(doc_id * 3, 0)), 10), 6) AS penalty FROM documents"
 SQL["top_votes"] = f"WITH {ev(True)}, {DD} SELECT case_id, place, tool, confidence FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, tool) AS place FROM dd) WHERE place <= 2"
 _RG = "[" + ", ".join(f"'{r}'" for r in ("cheek_l", "cheek_r", "hairline", "jaw", "nose_bridge")) + "]"
-SQL["region_boundary"] = f"""WITH r AS (SELECT vec_id::BIGINT AS case_id, k, {_RG}[k + 1] AS region, ((vec_id::BIGINT * (7 * k + 3)) % 101)::DOUBLE / 100 AS score FROM embeddings, range(5) t(k)),
+SQL["region_boundary"] = f"""WITH r AS (SELECT vec_id::BIGINT AS case_id, k, {_RG}[k + 1] AS region, ((v0 * (7 * k + 3)) % 101)::DOUBLE / 100 AS score FROM (SELECT vec_id, (floor(abs(embedding[1]::DOUBLE) * 1e6) + floor(abs(embedding[8]::DOUBLE) * 1e6))::BIGINT AS v0 FROM embeddings) e, range(5) t(k)),
  g AS (SELECT case_id, arg_max(region, (score, region)) FILTER (score >= 0.40) AS best, max(score) FILTER (score >= 0.40) AS top, count(*) FILTER (score >= 0.40) AS n, bool_or(score >= 0.40 AND region = 'jaw') AS j, bool_or(score >= 0.40 AND region = 'hairline') AS h, bool_or(score >= 0.40 AND region = 'nose_bridge') AS o, bool_or(score >= 0.40 AND region IN ('cheek_l', 'cheek_r')) AS c FROM r GROUP BY case_id),
  x AS (SELECT *, c AND (j OR h OR o) AS touching, coalesce(best IN ('jaw', 'hairline') AND top > 0.55, false) AS wide FROM g)
  SELECT case_id, CASE WHEN n = 0 OR best = 'nose_bridge' THEN false WHEN n = 1 THEN wide ELSE touching END AS detected, CASE WHEN n = 0 THEN 'diffuse' WHEN best = 'nose_bridge' THEN 'nose_bridge_glasses_reflection' WHEN n = 1 AND NOT wide THEN 'isolated_' || best || '_false_positive' WHEN n = 1 OR touching THEN best ELSE 'diffuse' END AS region, coalesce(top, 0) AS score FROM x"""
-SQL["illumination_scores"] = """WITH r AS (SELECT vec_id::BIGINT AS v, ((v * 3) % 101)::DOUBLE / 100 AS g, ((v * 7) % 101)::DOUBLE / 100 / 5 AS f, ((v * 11) % 101)::DOUBLE / 100 / 5 AS c, abs(((v * 37) % 360)::DOUBLE - ((v * 53) % 360)::DOUBLE) % 360 AS t0 FROM embeddings), t AS (SELECT *, CASE WHEN t0 > 180 THEN 360 - t0 ELSE t0 END AS t FROM r)
- SELECT v AS vec_id, t AS turn, CASE WHEN f > 0.02 AND c > 0.02 THEN round(least(1, CASE WHEN t > 90 THEN 0.20::DOUBLE + 0.50 * t / 180 ELSE 0.15::DOUBLE * g END + CASE WHEN v % 3 = 0 THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 6) END AS score,
+SQL["illumination_scores"] = """WITH r AS (SELECT vec_id::BIGINT AS id, v0 AS v, ((v * 3) % 101)::DOUBLE / 100 AS g, ((v * 7) % 101)::DOUBLE / 100 / 5 AS f, ((v * 11) % 101)::DOUBLE / 100 / 5 AS c, abs(((v * 37) % 360)::DOUBLE - ((v * 53) % 360)::DOUBLE) % 360 AS t0 FROM (SELECT vec_id, (floor(abs(embedding[1]::DOUBLE) * 1e6) + floor(abs(embedding[8]::DOUBLE) * 1e6))::BIGINT AS v0 FROM embeddings)), t AS (SELECT *, CASE WHEN t0 > 180 THEN 360 - t0 ELSE t0 END AS t FROM r)
+ SELECT id AS vec_id, t AS turn, CASE WHEN f > 0.02 AND c > 0.02 THEN round(least(1, CASE WHEN t > 90 THEN 0.20::DOUBLE + 0.50 * t / 180 ELSE 0.15::DOUBLE * g END + CASE WHEN v % 3 = 0 THEN 0.1::DOUBLE ELSE 0 END) + 1e-9, 6) END AS score,
  round(least(0.95::DOUBLE, least(0.9::DOUBLE, (g / 10 + 0.00013::DOUBLE) * 10) * CASE WHEN v % 150 < 50 THEN 0.6::DOUBLE WHEN v % 150 < 100 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN v % 200 < 80 THEN 0.7::DOUBLE WHEN v % 200 < 120 THEN 0.85::DOUBLE ELSE 1 END), 3) AS confidence FROM t"""
-SQL["corneal_confidences"] = """SELECT vec_id::BIGINT AS vec_id, round(greatest(0.1::DOUBLE, least(0.9::DOUBLE, 0.25 * greatest(0, 1 - (vec_id % 25)::DOUBLE / 20) + 0.25 * greatest(0, 1 - (vec_id % 7 - 2) * 0.15::DOUBLE) + 0.25 * least(1, (vec_id % 17)::DOUBLE / 12) + 0.25 * greatest(0, 1 - (vec_id % 40 + vec_id % 31)::DOUBLE / 60))) + 1e-9, 6) AS confidence FROM embeddings"""
-SQL["neural_fusion_scores"] = """WITH r AS (SELECT vec_id::BIGINT AS vec_id, ((vec_id::BIGINT * 7) % 101)::DOUBLE / 100 AS n, ((vec_id::BIGINT * 13) % 101)::DOUBLE / 100 AS b FROM embeddings)
+SQL["corneal_confidences"] = """SELECT vec_id::BIGINT AS vec_id, round(greatest(0.1::DOUBLE, least(0.9::DOUBLE, 0.25 * greatest(0, 1 - (v0 % 25)::DOUBLE / 20) + 0.25 * greatest(0, 1 - (v0 % 7 - 2) * 0.15::DOUBLE) + 0.25 * least(1, (v0 % 17)::DOUBLE / 12) + 0.25 * greatest(0, 1 - (v0 % 40 + v0 % 31)::DOUBLE / 60))) + 1e-9, 6) AS confidence FROM (SELECT vec_id, (floor(abs(embedding[1]::DOUBLE) * 1e6) + floor(abs(embedding[8]::DOUBLE) * 1e6))::BIGINT AS v0 FROM embeddings)"""
+SQL["neural_fusion_scores"] = """WITH r AS (SELECT vec_id::BIGINT AS vec_id, ((v0 * 7) % 101)::DOUBLE / 100 AS n, ((v0 * 13) % 101)::DOUBLE / 100 AS b FROM (SELECT vec_id, (floor(abs(embedding[1]::DOUBLE) * 1e6) + floor(abs(embedding[8]::DOUBLE) * 1e6))::BIGINT AS v0 FROM embeddings))
  SELECT vec_id, round(least(1, CASE WHEN (n > 0.35 AND b > 0.15) OR b > 0.40 THEN n + least(0.25::DOUBLE, 0.24::DOUBLE * b) ELSE n END) + 1e-9, 6) AS fused, round(least(0.95::DOUBLE, greatest(0.4::DOUBLE, abs(n - 0.5) + 0.3::DOUBLE * (1 - abs(n - b)) + 0.2::DOUBLE)) + 1e-9, 6) AS agreement,
  round(least(0.95::DOUBLE, greatest(0.4::DOUBLE, 0.4::DOUBLE + 1.2::DOUBLE * abs(n - 0.5))) + 1e-9, 6) AS margin, round(least(1, 3 * greatest(0, b - 0.35::DOUBLE) + 5 * greatest(0, n - 0.20::DOUBLE)) + 1e-9, 6) AS band_score FROM r"""
-SQL["liveness_labels"] = """WITH r AS (SELECT vec_id::BIGINT AS v, k, (60 + v * (k + 3) * 7 % 250)::DOUBLE / 100 AS hz, (v * (k + 2) * 13 % 120 - 40)::DOUBLE / 10 AS snr, (v * (k + 5) * 3 % 20)::DOUBLE / 100 AS sd FROM embeddings, range(3) t(k)),
- g AS (SELECT v, max(sd) AS sd, count(*) FILTER (sd >= 0.05) AS an, count(*) FILTER (snr >= 3) AS n_good, count(*) FILTER (snr >= 3 AND hz >= 40::DOUBLE / 60 AND hz <= 3) AS pl, coalesce(list(hz ORDER BY k) FILTER (snr >= 3), []) AS p FROM r GROUP BY v),
+SQL["liveness_labels"] = """WITH r AS (SELECT vec_id::BIGINT AS id, v0 AS v, k, (60 + v * (k + 3) * 7 % 250)::DOUBLE / 100 AS hz, (v * (k + 2) * 13 % 120 - 40)::DOUBLE / 10 AS snr, (v * (k + 5) * 3 % 20)::DOUBLE / 100 AS sd FROM (SELECT vec_id, (floor(abs(embedding[1]::DOUBLE) * 1e6) + floor(abs(embedding[8]::DOUBLE) * 1e6))::BIGINT AS v0 FROM embeddings) e, range(3) t(k)),
+ g AS (SELECT id, v, max(sd) AS sd, count(*) FILTER (sd >= 0.05) AS an, count(*) FILTER (snr >= 3) AS n_good, count(*) FILTER (snr >= 3 AND hz >= 40::DOUBLE / 60 AND hz <= 3) AS pl, coalesce(list(hz ORDER BY k) FILTER (snr >= 3), []) AS p FROM r GROUP BY id, v),
  b AS (SELECT *, list_sort(list_filter([CASE WHEN n_good > 1 THEN {'gap': abs(p[1] - p[2]), 'k': 0, 'mid': (p[1] + p[2]) / 2} END, CASE WHEN n_good > 2 THEN {'gap': abs(p[1] - p[3]), 'k': 1, 'mid': (p[1] + p[3]) / 2} END, CASE WHEN n_good > 2 THEN {'gap': abs(p[2] - p[3]), 'k': 2, 'mid': (p[2] + p[3]) / 2} END], lambda x: x IS NOT NULL))[1] AS best FROM g),
  t AS (SELECT *, len(list_filter(p, lambda x: abs(x - best.mid) <= 0.5)) AS tog, v % 17 = 0 OR v % 19 = 0 AS unclear, v % 11 = 0 AS flat FROM b)
- SELECT v AS case_id, CASE WHEN unclear THEN 'AMBIGUOUS' WHEN flat AND sd >= 0.05 THEN 'SYNTHETIC_FLATLINE' WHEN flat THEN 'NO_PULSE' WHEN an < 2 OR n_good < 2 OR pl = 0 THEN 'AMBIGUOUS' WHEN best.gap <= 0.5 THEN 'PULSE_PRESENT' ELSE 'AMBIGUOUS' END AS label,
+ SELECT id AS case_id, CASE WHEN unclear THEN 'AMBIGUOUS' WHEN flat AND sd >= 0.05 THEN 'SYNTHETIC_FLATLINE' WHEN flat THEN 'NO_PULSE' WHEN an < 2 OR n_good < 2 OR pl = 0 THEN 'AMBIGUOUS' WHEN best.gap <= 0.5 THEN 'PULSE_PRESENT' ELSE 'AMBIGUOUS' END AS label,
  (CASE WHEN unclear THEN 0.5 WHEN flat AND sd >= 0.05 THEN 0.35 WHEN flat OR an < 2 OR n_good < 2 OR pl = 0 THEN 0.5 WHEN best.gap <= 0.5 THEN 0.95 ELSE 0.5 END)::DOUBLE AS real_prob,
  round((CASE WHEN unclear THEN 0 WHEN flat AND sd >= 0.05 THEN least(0.8::DOUBLE, sd * 12) WHEN flat OR an < 2 OR n_good < 2 OR pl = 0 THEN 0 WHEN best.gap <= 0.5 THEN CASE WHEN tog >= 3 THEN 0.95 WHEN tog = 2 THEN 0.70 ELSE 0.50 END WHEN n_good = 3 THEN 0.60 ELSE 0.40 END)::DOUBLE, 6) AS confidence, n_good FROM t"""
 SQL["evidence_lines"] = f"""WITH {ev(True)}, {DD} SELECT case_id, string_agg(tool || ': ' || CASE WHEN confidence = 0 THEN '[ABSTAINED] Insufficient data.' ELSE 'Authenticity ' || format('{{:.1f}}', real_prob * 100) || '%: ' || CASE WHEN real_prob >= 0.70 THEN 'CLEAR' WHEN real_prob >= 0.45 THEN 'INCONCLUSIVE' ELSE 'SUSPICIOUS' END END, chr(10) ORDER BY slot) AS text FROM dd GROUP BY case_id"""

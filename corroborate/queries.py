@@ -398,7 +398,9 @@ REGIONS = ["cheek_l", "cheek_r", "hairline", "jaw", "nose_bridge"]
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("v"))
+    """Embeddings by id, with a whole number read off two of their numbers."""
+    part = lambda k: F.floor(F.abs(F.get("embedding", F.lit(k)).cast("double")) * 1e6)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), (part(0) + part(7)).alias("v"))
 
 
 def _share(x, of=100):
@@ -407,36 +409,36 @@ def _share(x, of=100):
 
 @query
 def region_boundary(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select(F.col("v").alias("case_id"), F.posexplode(F.array(*map(F.lit, REGIONS))).alias("k", "region"))
-    return forensic.boundary(rows.withColumn("score", _share(F.col("case_id") * (7 * F.col("k") + 3))))
+    rows = _vectors(spark, sf_dir).select(F.col("id").alias("case_id"), "v", F.posexplode(F.array(*map(F.lit, REGIONS))).alias("k", "region"))
+    return forensic.boundary(rows.withColumn("score", _share(F.col("v") * (7 * F.col("k") + 3))))
 
 
 @query
 def illumination_scores(spark, sf_dir):
     v = F.col("v")
-    rows = _vectors(spark, sf_dir).select("v", _share(v * 3).alias("g"), (_share(v * 7) / 5).alias("f"), (_share(v * 11) / 5).alias("c"), forensic.angle_between((v * 37 % 360).cast("double"), (v * 53 % 360).cast("double")).alias("t"))
+    rows = _vectors(spark, sf_dir).select("id", "v", _share(v * 3).alias("g"), (_share(v * 7) / 5).alias("f"), (_share(v * 11) / 5).alias("c"), forensic.angle_between((v * 37 % 360).cast("double"), (v * 53 % 360).cast("double")).alias("t"))
     score = forensic.illumination(F.col("g"), F.col("f"), F.col("c"), F.col("t"), v % 3 == 0)
-    return rows.select(v.alias("vec_id"), F.col("t").alias("turn"), fn.rounded(score, 6).alias("score"), forensic.illumination_confidence(F.col("g") / 10 + 0.00013, (v % 150).cast("double"), v % 200).alias("confidence"))
+    return rows.select(F.col("id").alias("vec_id"), F.col("t").alias("turn"), fn.rounded(score, 6).alias("score"), forensic.illumination_confidence(F.col("g") / 10 + 0.00013, (v % 150).cast("double"), v % 200).alias("confidence"))
 
 
 @query
 def corneal_confidences(spark, sf_dir):
     v = F.col("v")
-    return _vectors(spark, sf_dir).select(v.alias("vec_id"), fn.rounded(forensic.corneal_confidence((v % 25).cast("double"), v % 7, (v % 17).cast("double"), (v % 40).cast("double"), (v % 31).cast("double")), 6).alias("confidence"))
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), fn.rounded(forensic.corneal_confidence((v % 25).cast("double"), v % 7, (v % 17).cast("double"), (v % 40).cast("double"), (v % 31).cast("double")), 6).alias("confidence"))
 
 
 @query
 def neural_fusion_scores(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("v", _share(F.col("v") * 7).alias("n"), _share(F.col("v") * 13).alias("b"))
+    rows = _vectors(spark, sf_dir).select("id", _share(F.col("v") * 7).alias("n"), _share(F.col("v") * 13).alias("b"))
     n, b = F.col("n"), F.col("b")
-    return rows.select(F.col("v").alias("vec_id"), fn.rounded(forensic.neural_fusion(n, b), 6).alias("fused"), fn.rounded(forensic.agreement_confidence(n, b), 6).alias("agreement"), fn.rounded(forensic.margin_confidence(n), 6).alias("margin"), fn.rounded(fn.band_anomaly(F.lit(0.0), b, n), 6).alias("band_score"))
+    return rows.select(F.col("id").alias("vec_id"), fn.rounded(forensic.neural_fusion(n, b), 6).alias("fused"), fn.rounded(forensic.agreement_confidence(n, b), 6).alias("agreement"), fn.rounded(forensic.margin_confidence(n), 6).alias("margin"), fn.rounded(fn.band_anomaly(F.lit(0.0), b, n), 6).alias("band_score"))
 
 
 @query
 def liveness_labels(spark, sf_dir):
-    v, k = F.col("case_id"), F.col("region")
-    rows = _vectors(spark, sf_dir).select(F.col("v").alias("case_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("region"))
-    rows = rows.select("case_id", "region", (F.lit(60) + v * (k + 3) * 7 % 250).cast("double").alias("p"), (v * (k + 2) * 13 % 120 - 40).cast("double").alias("s"), (v * (k + 5) * 3 % 20).cast("double").alias("d"))
+    v, k = F.col("v"), F.col("region")
+    rows = _vectors(spark, sf_dir).select(F.col("id").alias("case_id"), "v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("region"))
+    rows = rows.select("case_id", "v", "region", (F.lit(60) + v * (k + 3) * 7 % 250).cast("double").alias("p"), (v * (k + 2) * 13 % 120 - 40).cast("double").alias("s"), (v * (k + 5) * 3 % 20).cast("double").alias("d"))
     rows = rows.select("case_id", "region", (F.col("p") / 100).alias("peak_hz"), (F.col("s") / 10).alias("snr_db"), (F.col("d") / 100).alias("std"), (v % 11 == 0).alias("flat"), (v % 17 == 0).alias("occluded"), (v % 19 == 0).alias("moving"))
     return forensic.liveness_labels(rows)
 

@@ -309,3 +309,11 @@ def test_phone_origin_and_trust(spark):
     files = [(b"Exif\0\0 Apple 4032", 6, 5), (b"Exif Apple 4032", 6, 5), (b"JFIF HUAWEI", None, None), (b"Exif\0\0 SONY " + b"x" * 100, 6, 5)]
     got = spark.createDataFrame([(k, bytearray(c), w, h) for k, (c, w, h) in enumerate(files)], "k int, c binary, w int, h int").select("k", media.phone_origin(F.col("c")).alias("o"), media.phone_trust(F.col("c"), F.col("w"), F.col("h")).alias("t")).orderBy("k").collect()
     assert [(r.o, r.t.trust, r.t.is_phone) for r in got] == [(True, 1.0, True), (False, 0.3, False), (False, 0.0, False), (True, 0.4, False)]
+
+
+def test_tracks_are_told_from_their_second_hit(spark):
+    rows = [("c", f, 10, 10, 60, 60) for f in (0, 1, 2, 5, 6)] + [("c", f, 300, 200, 380, 280) for f in (2, 5, 6)]
+    got = forensic.track(spark.createDataFrame(rows, "case_id string, frame long, x1 int, y1 int, x2 int, y2 int")).collect()
+    assert sorted((r.track, r.frame) for r in got) == [(1, 0), (1, 1), (1, 2), (1, 5), (1, 6), (2, 5), (2, 6)]
+    ended = forensic.track(spark.createDataFrame([("c", f, 10, 10, 60, 60) for f in (0, 1, 40, 41)], "case_id string, frame long, x1 int, y1 int, x2 int, y2 int"), retire_after=24).collect()
+    assert sorted((r.track, r.frame) for r in ended) == [(1, 0), (1, 1), (2, 41)]

@@ -6,7 +6,7 @@ from corroborate import media_oracle, media_queries, oracle, queries
 from .conftest import SF, TABLES, same
 
 QUERIES, SQL = queries.QUERIES | media_queries.QUERIES, oracle.SQL | media_oracle.SQL
-ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "pulse_metrics", "pulse_labels", "psd_projection", "tracker", "picture_statistics", "normalised_weights", "breaker_calls"}
+ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "pulse_labels", "psd_projection", "tracker", "picture_statistics"}
 LARGER = "/root/testdata/sf0.01"
 
 
