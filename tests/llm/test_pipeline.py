@@ -54,3 +54,27 @@ def test_queries_equal_their_sql(spark, duck):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def odd(spark, folder, rows):
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.7, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, "some item without a number"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    long = "word and other words that go on " * 3000
+    rows = [(1, "first text of its own here"), (1, "first text of its own here"), (2, "first text of its own here"), (None, "a text without number"), (None, None), (4, None), (5, ""), (6, long), (7, long + "end")]
+    odd(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-2:] == ["score", "component_id"] and set(r.component_id for r in docs.collect()) == {"x"}, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([1, 1, None, None, 4, 5, 6], key=str)
+    assert {r.n_tokens for r in got if r.doc_id in (4, 5)} == {0}
+
+
+def test_empty_tables(spark, tmp_path):
+    odd(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
