@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import byte_bpe, decontamination, minmax_dedup, pii, toxicity as toxic
-from corroborate.llm.shared import written
+from corroborate.llm.shared import Scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. What a stage kept is written and read back; it is deleted once the next stage has
+    written its own."""
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+            docs = tables.table(docs, name)
+            if k:
+                tables.drop(STAGES[k - 1][0])
     return docs
