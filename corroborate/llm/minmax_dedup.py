@@ -38,8 +38,8 @@ SKETCH_LONGS = 60
 SURE = 5.0
 #: Texts hashed at once: bytes, and sets.
 BATCH_BYTES, BATCH_SETS = 1_000_000, 500
-#: Members that are compared with one hub, or with one bucket, in one group of rows.
-BLOCK = 256
+#: Partners that one hub's set goes to in one group of rows, members whose buckets are met in one, and sets held at once.
+BLOCK, HELD = 256, 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -174,9 +174,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ``sets``: id, shingles. The partners of each ``a`` are dealt out in blocks; a block gets the set of ``a`` once, ahead
     of its partners' sets, which stream past it. An id with several sets has a row for each pair of sets."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
     of = lambda side: sets.select(F.col("id").alias(side), "shingles")
-    first = dealt.select("a", "block").distinct().join(of("a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
+    first = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(of("a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
+    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
     rows = first.union(dealt.join(of("b"), "b").select("a", "block", "b", "shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +200,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long, shared long, either long")
 
 
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (main, block, x, y) whose sets link: columns a, b, the lesser id first.
+
+    A block has at most about HELD different x. Their sets are held while the sets of all y of the block stream past, each
+    once, with the list of the x it is compared with. So a set is sent once for each block, not for each pair."""
+    of = lambda rows, side: rows.join(sets.select(F.col("id").alias(side), "shingles"), side)
+    held = of(pairs.select("main", "block", "x").distinct(), "x").select("main", "block", F.lit(None).cast("long").alias("y"), F.array("x").alias("xs"), "shingles")
+    past = of(pairs.groupBy("main", "block", "y").agg(F.collect_set("x").alias("xs")), "y").select("main", "block", "y", "xs", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for main, block, y, xs, cell in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if at != (main, block):
+                    at, own = (main, block), {}
+                s = np.frombuffer(cell.as_buffer(), np.uint64)
+                if y is None:
+                    own.setdefault(xs[0], []).append(s.copy())
+                    continue
+                for x in xs:
+                    for t in own.get(x, ()):
+                        same = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                        if 100 * same >= percent * (len(s) + len(t) - same):
+                            out.append((min(x, y), max(x, y)))
+            yield pa.record_batch([pa.array(list(k), pa.int64()) for k in (zip(*out) if out else [[]] * 2)], ["a", "b"])
+
+    grouped = held.union(past).repartition("main", "block").sortWithinPartitions("main", "block", F.col("y").asc_nulls_first())
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(id, component: the least id reachable) of every id with a link; ``edges``: columns a, b."""
     scratch = Scratch(edges.sparkSession, name)
@@ -233,6 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = members.where("rep <> hub")
     to_hub = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     near = F.when(F.count("*") == 1, F.max(F.col("shared") / F.col("either")))  # ids with several sets have no one distance
+    to_hub = tables.table(to_hub, "to-hub")
     known = tables.table(confirmed(to_hub, full).groupBy("a", "b").agg(near.alias("near"), F.max(F.expr(f"100 * shared >= {percent} * either")).alias("linked")), "known")
     label = components(known.where("linked"))
     # What the hubs didn't settle: members of one bucket in different components. Pairs with the hub itself are known.
@@ -240,7 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     open_ = open_.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = open_.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
     open_ = open_.join(held, "key").select("key", "i", "rep", "near", "component", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"))
-    open_ = tables.table(open_.join(nodes, "rep"), "open")
+    outside = open_.where("component <> main").select("main", "rep").distinct().groupBy("main").agg(F.ceil(F.count("*") / HELD).alias("groups"))
+    open_ = tables.table(open_.join(outside, "main").join(nodes, "rep"), "open")
     # Those outside the main component are dealt out in blocks; the whole bucket meets each block.
     x = open_.where("component <> main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
     y = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
@@ -254,9 +287,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Of several buckets that hold a pair, the first names it.
     ok = ok & (F.array_position(F.zip_with(*both("bands"), lambda p, q: p == q), True) - 1 == F.col("x.i"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & ok)
-    pairs = pairs.select(F.least(*both("rep")).alias("a"), F.greatest(*both("rep")).alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = tables.table(confirmed(pairs, full).where(F.expr(f"100 * shared >= {percent} * either")).select("a", "b"), "more")
-    tables.drop("nodes", "buckets", "members", "full", "known", "open")
+    pairs = tables.table(pairs.select("x.main", F.pmod(F.xxhash64("x.rep"), F.col("x.groups")).alias("block"), F.col("x.rep").alias("x"), F.col("y.rep").alias("y")), "pairs")
+    more = tables.table(links_of(pairs, full, percent), "more")
+    tables.drop("nodes", "buckets", "members", "to-hub", "full", "known", "open", "pairs")
     if not more.isEmpty():
         label = components(label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     out = sets.select("doc_id", "n_shingles", "set_key").join(first, "set_key", "left").join(label, F.col("rep") == F.col("id"), "left")
