@@ -170,3 +170,5 @@ SQL["pulse_metrics"] = f"""WITH {TRACES}, ca AS (SELECT case_id, region, frame,
  st AS (SELECT case_id, region, count(*) AS n, stddev_pop(g) AS std FROM ca GROUP BY ALL), fl AS (SELECT case_id, region, stddev_pop(s) < 1e-5 AS flat FROM hs GROUP BY ALL)
  SELECT st.case_id, st.region, n, round(top * 30e0 / 2048, 6) AS peak_hz, round(10 * log10(greatest(near, 1e-10) / greatest(total - near, 1e-10)), 3) AS snr_db, round(most / (mid + 1e-10), 1) AS concentration, round(std, 5) AS std, flat, round(share, 5) AS motion_share, share > 0.75 AS moving
  FROM st JOIN nr ON st.case_id = nr.case_id AND st.region = nr.region JOIN mo ON st.case_id = mo.case_id AND st.region = mo.region JOIN fl ON st.case_id = fl.case_id AND st.region = fl.region"""
+_RULES = CORE["liveness_labels"][CORE["liveness_labels"].index("g AS (SELECT id") :].replace("v % 17 = 0 OR v % 19 = 0 AS unclear, v % 11 = 0 AS flat FROM b", "id % 20 = 0 OR (SELECT bool_or(moving) FROM r WHERE r.id = b.id) AS unclear, (SELECT bool_and(flat) FROM r WHERE r.id = b.id) AS flat FROM b")
+SQL["pulse_labels"] = f"""WITH pm AS ({SQL['pulse_metrics']}), r AS (SELECT case_id AS id, case_id AS v, region AS k, peak_hz AS hz, snr_db AS snr, std AS sd, flat, moving FROM pm), {_RULES}"""
