@@ -19,7 +19,6 @@ TOOLS = [
 ]
 NAMES = [t[0] for t in TOOLS]
 GPU = [t[0] for t in TOOLS if t[7]]
-CPU = [t[0] for t in TOOLS if not t[7]]
 
 # Fixed values of the fusion rules.
 DAMPED_BELOW = 0.60

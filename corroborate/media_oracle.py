@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BOXES, CASES, DD, MEDIA, RUNS, SQL as CORE, ev
+from .oracle import BOXES, CASES, MEDIA, RUNS, SQL as CORE, ev
 from .sources.bridge import face_point
 
 SQL: dict[str, str] = {}

@@ -317,3 +317,24 @@ def test_tracks_are_told_from_their_second_hit(spark):
     assert sorted((r.track, r.frame) for r in got) == [(1, 0), (1, 1), (1, 2), (1, 5), (1, 6), (2, 5), (2, 6)]
     ended = forensic.track(spark.createDataFrame([("c", f, 10, 10, 60, 60) for f in (0, 1, 40, 41)], "case_id string, frame long, x1 int, y1 int, x2 int, y2 int"), retire_after=24).collect()
     assert sorted((r.track, r.frame) for r in ended) == [(1, 0), (1, 1), (2, 41)]
+
+
+def test_kinds_of_errors(spark):
+    def raising(error):
+        def tool(row):
+            raise error
+
+        return tool
+
+    r = service.Registry()
+    for name, error in (("memory", service.OutOfMemoryToolError("no room")), ("input", service.InvalidInputError("bad")), ("odd", KeyError("k"))):
+        r.register(name, raising(error))
+    got = {x.tool: x for x in r.run(spark.createDataFrame([(1,)], "case_id long")).collect()}
+    assert [(got[n].confidence, got[n].evidence_summary.split("[")[1].split("]")[0]) for n in ("memory", "input", "odd")] == [(0.1, "RESOURCE"), (0.0, "INPUT"), (0.0, "UNKNOWN")]
+
+
+def test_word_index_finds_what_a_scan_finds(spark):
+    store = spark.createDataFrame([(1, "The end of it"), (2, "of the, and"), (3, None), (4, "THE AND OF x")], "doc_id long, reasoning string")
+    for words in (["of", "The"], ["and"], ["absent"]):
+        found = {r.doc_id for r in casestore.containing(store, words).collect()}
+        assert found == {r.doc_id for r in casestore.match(casestore.postings(store), words).collect()}
