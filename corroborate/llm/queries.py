@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, decontamination, license_scan, minmax_dedup, pii, secret_scan, tiff_media, token_counts, token_output, toxicity, whitening
+from . import byte_bpe, conversation_repair, decontamination, fingerprint, license_scan, minmax_dedup, pii, secret_scan, tiff_media, token_counts, token_output, toxicity, whitening
 from .shared import documents
 
 
@@ -63,8 +63,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(conversations), conversations.select("conv_id"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_byte_bpe, op3_tiff_media, op4_license_scan, op5_toxicity, op6_secret_scan, op7_decontamination, op8_token_output, op9_minmax_dedup, op10_pii, op11_embedding_whitening, op12_conversation_repair]
+    found = [op1_token_counts, op2_byte_bpe, op3_tiff_media, op4_license_scan, op5_toxicity, op6_secret_scan, op7_decontamination, op8_token_output, op9_minmax_dedup, op10_pii, op11_embedding_whitening, op12_conversation_repair, op13_fingerprint]
     return {f.__name__: f for f in found}
 
 
