@@ -95,7 +95,7 @@ SQL["abstain_gates"] = f"""WITH {MEDIA}, x AS (SELECT *, case_id::BIGINT AS n FR
  SELECT case_id, no_light, ['SKIPPED', 'ERROR', 'ABSTAIN', 'ABSTAIN', 'ABSTAIN'][g] AS label, CASE WHEN g IS NOT NULL THEN g = 2 END AS error, ['Static image', 'Missing input', 'INSUFFICIENT_TEMPORAL_DATA', 'NO_FACES', 'EMPTY_WINDOW'][g] AS reason FROM y"""
 SQL["hair_share"] = f"WITH {BOXES} SELECT case_id, track, count(*) AS checked, round(avg((x1 % 2 = 0)::INT), 6) AS share, round(avg((x1 % 2 = 0)::INT), 6) > 0.4 AS occluded FROM bx WHERE frame % 15 = 0 GROUP BY ALL"
 _COLOUR = lambda level, gain, k: f"CASE WHEN NOT (t % 37 = 5 AND r = 1) THEN round({level}e0 + {gain}e0 * beat + embedding[(t * 11 + r * 5 + {k}) % 64 + 1]::DOUBLE * (v % 3), 6) END"
-TRACES = f"""tr0 AS (SELECT vec_id::BIGINT AS v, embedding, r, t, sin(t / 30e0 * 6.283185307179586 * (0.9e0 + (vec_id % 50) / 50e0)) AS beat FROM embeddings, range(3) a(r), range(120) b(t) WHERE vec_id % 5 = 0), tr AS (SELECT v AS case_id, r::INT AS region, t::INT AS frame, {_COLOUR(120, 0.3, 0)} AS r, {_COLOUR(100, 0.9, 1)} AS g, {_COLOUR(90, 0.2, 2)} AS b FROM tr0)"""
+TRACES = f"""tr0 AS (SELECT vec_id::BIGINT AS v, embedding, r, t, sin(t / 30e0 * 6.283185307179586 * (0.9e0 + (vec_id % 50) / 50e0)) AS beat FROM embeddings, range(3) a(r), range(120) b(t)), tr AS (SELECT v AS case_id, r::INT AS region, t::INT AS frame, {_COLOUR(120, 0.3, 0)} AS r, {_COLOUR(100, 0.9, 1)} AS g, {_COLOUR(90, 0.2, 2)} AS b FROM tr0)"""
 _CARRY = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY case_id, region ORDER BY frame ROWS UNBOUNDED PRECEDING), 128) AS {c}" for c in "rgb")
 SQL["carried_means"] = f"WITH {TRACES} SELECT case_id, region, frame, {_CARRY} FROM tr"
 
@@ -152,7 +152,7 @@ _TRUTH = "t AS (SELECT l.doc_id, toxic AS y, ((n_chars * 7 + toxic * 300) % 1000
 SQL["first_of_class"] = f"WITH {_TRUTH} SELECT doc_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY doc_id) AS k FROM t) WHERE k <= 20"
 SQL["first_pictures"] = "SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 500"
 SQL["tool_agreement"] = f"WITH {_TRUTH} SELECT CASE WHEN score >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS verdict, (score >= 0.5)::INT = y AS matched, count(*) AS n FROM t GROUP BY ALL"
-SQL["normalised_weights"] = """WITH w AS (SELECT tool, gw + 0.1e0 AS w FROM (VALUES ('check_c2pa', 0.05e0), ('run_dct', 0.15e0), ('run_rppg', 0.35e0), ('run_geometry', 0.25e0), ('run_illumination', 0.10e0), ('run_corneal', 0.10e0), ('run_univfd', 0e0), ('run_xception', 0e0), ('run_sbi', 0e0), ('run_freqnet', 0e0)) v(tool, gw))
+SQL["normalised_weights"] = f"""WITH {ev()}, w AS (SELECT tool, round(avg(confidence) FILTER (success), 9) AS w FROM ev GROUP BY tool)
  SELECT tool, round(w / sum(w) OVER (), 9) AS weight FROM w"""
 SQL["breaker_calls"] = """WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS tool, event_id AS seq, (event_id * 7 % 900)::DOUBLE AS at_, (event_id * 31) % 10 > 5 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7 % 900, event_id) AS rn FROM events),
  s AS (SELECT tool, 0::BIGINT AS rn, 0::BIGINT AS seq, true AS allowed, 'CLOSED' AS state, 0 AS n, 0e0 AS trip FROM (SELECT DISTINCT tool FROM c)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dims as d
 from .functions.scores import rounded
 from .operators import casestore, evaluation, faces, forensic, fusion, pixels, provenance, routing, service, signal, tracks
 from .plans import pipeline
@@ -178,7 +177,7 @@ def picture_statistics(spark, sf_dir):
 
 @query
 def dct_peak(spark, sf_dir):
-    """Two crops of 40 x 40 for each of a part of the embeddings."""
+    """Two crops of 40 x 40 for each embedding."""
 
     def crops(batches):
         import numpy as np
@@ -241,7 +240,9 @@ def phone_files(spark, sf_dir):
 
 @query
 def normalised_weights(spark, sf_dir):
-    return service.normalised_weights(d.tools(spark).select("tool", (F.col("gate_weight") + 0.1).alias("weight")))
+    """Weights of tools by the mean confidence of their successful rows."""
+    t = bridge.tool_results(spark, sf_dir)
+    return service.normalised_weights(t.groupBy("tool").agg(F.round(F.avg(F.when(F.col("success"), F.col("confidence"))), 9).alias("weight")))
 
 
 @query
@@ -327,7 +328,7 @@ def first_pictures(spark, sf_dir):
 
 @query
 def tool_agreement(spark, sf_dir):
-    """Fake when any of the three worst-face tools of a case says so, with the predictions' match to the truth."""
+    """Verdicts by score, each with whether it matches the truth; counts of both."""
     t = bridge.truth(spark, sf_dir)
     label = F.when(F.col("score") >= 0.5, "FAKE").otherwise("REAL")
     return evaluation.matched(t.withColumn("verdict", label), "verdict", "y").groupBy("verdict", "matched").agg(F.count("*").alias("n"))

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RIDGE, FLOOR = 1e-6, 1e-10
+BROADCAST_BYTES = 16 << 20
+
+
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def upsert(store: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -92,17 +98,20 @@ def inverses(matrix: np.ndarray, present: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def distance(scores: Column, query: dict[str, float], keys: list[str], inverse: dict[int, np.ndarray]) -> Column:
-    """Mahalanobis distance to ``query`` over the keys that the scores have; Euclid's where the form isn't a non-negative
-    finite number. Null without a common key. ``inverse``: by presence."""
-    off = [F.coalesce(v - F.lit(float(query[k])), F.lit(0.0)) for k, v in zip(keys, vector(scores, keys, mask=True))]
-    if not inverse:
-        return F.lit(None).cast("double")
-    table = F.create_map(*[x for bits, m in sorted(inverse.items()) for x in (F.lit(bits).cast("long"), F.array(*[F.lit(float(y)) for y in m.ravel()]))])
-    own = F.try_element_at(table, presence(scores, keys))
-    form = sum((off[i] * off[j] * own[i * len(keys) + j] for i in range(len(keys)) for j in range(len(keys))), F.lit(0.0))
-    plain = sum((x * x for x in off), F.lit(0.0))
-    return F.when(own.isNotNull(), F.sqrt(F.when((form >= 0) & (form < float("inf")), form).otherwise(plain)))
+def distances(rows: DataFrame, query: dict[str, float], keys: list[str], inverse: dict[int, np.ndarray], scores: str = "tool_scores") -> DataFrame:
+    """``rows`` that share a key with ``query``, with ``distance``: Mahalanobis' over the keys that a row has, Euclid's where the
+    form isn't a non-negative finite number. ``inverse``: by presence; it is a table of a row for each, broadcast if it is small,
+    and the form is a sum over its entries, so the size of the code doesn't depend on the number of keys."""
+    n = len(keys)
+    spark, bits = rows.sparkSession, "presence_"
+    table = spark.createDataFrame([(b, m.ravel().tolist()) for b, m in sorted(inverse.items())], f"{bits} long, inverse_ array<double>")
+    if len(inverse) * n * n * 8 <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    off = F.array(*[F.coalesce(v - F.lit(float(query[k])), F.lit(0.0)) for k, v in zip(keys, vector(F.col(scores), keys, mask=True))])
+    form = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0), lambda t, i: t + F.get(s["off"], (i / n).cast("int")) * F.get(s["off"], i % n) * F.get(s["inverse_"], i))
+    plain = lambda s: F.aggregate(s["off"], F.lit(0.0), lambda t, x: t + x * x)
+    both = once(F.struct(off.alias("off"), F.col("inverse_")), lambda s: once(form(s), lambda f: F.sqrt(F.when((f >= 0) & (f < float("inf")), f).otherwise(plain(s)))))
+    return rows.withColumn(bits, presence(F.col(scores), keys)).join(table, bits).withColumn("distance", both).drop(bits, "inverse_")
 
 
 def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, inverse: np.ndarray | None = None, per: int | None = None) -> DataFrame:
@@ -120,8 +129,8 @@ def nearest(store: DataFrame, query: dict[str, float], as_of: str, k: int = 3, i
     if per is not None:
         labelled = labelled.orderBy(F.desc("ts"), "doc_id").limit(per * k)
     days = F.greatest(F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("ts")) / 86400), F.lit(0))
-    rows = labelled.select("file_hash", "doc_id", distance(F.col("tool_scores"), query, keys, own).alias("distance"), days.alias("days"))
-    rows = rows.where("distance IS NOT NULL").withColumn("penalised", F.col("distance") * recency_penalty(F.col("days"))).orderBy("penalised", "doc_id").limit(k)
+    rows = distances(labelled.select("file_hash", "doc_id", "tool_scores", days.alias("days")), query, keys, own)
+    rows = rows.withColumn("penalised", F.col("distance") * recency_penalty(F.col("days"))).orderBy("penalised", "doc_id").limit(k)
     return rows.select("file_hash", "doc_id", F.round("distance", 6).alias("distance"), "days", F.round("penalised", 6).alias("penalised"))
 
 
@@ -131,8 +140,9 @@ def words_of(text: Column) -> Column:
 
 def containing(store: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id) of the cases whose reasoning has all words: one scan, nothing shuffled."""
-    hits = [F.array_contains("words", w) for w in sorted({w.lower() for w in words})]
-    return store.select("doc_id", words_of(F.col("reasoning")).alias("words")).where(F.forall(F.array(*hits), lambda h: h)).select("doc_id")
+    asked = sorted({w.lower() for w in words})
+    every = lambda found: F.forall(F.array(*map(F.lit, asked)), lambda w: F.array_contains(found, w))
+    return store.where(once(words_of(F.col("reasoning")), every)).select("doc_id")
 
 
 def postings(store: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .signal import dct_matrix, zigzag
+from .signal import bands, dct_matrix
 
 # Thresholds of flags, skin tones in Cr and Cb, catchlights, patches.
 SATURATION, CLIPPED, BYTES, BLUR, SMALL, DARK = 40.0, 0.15, 0.08, 10.0, 200_000, 50.0
@@ -165,14 +165,13 @@ def statistics(pictures: DataFrame, key: str) -> DataFrame:
     picture: means, shares of black and white pixels, variance of the Laplacian, mean colour, direction of light, share of
     skin, whether it looks like hair, and energies of its frequency bands."""
     names = ["pixels", "saturation", "black", "white", "blur", "brightness", "r", "g", "b", "angle", "gradient", "skin", "hair", "base", "mid", "high"]
-    order = zigzag()
 
     def one(h: int, w: int, data: bytes) -> tuple:
         rgb = np.frombuffer(data, np.uint8).reshape(h, w, 3)
         g, n = grey(rgb), h * w
         energy = np.square(filter_bank(rgb)).sum(axis=0)
-        bands = [float(np.sqrt(energy[band].sum())) for band in (order[:21], order[21:42], order[42:])]
-        return (n, float(saturation(rgb).mean()), float((g == 0).sum()) / n, float((g == 255).sum()) / n, laplacian_variance(g), float(g.mean()), *rgb.reshape(-1, 3).mean(axis=0).tolist(), *gradient(g), float(skin(rgb).mean()), hair(rgb), *bands)
+        three = [float(np.sqrt(energy[band].sum())) for band in bands()]
+        return (n, float(saturation(rgb).mean()), float((g == 0).sum()) / n, float((g == 255).sum()) / n, laplacian_variance(g), float(g.mean()), *rgb.reshape(-1, 3).mean(axis=0).tolist(), *gradient(g), float(skin(rgb).mean()), hair(rgb), *three)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

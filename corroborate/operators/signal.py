@@ -12,23 +12,40 @@ from pyspark.sql import functions as F
 EPS = 1e-10
 
 
+#: The rank of each cell of an 8 x 8 block in the zig-zag scan, by rows.
+RANKS = [
+    0, 1, 5, 6, 14, 15, 27, 28,
+    2, 4, 7, 13, 16, 26, 29, 42,
+    3, 8, 12, 17, 25, 30, 41, 43,
+    9, 11, 18, 24, 31, 40, 44, 53,
+    10, 19, 23, 32, 39, 45, 52, 54,
+    20, 22, 33, 38, 46, 51, 55, 60,
+    21, 34, 37, 47, 50, 56, 59, 61,
+    35, 36, 48, 49, 57, 58, 62, 63,
+]
+
+
 @cache
-def zigzag(n: int = 8) -> list[int]:
-    """Row-major positions of an n x n block by rising frequency."""
-    cells = sorted(((i + j, j if (i + j) % 2 else i, i * n + j) for i in range(n) for j in range(n)))
-    return [c[2] for c in cells]
+def zigzag() -> list[int]:
+    """Row-major positions of an 8 x 8 block in the order of the scan."""
+    return sorted(range(64), key=RANKS.__getitem__)
+
+
+def bands(strict_reference: bool = False) -> list[list[int]]:
+    """Positions of the low, middle and high band: 21, 21 and 22. By the scan; or, if ``strict_reference``, the table of ranks
+    read as if it were a table of positions, which mixes the frequencies but is what calibrations of old were made with."""
+    order = RANKS if strict_reference else zigzag()
+    return [order[:21], order[21:42], order[42:]]
 
 
-def band_energies(block: Column) -> list[Column]:
-    """L2 energies of the low, middle and high band of a block of 64 coefficients, by zig-zag rank 21, 21 and 22."""
-    order = zigzag()
-    cut = [order[:21], order[21:42], order[42:]]
-    return [F.sqrt(sum((F.pow(F.get(block, F.lit(k)).cast("double"), 2) for k in sorted(band)), F.lit(0.0))) for band in cut]
+def band_energies(block: Column, strict_reference: bool = False) -> list[Column]:
+    """L2 energies of the low, middle and high band of a block of 64 coefficients."""
+    return [F.sqrt(sum((F.pow(F.get(block, F.lit(k)).cast("double"), 2) for k in sorted(band)), F.lit(0.0))) for band in bands(strict_reference)]
 
 
-def band_rows(blocks: DataFrame, key: str = "vec_id", block: str = "embedding") -> DataFrame:
+def band_rows(blocks: DataFrame, key: str = "vec_id", block: str = "embedding", strict_reference: bool = False) -> DataFrame:
     """(key, base, mid, high): shares of the bands."""
-    rows = blocks.select(key, *[e.alias(n) for n, e in zip(("e0", "e1", "e2"), band_energies(F.col(block)))])
+    rows = blocks.select(key, *[e.alias(n) for n, e in zip(("e0", "e1", "e2"), band_energies(F.col(block), strict_reference))])
     total = F.col("e0") + F.col("e1") + F.col("e2") + EPS
     return rows.select(key, *[F.round(F.col(e) / total, 6).alias(n) for n, e in (("base", "e0"), ("mid", "e1"), ("high", "e2"))])
 

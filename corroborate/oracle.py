@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from . import dims as d
-from .operators import signal
 from .queries import AS_OF, KEYS, PROBE, QUERY
 from .sources.bridge import EVENT_TYPES
 
@@ -182,9 +181,27 @@ SQL["nearest_cases_newest"] = SQL["nearest_cases"].replace("NEWEST", "ORDER BY t
 SQL["nearest_cases"] = SQL["nearest_cases"].replace(" NEWEST", "")
 SQL["fts_match"] = f"""WITH {CASES}, w AS (SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS ws FROM cs) SELECT doc_id FROM w WHERE list_has_all(ws, ['the', 'of', 'and'])"""
 SQL["metadata_filter"] = f"WITH {CASES} SELECT doc_id, file_hash FROM cs WHERE lang = 'de'"
-_Z = signal.zigzag()
-_E = ", ".join("sqrt(" + " + ".join(f"power(embedding[{k + 1}]::DOUBLE, 2)" for k in sorted(band)) + f") AS e{n}" for n, band in enumerate((_Z[:21], _Z[21:42], _Z[42:])))
-BANDS = f"bands AS (SELECT vec_id, round(e0 / (e0 + e1 + e2 + 1e-10), 6) AS base, round(e1 / (e0 + e1 + e2 + 1e-10), 6) AS mid, round(e2 / (e0 + e1 + e2 + 1e-10), 6) AS high FROM (SELECT vec_id, {_E} FROM embeddings))"
+#: Fixed values, on their own: the cells of the three bands along the scan, and as the table of ranks has them.
+SCAN = [
+    [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40],
+    [48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22],
+    [15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63],
+]
+STRICT = [
+    [0, 1, 5, 6, 14, 15, 27, 28, 2, 4, 7, 13, 16, 26, 29, 42, 3, 8, 12, 17, 25],
+    [30, 41, 43, 9, 11, 18, 24, 31, 40, 44, 53, 10, 19, 23, 32, 39, 45, 52, 54, 20, 22],
+    [33, 38, 46, 51, 55, 60, 21, 34, 37, 47, 50, 56, 59, 61, 35, 36, 48, 49, 57, 58, 62, 63],
+]
+
+
+def _bands(cells: list[list[int]]) -> str:
+    e = ", ".join("sqrt(" + " + ".join(f"power(embedding[{k + 1}]::DOUBLE, 2)" for k in sorted(band)) + f") AS e{n}" for n, band in enumerate(cells))
+    return BANDS.replace("ENERGIES", e)
+
+
+BANDS = "bands AS (SELECT vec_id, round(e0 / (e0 + e1 + e2 + 1e-10), 6) AS base, round(e1 / (e0 + e1 + e2 + 1e-10), 6) AS mid, round(e2 / (e0 + e1 + e2 + 1e-10), 6) AS high FROM (SELECT vec_id, ENERGIES FROM embeddings))"
+SQL["band_energy_strict"] = f"WITH {_bands(STRICT)} SELECT * FROM bands"
+BANDS = _bands(SCAN)
 SQL["band_energy"] = f"WITH {BANDS} SELECT * FROM bands"
 SQL["calibration_stats"] = f"WITH {BANDS} SELECT " + ", ".join(f"round(avg({n}), 6) AS mean_{n}, round(stddev_pop({n}), 6) AS std_{n}" for n in ("base", "mid", "high")) + ", count(*) AS num_samples FROM bands"
 SQL["band_z_scores"] = f"""WITH {BANDS}, z AS (SELECT *, (base - 0.35::DOUBLE) / 0.03::DOUBLE AS zb, (mid - 0.33::DOUBLE) / 0.03::DOUBLE AS zm, (high - 0.32::DOUBLE) / 0.03::DOUBLE AS zh FROM bands), k AS (SELECT *, CASE WHEN abs(zh) > 1.5 THEN 'high_freq' WHEN abs(zb) > 1.5 THEN 'low_freq' END AS anomaly_type FROM z)

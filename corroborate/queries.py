@@ -319,6 +319,11 @@ def band_energy(spark, sf_dir):
     return signal.band_rows(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def band_energy_strict(spark, sf_dir):
+    return signal.band_rows(table(spark, sf_dir, "embeddings"), strict_reference=True)
+
+
 @query
 def calibration_stats(spark, sf_dir):
     return signal.calibration(signal.band_rows(table(spark, sf_dir, "embeddings")))

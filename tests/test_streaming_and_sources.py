@@ -1,6 +1,7 @@
 import random
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,16 +60,12 @@ def test_frame_indices_round_half_to_even(spark):
 
 
 def test_sinusoid_gives_its_pulse(spark):
-    import numpy as np
-
     t = np.arange(512) / 30
     hz, snr, _ = signal.pulse(np.sin(2 * np.pi * 1.2 * t))
     assert abs(hz * 60 - 72) < 60 * 30 / 2048 * 2 and snr > 3
 
 
 def test_positive_matrix():
-    import numpy as np
-
     m = casestore.positive(np.array([[1.0, 2.0], [2.0, 1.0]]))
     assert np.linalg.eigvalsh(m).min() > 0
 
@@ -103,8 +100,6 @@ def test_tracker_follows_two_boxes(spark):
 def test_matching_equals_permutations(n, m):
     from itertools import permutations
 
-    import numpy as np
-
     from corroborate.operators import forensic
 
     rng = np.random.default_rng(n * 10 + m)
@@ -120,8 +115,6 @@ def test_matching_equals_permutations(n, m):
 
 
 def test_assignment_of_many_boxes_is_not_greedy():
-    import numpy as np
-
     from corroborate.operators import forensic
 
     # The best single pair (0, 0) leaves box 1 without a partner; taken together, (0, 1) and (1, 0) are better.
@@ -137,8 +130,6 @@ def test_assignment_of_many_boxes_is_not_greedy():
 def test_nearest_cases_by_the_keys_they_have(spark, euclid):
     import datetime as dt
 
-    import numpy as np
-
     query = {"a": 0.9, "b": 0.8, "c": 0.7}
     rng = random.Random(3)
     scores = [{k: rng.random() for k in "abc" if rng.random() < 0.6} for _ in range(40)]
@@ -155,3 +146,26 @@ def test_nearest_cases_by_the_keys_they_have(spark, euclid):
     got = casestore.nearest(store, query, "2024-12-31 00:00:00", k=45, inverse=np.eye(3) if euclid else None).collect()
     assert {r.doc_id: r.distance for r in got} == pytest.approx(want, abs=2e-6)
     assert {got[0].doc_id, got[1].doc_id} == {40, 41}
+
+
+def test_nearest_cases_with_ten_keys_and_all_masks(spark):
+    """Every set of ten keys occurs; the plan has code of a size that compiles."""
+    keys = [f"k{i}" for i in range(10)]
+    rng = np.random.default_rng(4)
+    rows = []
+    for bits in range(1024):
+        rows.append((bits, {k: float(rng.random()) for i, k in enumerate(keys) if bits >> i & 1}))
+    store = spark.createDataFrame([(str(i), i, s, "REAL") for i, s in rows], "file_hash string, doc_id long, tool_scores map<string,double>, feedback_label string").withColumn("ts", F.lit("2024-12-01 00:00:00").cast("timestamp"))
+    query = {k: 0.5 for k in keys}
+    half = np.linalg.inv(np.diag(np.linspace(1, 2, 10)) + 0.1)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = casestore.nearest(store, query, "2024-12-31 00:00:00", k=2000, inverse=half).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    whole, want = np.linalg.inv(half), {}
+    for i, scores in rows[1:]:
+        at = [j for j in range(10) if i >> j & 1]
+        off = np.array([scores[keys[j]] - 0.5 for j in at])
+        want[i] = float(np.sqrt(off @ np.linalg.inv(whole[np.ix_(at, at)]) @ off))
+    assert {r.doc_id: r.distance for r in got} == pytest.approx(want, abs=2e-6)
