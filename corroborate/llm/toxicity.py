@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import by_bytes, id_and_text, kept
@@ -140,7 +140,7 @@ def _log_partition(emission: np.ndarray, ends: np.ndarray, after: np.ndarray) ->
     return float(np.logaddexp(zero, one).sum())
 
 
-def label_features(texts: list[str], toxic: np.ndarray) -> set[str]:
+def label_features(texts: list[str], toxic: np.ndarray, copied: float = COPIED) -> set[str]:
     """Features that go with toxic documents far beyond chance."""
     seen, hits = Counter(), Counter()
     runs: set[int] = set()
@@ -148,7 +148,7 @@ def label_features(texts: list[str], toxic: np.ndarray) -> set[str]:
         if y:
             words = text.lower().split()
             own = {hash(tuple(words[k : k + 5])) for k in range(max(1, len(words) - 4))}
-            if len(own & runs) <= COPIED * len(own):  # else its words would count again and again
+            if len(own & runs) <= copied * len(own):  # else its words would count again and again
                 hits.update({f for w in set(words) for f in features(w)})
             runs |= own
     least = EVIDENCE / -np.log(max(1e-6, toxic.mean()))  # fewer toxic documents can't give the evidence
@@ -166,14 +166,14 @@ def label_features(texts: list[str], toxic: np.ndarray) -> set[str]:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = STEPS, clean_per_toxic: float = CLEAN_PER_TOXIC) -> Field:
+def fit(texts: list[str], toxic: list[int], steps: int = STEPS, clean_per_toxic: float = CLEAN_PER_TOXIC, copied: float = COPIED) -> Field:
     """The field from whole labelled texts; ``toxic`` is 0 or 1 for each. Tags are learned from the toxic texts and from
     the first of the clean ones, ``clean_per_toxic`` for each toxic one; features and calibration use all texts."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.0
         return Field({}, -20.0, (0.0, 0.0, 0.0, 0.0), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    marked = label_features(texts, y)
+    marked = label_features(texts, y, copied)
     # All tokens of the documents, cut into sequences.
     clean = np.flatnonzero(y == 0)[: int(y.sum() * clean_per_toxic)]
     words: dict[str, int] = {}
@@ -277,16 +277,28 @@ def score(field: Field, expected: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(field.slope * np.log(expected + 1e-3) + field.level, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, clean_per_toxic: float = CLEAN_PER_TOXIC, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, clean_per_toxic: float = CLEAN_PER_TOXIC, copied: float = COPIED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """Fit the field on a bounded sample of the labelled rows; ``labels``: a row for each labelled document. Rows are taken
-    by hash of the id until their whole texts would exceed ``sample_bytes``."""
+    by hash of the id; those of an id whose texts would bring the sample beyond ``sample_bytes`` or ``sample_rows`` are passed
+    over, and those after it still get in. A toxic row of whose five-word runs more than ``copied`` stood in rows before it
+    is a copy and labels no tokens."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text").limit(sample_rows)
-    total = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("h", "doc_id", "text"))  # of at most sample_rows rows
-    found = rows.withColumn("total", total).where(F.col("total") <= sample_bytes).select("text", "y").toPandas()
-    return fit(found["text"].tolist(), found["y"].tolist(), clean_per_toxic=clean_per_toxic)
+    own = id_and_text(docs, id_col, text_col)
+    # Numbers only are ordered: an id, its rows and their bytes, for at most sample_rows labels.
+    sizes = own.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.xxhash64("doc_id").alias("h"))
+    picked, rows, total = [], 0, 0
+    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id)):
+        if rows + r.n <= sample_rows and total + r.bytes <= sample_bytes:
+            picked.append(r.doc_id)
+            rows, total = rows + r.n, total + r.bytes
+    if not picked:
+        return fit([], [], clean_per_toxic=clean_per_toxic, copied=copied)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
+    found = own.join(F.broadcast(ids), "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas()
+    found["h"] = found["doc_id"].map({i: k for k, i in enumerate(picked)})
+    found = found.sort_values(["h", "text", "y"], kind="stable")
+    return fit(found["text"].tolist(), found["y"].tolist(), clean_per_toxic=clean_per_toxic, copied=copied)
 
 
 def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
