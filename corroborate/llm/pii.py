@@ -2,12 +2,14 @@
 them, and a calibrated threshold selects what is redacted besides the base spans. DataFrame functions only.
 
 Base spans (email, ip, card with Luhn, phone) are found by pattern. The trees learn from a bounded sample of them
-(``sample_rows`` rows by hash of the id, ``sample_spans`` spans): personal data in other formats than the base patterns
-take, made of the base spans ("name at host dot org", numbers grouped in other ways, in the words they stand among), against
-look-alikes made of the same digits (numbers that fail Luhn, versions, dates, order numbers). So what is learned is not
-what the patterns know already. Half of the spans fit the trees, the other half sets the threshold: the lowest score at
-which at least ``precision`` of its examples are right. Trees become CASE expressions, so scoring stays in the plan.
-Candidates above the threshold that overlap no base span are added as kind ``likely``.
+(``sample_rows`` rows by hash of the id, ``sample_spans`` spans). From each, examples are made: personal data in other
+formats than the base patterns take ("name at host dot org", numbers of phones inside a country, cards grouped in other
+ways, bank accounts, social security numbers), and look-alikes (dates, times, spans of years, books, invoices, versions,
+amounts, numbers that fail a check). Both stand after the words of the texts, after cues ("call me") and after none, so
+neither the words nor the digits alone tell them apart. Half of the spans fit the trees, the other half sets the threshold: the lowest score at
+which at least ``precision`` of its examples are right, but no lower than an even chance. Trees become CASE expressions, so scoring stays in the plan.
+Candidates above the threshold that overlap no base span are added as kind ``likely``. Addresses without a domain
+(``joe@localhost``) are proposed but not learned as personal data.
 
 Null and empty texts have no spans; repeated rows each get a row; an empty table gives an empty result, and without base
 spans nothing is learned and nothing added. Other columns are read by ``redacted`` only, which returns them unchanged.
@@ -15,6 +17,7 @@ spans nothing is learned and nothing added. Other columns are read by ``redacted
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -40,13 +43,23 @@ CANDIDATES = [
     r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9]){5,}+",
     r"(?<![0-9A-Za-z])[A-Z]{1,3}+[0-9](?:[\x20-]?+[0-9A-Z]){6,}+",
 ]
-#: Words before a span that speak for personal data.
-CUES = r"(?i)(mail|contact|reach|write|phone|tel|call|fax|mobile|card|visa|iban|account|\bip\b|addr|host)[^\n]{0,6}$"
-#: Words before what is made for training: personal data (or the words it stood among), and look-alikes.
-CUED = ["call me: ", "tel. ", "phone ", "mail to ", "contact ", "fax: ", "my mobile is ", "card "]
-NEUTRAL = ["order no. ", "version ", "total of ", "dated ", "page ", "the score was ", "see section ", ""]
-FEATURES = ["length", "digits", "dots", "blanks", "hyphens", "colons", "at", "plus", "parentheses", "longest", "groups", "upper", "letters", "spelled", "luhn", "domain", "cue"]
-SAMPLE_ROWS, SAMPLE_SPANS, TREES, RATE, PRECISION = 2000, 2000, 30, 0.3, 0.95
+#: Words before a span that speak for personal data, and against it.
+CUES = r"(?i)(mail|contact|reach|write|phone|tel|call|fax|mobile|card|visa|iban|account|ssn|social|\bip\b|addr|host)[^\n]{0,9}$"
+REFERENCES = r"(?i)\b(order|invoice|inv|version|release|isbn|page|pages|pp|section|dated|date|ref|reference|total|sum|score|item|part|serial|ticket|case|build|patent|since|between|from|until|v|no|nr|id)\b[^\n0-9A-Za-z]{0,4}$"
+#: Words that training puts before spans, of either kind, besides those that stood there.
+CUED = ["call me: ", "tel. ", "phone ", "mail to ", "contact ", "fax: ", "my mobile is ", "card ", "please reach me at ", "my account is "]
+NEUTRAL = ["", "and then there was ", "they said that ", "it was on ", "we met at ", "she has ", "it is now ", "the word of the day: ", "in the garden ", "ask for "]
+REFERRED = ["order no. ", "version ", "total of ", "dated ", "page ", "the score was ", "see section ", "invoice ", "ISBN ", "ticket #", "part no ", "between "]
+#: A date with or without a time, as far as digits can tell; the shape of a bank account number.
+_DAY, _MONTH, _YEAR, _TIME = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}", r"[0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9])?(?:\.[0-9]+)?"
+DATE = rf"^(?:{_TIME}[\x20-]+)?(?:{_YEAR}([-/.\x20]){_MONTH}\1{_DAY}|{_DAY}([-/.\x20]){_MONTH}\2(?:{_YEAR}|[0-9]{{2}})|{_MONTH}/{_DAY}/{_YEAR}|{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?:[\x20-]+{_TIME}|[\x20-]*[0-9]{{4,6}})?"
+TIME = rf"^{_TIME}(?:[\x20-]+{_TIME})?$"
+ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?:[\x20-]?[0-9A-Z]{4}){2,7}(?:[\x20-]?[0-9A-Z]{1,3})?$"
+FEATURES = [
+    "length", "digits", "dots", "blanks", "hyphens", "colons", "at", "plus", "parentheses", "longest", "groups", "upper", "letters", "spelled", "luhn", "domain", "cue",
+    "reference", "date", "time", "account", "first", "second", "last", "zero", "years", "book", "alike", "touching", "distinct",
+]
+SAMPLE_ROWS, SAMPLE_SPANS, TREES, RATE, PRECISION = 2000, 1000, 80, 0.3, 0.98
 
 
 def _digits(value: Column) -> Column:
@@ -84,16 +97,29 @@ def candidates(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans.found(text, p, 4, only_if=test) for p, test in zip(CANDIDATES, tests)]))
 
 
+def account_ok(value: Column) -> Column:
+    """True if a bank account number's check digits are right: its letters as numbers, the first four characters last, mod 97."""
+    plain = F.regexp_replace(value, "[^0-9A-Z]", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4)))
+    numbers = F.transform(F.split(turned, ""), lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
+    return F.aggregate(numbers, F.lit(0), lambda s, n: (s * F.when(n > 9, 100).otherwise(10) + n) % 97) == 1
+
+
 def features(before: Column, value: Column) -> list[Column]:
-    """Format features of a candidate, whether it passes Luhn (-1: not a card's number of digits), and whether a cue stands
-    in the 24 code points before it."""
+    """Format features of a candidate: counts of characters and lengths of its groups of digits; whether it passes Luhn, and the
+    check of an account number (-1: not of that form); whether it reads as a date or a time; and whether a word that speaks
+    for or against personal data, or a letter or digit, stands in the 24 code points before it."""
     count = lambda chars: F.length(value) - F.length(F.translate(value, chars, ""))
     groups = F.filter(F.split(value, "[^0-9]+"), lambda p: p != "")
-    n = F.length(_digits(value))
+    n, size = F.length(_digits(value)), lambda k: F.coalesce(F.length(F.try_element_at(groups, F.lit(k))), F.lit(0))
     passes = F.when((n < 12) | (n > 19), F.lit(-1)).otherwise(luhn(_digits(value)).cast("int"))
+    account = F.when(value.rlike(ACCOUNT), account_ok(value).cast("int")).otherwise(-1)
+    years = F.size(F.filter(groups, lambda p: p.rlike("^(19|20)[0-9]{2}$")))
+    alike = F.size(F.array_distinct(F.transform(groups, lambda p: F.length(p))))
     exprs = [
         F.length(value), n, count("."), count(" "), count("-"), count(":/"), count("@"), count("+"), count("()"), F.array_max(F.transform(F.split(value, "[^0-9]+"), lambda p: F.length(p))), F.size(groups),
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz"), value.rlike(r"(?i)\bat\b").cast("int") + value.rlike(r"(?i)\bdot\b").cast("int"), passes, value.rlike(r"(?i)[a-z]{2,}$").cast("int"), before.rlike(CUES).cast("int"),
+        before.rlike(REFERENCES).cast("int"), value.rlike(DATE).cast("int"), value.rlike(TIME).cast("int"), account, size(1), size(2), size(-1), value.rlike("^[(]?0").cast("int"), years, value.rlike("^97[89]").cast("int"), alike, before.rlike("[0-9A-Za-z#.:/_-]$").cast("int"), F.size(F.array_distinct(F.split(_digits(value), ""))),
     ]
     return [x.cast("int") for x in exprs]
 
@@ -104,16 +130,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) ->
     bias = float(np.log(p / (1 - p)))
     score, out = np.full(len(y), bias), []
 
+    levels = [np.unique(x[:, k], return_inverse=True) for k in range(x.shape[1])]
+
     def split(rows: np.ndarray, g: np.ndarray, h: np.ndarray):
+        """Feature and cut of the greatest gain: sums of each level's rows, then running sums over the levels."""
         best = (-1.0, 0, 0.0)
-        for k in range(x.shape[1]):
-            v = x[rows, k]
-            for cut in np.unique(v)[:-1]:
-                left = v <= cut
-                a, b = g[rows][left].sum(), g[rows][~left].sum()
-                c, d = h[rows][left].sum() + 1, h[rows][~left].sum() + 1
-                if (gain := a * a / c + b * b / d) > best[0] + 1e-12:
-                    best = (gain, k, float(cut))
+        for k, (values, level) in enumerate(levels):
+            own = np.flatnonzero(np.bincount(level[rows], minlength=len(values)))
+            if len(own) < 2:
+                continue
+            a, c = (np.cumsum(np.bincount(level[rows], z[rows], len(values))[own]) for z in (g, h))
+            gain = a[:-1] ** 2 / (c[:-1] + 1) + (a[-1] - a[:-1]) ** 2 / (c[-1] - c[:-1] + 1)
+            top = int(gain.argmax())
+            if gain[top] > best[0] + 1e-12:
+                best = (float(gain[top]), k, float(values[own[top]]))
         return best[1], best[2]
 
     leaf = lambda rows, g, h: float(rate * g[rows].sum() / (h[rows].sum() + 1))
@@ -161,24 +191,72 @@ class Trained:
     examples: int
 
 
-def examples(kind: int, before: str, value: str) -> list[tuple[str, str, int]]:
-    """Of one base span: (words before, value, 1 or 0) of personal data in other formats, and of look-alikes."""
-    h = crc32(value.encode())
-    before = before if h % 2 else CUED[h // 2 % len(CUED)]
-    neutral, d = NEUTRAL[h // 2 % len(NEUTRAL)], "".join(c for c in value if "0" <= c <= "9")
+def _account(rng: random.Random) -> str:
+    """Of one of a few lands, its check digits right."""
+    land, size = rng.choice([("DE", 18), ("FR", 23), ("GB", 18), ("NL", 14), ("ES", 20), ("IT", 23)])
+    body = "".join(rng.choice("0123456789") for _ in range(size))
+    if land in ("GB", "NL"):
+        body = "".join(rng.choice("ABCDEFGHKLMN") for _ in range(4)) + body[4:]
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{land}00")) % 97
+    return f"{land}{check:02d}{body}"
+
+
+def _number(rng: random.Random, size: int) -> str:
+    return str(rng.randint(1, 9)) + "".join(rng.choice("0123456789") for _ in range(size - 1))
+
+
+def _phones(rng: random.Random) -> str:
+    """A number as it is written inside a country, or with two zeros before the country's."""
+    n, sep = lambda k: _number(rng, k), rng.choice([" ", "-", ".", " "])
+    area = "0" + n(rng.randint(2, 4))
+    return rng.choice([
+        f"({n(3)}) {n(3)}-{n(4)}", f"({area}) {n(rng.randint(3, 4))}{sep}{n(rng.randint(3, 4))}", f"({area}) {n(rng.randint(5, 8))}", f"{n(3)}{sep}{n(3)}{sep}{n(4)}", f"{area}{sep}{n(3)}{sep}{n(4)}", f"{area}{rng.choice(['-', '/', ' '])}{n(rng.randint(5, 8))}",
+        f"00{n(2)}{sep}{n(3)}{sep}{n(rng.randint(4, 7))}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"1{sep}{n(3)}{sep}{n(3)}{sep}{n(4)}", f"{area} {n(2)} {n(2)} {n(2)}",
+    ])
+
+
+def _numbers(rng: random.Random) -> str:
+    """What numbers mean otherwise: dates, times, spans of years and pages, books, invoices, versions, amounts, places."""
+    n, two = lambda k: _number(rng, k), lambda a, b: f"{rng.randint(a, b):02d}"
+    if rng.random() < 0.3:  # groups of any number and length
+        sizes, sep = [rng.randint(1, 6) for _ in range(rng.randint(2, 9))], rng.choice(" .-:/")
+        return sep.join("".join(rng.choice("0123456789") for _ in range(k)) for k in sizes)
+    if rng.random() < 0.1:
+        return "".join(rng.choice("0123456789") for _ in range(rng.randint(6, 22)))
+    year, month, day, time = rng.randint(1900, 2049), two(1, 12), two(1, 28), f"{two(0, 23)}:{two(0, 59)}"
+    return rng.choice([
+        f"{year}-{month}-{day}", f"{year}-{month}-{day} {time}", f"{year}-{month}-{day} {time}:{two(0, 59)}", f"{day}.{month}.{year}", f"{day}/{month}/{year} {time}", f"{year}/{month}/{day}", f"{month}/{day}/{year}", f"{year}{month}{day}", f"{year}{month}{day}-{two(0, 23)}{two(0, 59)}{two(0, 59)}",
+        f"{time}-{two(0, 23)}:{two(0, 59)}", f"{time}:{two(0, 59)}", f"{time}:{two(0, 59)}.{n(3)}", f"{year}-{year + rng.randint(1, 40)}", f"{year} - {year + rng.randint(1, 40)}", f"{n(3)}-{n(3)}", f"{n(2)}-{n(2)}-{n(2)}",
+        f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"978{n(10)}", f"979-{n(2)}-{n(3)}-{n(4)}-{n(1)}", f"{n(4)}-{n(3)}X", f"{year}-{n(rng.randint(4, 6))}", f"{n(rng.randint(6, 14))}", f"{n(1)}.{n(1)}.{n(2)}.{n(rng.randint(4, 6))}", f"{n(1)}.{n(2)}.{n(3)}-{n(3)}", f"{n(2)}.{rng.randint(0, 9)}.{n(5)}.{n(rng.randint(2, 4))}",
+        f"{n(1)} {n(3)} {n(3)}", f"{n(2)}.{n(3)}.{n(3)}", f"{n(1)} {n(3)} {n(3)}.{n(2)}", f"{n(2)}.{n(rng.randint(4, 8))}", f"{n(2)}.{n(4)} {n(2)}.{n(4)}", f"{n(3)} {n(3)} {n(3)} {n(3)}", f"{n(1)}:{n(2)}:{n(4)}", f"{n(3)}/{n(4)}/{n(2)}", f"{n(1)} {n(1)} {n(1)} {n(1)} {n(1)} {n(1)} {n(1)}",
+        f"{rng.choice('ABX')}{n(rng.randint(7, 10))}", f"INV{n(4)}-{n(5)}", f"{rng.choice('KPS')}{rng.choice('QR')}{n(3)}-{n(4)}-{n(2)}", f"{rng.randint(256, 999)}.{n(2)}.{n(3)}.{n(2)}",
+    ])
+
+
+def examples(kind: int, before: str, value: str, turn: int = 0) -> list[tuple[str, str, int]]:
+    """Of one base span: (words before, value, 1 or 0) of personal data in other formats, and of look-alikes. Either stands after
+    any words: those that stood there, cues, others; a look-alike more often after a word of reference. ``turn``: another
+    number, other examples."""
+    rng = random.Random(crc32(f"{turn}{kind}{before}{value}".encode()))
+    words = lambda more: rng.choice([before, rng.choice(CUED), rng.choice(NEUTRAL), rng.choice(more)])
+    good, bad = lambda v: (words(NEUTRAL), v, 1), lambda v: (words(REFERRED), v, 0)
+    d = "".join(c for c in value if "0" <= c <= "9")
+    out = [bad(_numbers(rng)) for _ in range(6)]
     if kind == 0:
         name, host = value.split("@", 1)
-        at, dot = [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" AT ", " DOT ")][h % 4]
-        return [(before, name + at + host.replace(".", dot), 1), (neutral, f"{name}@{h % 9}.{h % 31}.{h % 7}", 0), (neutral, f"{name} at {host.split('.')[0]}", 0)]
+        name = name[: rng.randint(2, 24)]
+        at, dot = rng.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" AT ", " DOT "), (" [at] ", "."), ("(at)", ".")])
+        return [*out, good(name + at + host.replace(".", dot)), bad(f"{name}@{rng.randint(0, 9)}.{rng.randint(0, 31)}.{rng.randint(0, 9)}"), bad(f"{name} at {host.split('.')[0]}"), bad(f"@{name}@"), good(_account(rng))]
     if kind == 1:
-        return [(neutral, f"{h % 40}.{h % 13}.{h % 900 + 256}.{h % 77}", 0), (neutral, f"{h % 24:02d}:{h % 60:02d}:{h % 59:02d}.{h % 1000:03d}", 0)]
+        return [*out, good(_phones(rng))]
     if kind == 2:
         cut = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, len(x), 4))
-        wrong = d[:-1] + str((int(d[-1]) + 1 + h % 9) % 10)
-        return [(before, cut(d, "./:"[h % 3]), 1), (before, cut(wrong, " -"[h % 2]), 0), (neutral, cut(wrong, "./:"[h % 3]), 0), (neutral, wrong, 0)]
-    local = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:4]} {d[4:7]} {d[7:]}", f"00{d[:2]} {d[2:5]} {d[5:]}"][h // 2 % 5]
-    date = [f"20{d[:2]}-{int(d[2]) % 9 + 1:02d}-{int(d[3]) + 10}", f"{int(d[3]) + 10}/{int(d[2]) % 9 + 1:02d}/20{d[:2]} {h % 24:02d}:{h % 60:02d}", f"20{d[:2]}{int(d[2]) % 9 + 1:02d}{int(d[3]) + 10}"][h % 3]
-    return [(before, local, 1), (neutral, d, 0), (neutral, date, 0), (neutral, f"{h % 10}.{d}", 0), (neutral, f"{d[:3]}-{h % 10}", 0)]
+        wrong = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
+        account = _account(rng)
+        off = account[:2] + f"{(int(account[2:4]) + rng.randint(1, 95)) % 97 + 2:02d}" + account[4:]
+        return [*out, good(cut(d, rng.choice("./:"))), bad(cut(wrong, rng.choice(" -"))), bad(cut(wrong, rng.choice("./:"))), bad(wrong), good(account), good(cut(account, " ")), bad(off if off != account else wrong)]
+    safe = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    return [*out, good(_phones(rng)), good(_phones(rng)), (rng.choice(["SSN ", "social security number: ", "my ssn is ", before]), safe, 1), bad(d)]
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_spans: int = SAMPLE_SPANS, precision: float = PRECISION) -> Trained | None:
@@ -189,7 +267,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_spans: int = S
     rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", F.explode(base_spans(text)).alias("s"))
     at = F.greatest(F.col("s.start") - 24, F.lit(0))
     picked = rows.select(F.xxhash64("doc_id", "s.start").alias("h"), "s.kind", F.substring(text, at + 1, F.col("s.start") - at).alias("before"), "s.value").orderBy("h", "kind", "value").limit(sample_spans).collect()
-    made = [(k % 2, *e) for k, r in enumerate(picked) for e in examples(r.kind, r.before, r.value)]
+    turns = -(-sample_spans // max(1, len(picked)))  # few spans give as many examples
+    made = [(k % 2, *e) for k, r in enumerate(picked) for t in range(turns) for e in examples(r.kind, r.before, r.value, t)]
     if len({e[3] for e in made if not e[0]}) < 2 or len({e[3] for e in made if e[0]}) < 2:
         return None
     table = docs.sparkSession.createDataFrame(made, "half int, before string, value string, y int")
@@ -202,8 +281,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_spans: int = S
     good = np.flatnonzero((share >= precision) & np.append(level[1:] < level[:-1], True))  # equal scores stand or fall together
     if not len(good):
         return Trained(model, float("inf"), 1.0, 0.0, len(made))
-    k = int(good[-1])
-    return Trained(model, float(level[k]) - 1e-9, float(share[k]), float(right[by][: k + 1].sum() / right.sum()), len(made))
+    threshold = max(float(level[good[-1]]) - 1e-9, 0.0)
+    taken = got_ >= threshold
+    return Trained(model, threshold, float(right[taken].mean()) if taken.any() else 1.0, float(right[taken].sum() / right.sum()), len(made))
 
 
 def all_spans(text: Column, base: Column, trained: Trained | None) -> Column:

@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corroborate.llm import decontamination, license_scan, minmax_dedup, pii, secret_scan, spans, tiff_media, token_counts, token_output, toxicity
+from corroborate.llm.shared import documents
+
+from .pii_labelled import LABELLED
 
 JSON = P.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string"
+SMALL = "/root/testdata/sf0.01"
 
 
 # Tokens
@@ -205,6 +209,24 @@ def test_personal_data_beside_the_base(spark, prose):
     assert [got[i] > 0 for i in range(len(ours))] == [True] * len(ours) and not any(got[i] for i in range(len(ours), len(ours + not_ours)))
 
 
+def test_personal_data_labelled_by_hand(spark):
+    """Precision and recall on sentences that no template made, trained on the documents."""
+    trained = pii.train(documents(spark, SMALL).select("doc_id", "text"))
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LABELLED)], DOCS), trained=trained).collect()}
+    right = wrong = missed = 0
+    for i, (text, personal) in enumerate(LABELLED):
+        base = [s for s in got[i]["all"] if s.kind != 4]
+        want = [(text.index(p), text.index(p) + len(p)) for p in personal]
+        want = [w for w in want if not any(s.start < w[1] and w[0] < s.end for s in base)]
+        likely = [(s.start, s.end) for s in got[i]["all"] if s.kind == 4]
+        hits = [w for w in want if any(a < w[1] and w[0] < b for a, b in likely)]
+        right, missed = right + len(hits), missed + len(want) - len(hits)
+        wrong += sum(not any(a < w[1] and w[0] < b for w in want) for a, b in likely)
+        if re.search("2024-05-06|06.05.2024", text):
+            assert not likely, text  # no date is masked
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9, (right, wrong, missed)
+
+
 def test_columns_that_clash_stay_as_they_are(spark):
     docs = spark.createDataFrame([(1, "mail a@b.org", "x", "y", 7)], "doc_id long, text string, base_spans string, all_spans string, found_id int")
     got = pii.redacted(docs).first()
@@ -315,11 +337,28 @@ def test_toxicity_query_equals_a_plain_version(spark):
     assert {r.doc_id for r in kept} >= {r.doc_id for r in got} - bad - {3} and len(kept) == sum(r.score < 0.5 for r in got) and kept[0].score == "own"
 
 
-def test_sample_is_bounded_in_bytes(spark):
-    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 1000) for i in range(40)], DOCS)
+def test_sample_passes_over_rows_that_do_not_fit(spark):
+    """One labelled text far beyond the bound, first in the order of hashes: the others are learned from all the same."""
+    ids = [r.doc_id for r in spark.range(160).selectExpr("id AS doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    rng = random.Random(8)
+    texts = {i: " ".join([f"w{rng.randrange(400)}" for _ in range(50)] + (["vile", "scum"] if i % 2 else ["kind", "folk"]) + [f"w{rng.randrange(400)}" for _ in range(50)]) for i in ids}
+    text = texts.__getitem__
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    long_first = spark.createDataFrame([(i, text(i) * (500 if i == ids[0] else 1)) for i in ids], DOCS)
+    without = spark.createDataFrame([(i, text(i)) for i in ids if i != ids[0]], DOCS)
+    own, others = toxicity.train(long_first, labels, sample_bytes=120_000), toxicity.train(without, labels, sample_bytes=120_000)
+    assert own.weights and own == others
+
+
+def test_sample_is_bounded_in_bytes_and_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 1000) for i in range(40)] + [(1, "bad " * 1000)] * 30, DOCS)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    field = toxicity.train(docs, labels, sample_bytes=4100)  # only rows of one kind fit
-    assert not field.weights
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **_: seen.append(texts))
+    toxicity.train(docs, labels, sample_bytes=12_000)
+    toxicity.train(docs, labels, sample_rows=5)
+    toxicity.train(docs.limit(0), labels)
+    assert 0 < sum(map(len, seen[0])) <= 12_000 and 0 < len(seen[1]) <= 5 and seen[2] == []
 
 
 # Near-duplicates
