@@ -180,6 +180,13 @@ SQL["nearest_cases"] = f"""WITH {CASES}, l AS (SELECT *, greatest(floor((epoch(T
 SQL["nearest_cases_newest"] = SQL["nearest_cases"].replace("NEWEST", "ORDER BY ts DESC, doc_id LIMIT 250")
 SQL["nearest_cases"] = SQL["nearest_cases"].replace(" NEWEST", "")
 SQL["fts_match"] = f"""WITH {CASES}, w AS (SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS ws FROM cs) SELECT doc_id FROM w WHERE list_has_all(ws, ['the', 'of', 'and'])"""
+_ONE = lambda where: f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY ts DESC, doc_id DESC) AS k FROM cs WHERE {where}) WHERE k = 1"
+_MERGED = f"""{CASES}, s1 AS ({_ONE('doc_id % 3 <> 0')}), s2 AS ({_ONE('doc_id % 3 = 0')}), out AS (SELECT DISTINCT sha256(text) AS file_hash FROM documents WHERE doc_id % 11 = 5), s3 AS (SELECT * FROM s1 WHERE file_hash NOT IN (SELECT file_hash FROM out)),
+ mg AS (SELECT coalesce(s3.file_hash, s2.file_hash) AS file_hash, coalesce(s3.doc_id, s2.doc_id) AS doc_id, coalesce(s2.verdict, s3.verdict) AS verdict, coalesce(s2.confidence, s3.confidence) AS confidence, coalesce(s3.feedback_label, s2.feedback_label) AS feedback_label, coalesce(s2.text, s3.text) AS text,
+  {", ".join(f"coalesce(s2.{k}, s3.{k}) AS {k}" for k in KEYS)} FROM s3 FULL JOIN s2 ON s3.file_hash = s2.file_hash)"""
+SQL["store_merged"] = f"WITH {_MERGED} SELECT file_hash, doc_id, verdict, confidence, feedback_label FROM mg"
+SQL["store_moments"] = f"WITH {_MERGED} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 9) AS mean_a, round(covar_pop({a}, {b}) * count(*), 6) AS m2 FROM mg" for a in KEYS for b in KEYS)
+SQL["store_search"] = f"WITH {_MERGED}, w AS (SELECT doc_id, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS ws FROM mg) SELECT doc_id FROM w WHERE list_has_all(ws, ['the', 'of', 'and'])"
 SQL["metadata_filter"] = f"WITH {CASES} SELECT doc_id, file_hash FROM cs WHERE lang = 'de'"
 #: Fixed values, on their own: the cells of the three bands along the scan, and as the table of ranks has them.
 SCAN = [

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import dims as d
 from .functions import scores as fn
-from .operators import casestore, early_stop, evaluation, forensic, fusion, provenance, routing, signal, tracks
+from .operators import casestore, early_stop, evaluation, forensic, fusion, provenance, routing, signal, store, tracks
 from .plans import pipeline
 from .sources import bridge
+from .sources.shared import shared_folder
 from .sources.bridge import table
 from .streaming import windows
 
@@ -289,6 +290,34 @@ def fts_match(spark, sf_dir):
     return casestore.containing(bridge.cases(spark, sf_dir), ["The", "of", "and"])
 
 
+def _kept_store(spark, sf_dir):
+    """Two merges: two thirds of the cases; then the rest, and the hashes of some documents taken out."""
+    c = bridge.cases(spark, sf_dir)
+    s = store.CaseStore(spark, shared_folder(spark, "cases"), c.schema)
+    s.merge(c.where("doc_id % 3 <> 0"))
+    s.merge(c.where("doc_id % 3 = 0"), c.where("doc_id % 11 = 5").select("file_hash"))
+    return s
+
+
+@query
+def store_merged(spark, sf_dir):
+    return _kept_store(spark, sf_dir).read().select("file_hash", "doc_id", "verdict", "confidence", "feedback_label")
+
+
+@query
+def store_moments(spark, sf_dir):
+    m = _kept_store(spark, sf_dir).moments
+    rows = [(a, b, m.n, round(float(m.mean[i]), 9), round(float(m.m2[i, j]), 6)) for i, a in enumerate(m.keys) for j, b in enumerate(m.keys)]
+    return spark.createDataFrame(rows, "a string, b string, n long, mean_a double, m2 double")
+
+
+@query
+def store_search(spark, sf_dir):
+    s = _kept_store(spark, sf_dir)
+    s.compact()
+    return s.search(["The", "of", "and"])
+
+
 @query
 def metadata_filter(spark, sf_dir):
     return casestore.metadata_filter(bridge.cases(spark, sf_dir), "lang", "de").select("doc_id", "file_hash")
