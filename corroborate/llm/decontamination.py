@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, id_and_text, unused
+from .shared import by_bytes, id_and_text, without
 
 Q, RATE = 8, 0.10
 #: Characters of items in one block; its tables take about 40 bytes for each.
@@ -221,6 +221,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with all their columns, without those that hold an item. Rows without an id stay: no match
     can name them."""
-    own = unused(docs, "found_id")
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col(own), "left_anti")
+    return without(docs, contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id"), id_col)

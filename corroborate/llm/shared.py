@@ -56,6 +56,20 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Ids that are broadcast at most: a hash table of them takes some 50 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with all their columns, without the rows whose id is in ``gone`` (one column of ids). The ids are written and
+    counted first: up to ``most`` are broadcast, so no text is shuffled; beyond that both sides are shuffled by id. Rows
+    without an id stay; rows that repeat one stay or go together."""
+    own = unused(docs, "gone_id")
+    ids = written(gone.select(F.col(gone.columns[0]).cast("long").alias(own)).where(F.col(own).isNotNull()).distinct(), "gone")
+    side = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.join(side, F.col(id_col).cast("long") == F.col(own), "left_anti")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` hasn't got."""
     taken = {c.lower() for c in df.columns}

@@ -3,8 +3,11 @@
 import hashlib
 import random
 
+import pytest
+
 import corpus_pipeline
 from corroborate.llm import queries
+from corroborate.llm.shared import without
 
 from ..conftest import SF, same
 
@@ -78,3 +81,12 @@ def test_nulls_repeats_and_clashing_names(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     odd(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_rows_go_by_id_broadcast_or_shuffled(spark, most):
+    docs = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "c", 7), (None, "d", 8), (3, "e", 9)], "doc_id long, text string, gone_id long")
+    gone = spark.createDataFrame([(1,), (1,), (None,), (9,)], "id long")
+    got = without(docs, gone, most=most)
+    assert sorted(r.text for r in got.collect()) == ["c", "d", "e"] and got.columns == docs.columns
+    assert without(docs, gone.limit(0), most=most).count() == 5
