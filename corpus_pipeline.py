@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import byte_bpe, decontamination, minmax_dedup, pii, toxicity as toxic
-from corroborate.llm.shared import Scratch
+from corroborate.llm.shared import Scratch, without
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of least id; shingles of five words. Null and empty
     texts and rows without doc_id stay; rows that repeat a doc_id stay or go together."""
-    gone = minmax_dedup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = minmax_dedup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
+    return without(docs, gone).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
