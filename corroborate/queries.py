@@ -479,6 +479,12 @@ def liveness_labels(spark, sf_dir):
 
 @query
 def tracker(spark, sf_dir):
+    return forensic.track(bridge.track_boxes(spark, sf_dir))
+
+
+@query
+def tracker_retiring(spark, sf_dir):
+    """A track ends after 24 frames without its box."""
     return forensic.track(bridge.track_boxes(spark, sf_dir), retire_after=24)
 
 
