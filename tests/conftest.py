@@ -42,3 +42,16 @@ def same(df, con, sql):
     listed = ", ".join(f'"{c}"' for c in cols)
     want = sorted((tuple(norm(v) for v in r) for r in con.sql(f"SELECT {listed} FROM ({sql})").fetchall()), key=repr)
     assert got == want
+
+
+def drained(q, seconds=150):
+    """Wait for a stream with timers, which runs micro-batches without rows for ever, to have read all rows; then stop it."""
+    import time
+
+    end = time.time() + seconds
+    try:
+        while len(last := q.recentProgress[-3:]) < 3 or any(p["numInputRows"] for p in last):  # a batch that was cut off runs again
+            assert q.exception() is None and q.isActive and time.time() < end
+            time.sleep(0.2)
+    finally:
+        q.stop()

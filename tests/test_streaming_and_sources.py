@@ -10,12 +10,16 @@ from corroborate.queries import _scores
 from corroborate.sources import media, sinks
 from corroborate.streaming import windows
 
-from .conftest import SF
+from .conftest import SF, drained
 
 
-def run_stream(df, name, mode="append"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def run_stream(df, name, mode="append", timers=False):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    if timers:
+        drained(q)
+    else:
+        q.processAllAvailable()
+        q.stop()
     return df.sparkSession.table(name)
 
 
@@ -32,7 +36,7 @@ def test_smoothing_as_a_stream_equals_batch(spark, tmp_path):
     rows = _scores(spark, SF)
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = run_stream(windows.smoothed_stream(stream), "w2")
+    got = run_stream(windows.smoothed_stream(stream), "w2", timers=True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tracks.smoothed(rows).collect()))
 
 
