@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scores import rounded
-from .operators import casestore, evaluation, faces, forensic, fusion, pixels, provenance, routing, service, signal, tracks
+from .operators import casestore, evaluation, faces, forensic, fusion, patches, pixels, provenance, routing, service, signal, tracks
 from .plans import pipeline
 from .sources import bridge, media
 from .sources.bridge import table
@@ -175,6 +175,27 @@ def picture_statistics(spark, sf_dir):
     return stats.select("vec_id", *[F.round(c, 4).alias(c) for c in ("angle", "gradient", "skin", "base", "mid", "high")], "hair")
 
 
+def _patches(spark, sf_dir):
+    return patches.scored(patches.patch_rows(table(spark, sf_dir, "embeddings"), "vec_id", columns=("embedding",), decode=bridge.large_picture))
+
+
+@query
+def picture_patches(spark, sf_dir):
+    """Overlapping patches of pictures larger than a patch."""
+    return _patches(spark, sf_dir).select("vec_id", "patch", "y", "x", *[F.round(c, 6).alias(c) for c in ("base", "mid", "high", "luma", "rough", "log_energy", "score")])
+
+
+@query
+def picture_agreement(spark, sf_dir):
+    g = patches.agreement(_patches(spark, sf_dir), "vec_id")
+    return g.select("vec_id", "n", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std", "damped")])
+
+
+@query
+def picture_calibration(spark, sf_dir):
+    return signal.calibration(_patches(spark, sf_dir))
+
+
 @query
 def dct_peak(spark, sf_dir):
     """Two crops of 40 x 40 for each embedding."""

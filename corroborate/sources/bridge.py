@@ -137,6 +137,19 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "embedding").mapInPandas(run, f"vec_id {dict(e.dtypes)['vec_id']}, height int, width int, data binary")
 
 
+def large_picture(embedding):
+    """340 x 236 RGB pixels of an embedding: its 64 numbers as a block of 8 x 8, repeated, on steps that rise from block to
+    block; None for a null one or one of another length."""
+    import numpy as np
+
+    if embedding is None or len(embedding) != 64:
+        return None
+    block = np.floor(np.nan_to_num(np.asarray(embedding, float)).clip(-9, 9) * 200 + 128).reshape(8, 8)
+    y, x = np.mgrid[:340, :236]
+    steps = (y // 8 * 3 + x // 8 * 5) % 32
+    return np.stack([np.clip(np.roll(block, k, axis=1)[y % 8, x % 8] + steps * (k + 1), 0, 255) for k in range(3)], axis=2).astype(np.uint8)
+
+
 #: Parts that manifests are put together from.
 AGENTS = ["", "Adobe Photoshop 25", "DALL-E 3", "dalle 2", "Stable-Diffusion XL", "Fluxus", "Midjourneyman", "Adobe Firefly", "GIMP"]
 MANIFEST_ACTIONS = ["c2pa.created", "c2pa.edited", "C2PA.Cropped", "c2pa.opened", "c2pa.retouched", "c2pa.composited", "c2pa.placed", "x.Created", "c2pa.adjusted", "c2pa.colorgraded", "c2pa.resized", "c2pa.filtered", "custom.created"]

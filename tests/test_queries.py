@@ -6,7 +6,7 @@ from corroborate import media_oracle, media_queries, oracle, queries
 from .conftest import SF, TABLES, same
 
 QUERIES, SQL = queries.QUERIES | media_queries.QUERIES, oracle.SQL | media_oracle.SQL
-ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "psd_projection", "tracker", "tracker_retiring", "picture_statistics"}
+ROWS_ONLY = {"nearest_cases_mahalanobis", "dct_peak", "psd_projection", "tracker", "tracker_retiring", "picture_statistics", "picture_patches", "picture_agreement", "picture_calibration"}
 LARGER = "/root/testdata/sf0.01"
 
 
