@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BOXES, CASES, MEDIA, RUNS, SQL as CORE, ev
+from .oracle import BOXES, CASES, DD, MEDIA, RUNS, SQL as CORE, ev
 from .sources.bridge import face_point
 
 SQL: dict[str, str] = {}
@@ -172,3 +172,8 @@ SQL["pulse_metrics"] = f"""WITH {TRACES}, ca AS (SELECT case_id, region, frame,
  FROM st JOIN nr ON st.case_id = nr.case_id AND st.region = nr.region JOIN mo ON st.case_id = mo.case_id AND st.region = mo.region JOIN fl ON st.case_id = fl.case_id AND st.region = fl.region"""
 _RULES = CORE["liveness_labels"][CORE["liveness_labels"].index("g AS (SELECT id") :].replace("v % 17 = 0 OR v % 19 = 0 AS unclear, v % 11 = 0 AS flat FROM b", "id % 20 = 0 OR (SELECT bool_or(moving) FROM r WHERE r.id = b.id) AS unclear, (SELECT bool_and(flat) FROM r WHERE r.id = b.id) AS flat FROM b")
 SQL["pulse_labels"] = f"""WITH pm AS ({SQL['pulse_metrics']}), r AS (SELECT case_id AS id, case_id AS v, region AS k, peak_hz AS hz, snr_db AS snr, std AS sd, flat, moving FROM pm), {_RULES}"""
+_VIEWS = "vw AS (SELECT vec_id AS case_id, c AS face, v AS view, 4 * (embedding[c * 20 + v * 7 + 1]::DOUBLE + embedding[c * 20 + v * 7 + 2]::DOUBLE) AS logit FROM embeddings, range(2) a(c), range(2) b(v))"
+SQL["view_scores"] = f"""WITH {_VIEWS}, f AS (SELECT case_id, face, 1 / (1 + exp(-avg(logit) / 2)) AS s FROM vw GROUP BY ALL) SELECT case_id, count(*) AS n_crops, round(max(s) + 1e-9, 6) AS worst, round(1 - max(s) + 1e-9, 6) AS real_prob FROM f GROUP BY case_id"""
+SQL["view_spread"] = f"""WITH {_VIEWS}, f AS (SELECT case_id, face, max(1 / (1 + exp(-logit))) AS m FROM vw GROUP BY ALL) SELECT case_id, count(*) AS n, round(avg(m) + 1e-9, 6) AS mean, round(stddev_pop(m) + 1e-9, 6) AS std FROM f GROUP BY case_id"""
+SQL["skipped_tools"] = f"""WITH {ev(True)}, {DD}, g AS (SELECT case_id, max(1 - real_prob) FILTER (tool = 'run_univfd') AS u, max(real_prob) FILTER (tool = 'run_sbi') AS p, max(confidence) FILTER (tool = 'run_sbi') AS c FROM dd GROUP BY case_id)
+ SELECT case_id, coalesce(u > 0.90::DOUBLE, false) AS skipped, CASE WHEN u > 0.90::DOUBLE THEN 0 ELSE p END AS real_prob, CASE WHEN u > 0.90::DOUBLE THEN 1 ELSE c END AS confidence FROM g WHERE p IS NOT NULL"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scores import rounded
-from .operators import casestore, evaluation, faces, forensic, fusion, patches, pixels, provenance, routing, service, signal, tracks
+from .operators import casestore, evaluation, faces, forensic, fusion, patches, pixels, provenance, routing, service, signal, tracks, views
 from .plans import pipeline
 from .sources import bridge, media
 from .sources.bridge import table
@@ -196,6 +196,38 @@ def picture_calibration(spark, sf_dir):
     return signal.calibration(_patches(spark, sf_dir))
 
 
+def _views(spark, sf_dir):
+    """Logits of two views of two crops of each embedding: sums of its numbers, by place."""
+    e = table(spark, sf_dir, "embeddings")
+    number = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    logit = lambda c, v: F.struct(F.lit(c).alias("face"), F.lit(v).alias("view"), (4 * (number(c * 20 + v * 7) + number(c * 20 + v * 7 + 1))).alias("logit"))
+    rows = F.explode(F.array(*[logit(c, v) for c in (0, 1) for v in (0, 1)])).alias("s")
+    return e.select(F.col("vec_id").alias("case_id"), rows).select("case_id", "s.*")
+
+
+@query
+def view_scores(spark, sf_dir):
+    """The worst crop of each case, its logits averaged over both views."""
+    found = views.worst(views.averaged(_views(spark, sf_dir), temperature=2.0))
+    return found.select("case_id", "n_crops", rounded(F.col("worst"), 6).alias("worst"), rounded(F.col("real_prob"), 6).alias("real_prob"))
+
+
+@query
+def view_spread(spark, sf_dir):
+    """Mean and deviation over crops of the view that looks most like a fake."""
+    rows = _views(spark, sf_dir).withColumn("score", 1 / (1 + F.exp(-F.col("logit"))))
+    return views.highest(rows, part="face").select("case_id", "n", rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("std"), 6).alias("std"))
+
+
+@query
+def skipped_tools(spark, sf_dir):
+    """The tool for blended faces beside the score of a wholly synthetic picture, where a case has both."""
+    rows = fusion.dedup(bridge.tool_results(spark, sf_dir, dense=True))
+    one = lambda tool, value: F.max(F.when(F.col("tool") == tool, value))
+    g = rows.groupBy("case_id").agg(one("run_univfd", 1 - F.col("real_prob")).alias("u"), one("run_sbi", F.col("real_prob")).alias("p"), one("run_sbi", F.col("confidence")).alias("c")).where("p IS NOT NULL")
+    return g.select("case_id", views.skipped(F.col("u"), F.col("p"), F.col("c")).alias("s")).select("case_id", "s.*")
+
+
 @query
 def dct_peak(spark, sf_dir):
     """Two crops of 40 x 40 for each embedding."""

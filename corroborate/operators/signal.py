@@ -138,6 +138,8 @@ def dct_peaks(crops: DataFrame, key: str = "case_id") -> DataFrame:
 
 #: Frames that a pulse needs at least, length of its transform, band of heart rates in Hz, share of motion.
 MIN_FRAMES, TRANSFORM, BAND, MOTION, MOTION_HZ, FLAT = 90, 2048, (0.7, 2.5), 0.75, 0.5, 1e-5
+#: Frames that are looked at for light, and the mean grey below which there is too little.
+CHECKED, DARK = 15, 50.0
 
 
 def pos_signal(rgb: np.ndarray) -> np.ndarray:
@@ -187,11 +189,12 @@ def carried(traces: DataFrame, key: list[str], order: str = "frame", colours: tu
 def pulse_metrics(traces: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, region, n, peak_hz, snr_db, concentration, std, flat, motion_share, moving) from mean colours (key, region, frame,
     r, g, b) of the skin regions of a face; nulls are carried. A trace holds the frames of one analysed clip (at most
-    300), so a group is bounded. With fewer than 90 frames, the metrics are null."""
+    300), so a group is bounded. With fewer than 90 frames, or where the region is darker than ``DARK`` in any 15th frame that
+    has it, there is no pulse: the metrics are null."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         rgb = b.sort_values("frame")[["r", "g", "b"]].to_numpy(float)
-        if len(rgb) < MIN_FRAMES:
+        if len(rgb) < MIN_FRAMES or b["dark"].any():
             got: list = [None] * 4 + [True, 1.0, True]
         else:
             h, share = pos_signal(rgb), motion_share(rgb[:, 1])
@@ -200,5 +203,7 @@ def pulse_metrics(traces: DataFrame, key: str = "case_id") -> DataFrame:
         return pd.DataFrame([(b[key].iloc[0], b["region"].iloc[0], len(rgb), *got)], columns=[key, "region", "n", "peak_hz", "snr_db", "concentration", "std", "flat", "motion_share", "moving"])
 
     kinds = dict(traces.dtypes)
-    rows = carried(traces.select(key, "region", "frame", "r", "g", "b"), [key, "region"])
+    dark = (F.col("frame") % CHECKED == 0) & ((F.col("r") + F.col("g") + F.col("b")) / 3 < DARK)
+    rows = traces.select(key, "region", "frame", "r", "g", "b", F.coalesce(dark, F.lit(False)).alias("dark"))
+    rows = carried(rows, [key, "region"])
     return rows.groupBy(key, "region").applyInPandas(run, f"{key} {kinds[key]}, region {kinds['region']}, n long, peak_hz double, snr_db double, concentration double, std double, flat boolean, motion_share double, moving boolean")

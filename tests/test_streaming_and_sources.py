@@ -173,3 +173,11 @@ def test_nearest_cases_with_ten_keys_and_all_masks(spark):
         off = np.array([scores[keys[j]] - 0.5 for j in at])
         want[i] = float(np.sqrt(off @ np.linalg.inv(whole[np.ix_(at, at)]) @ off))
     assert {r.doc_id: r.distance for r in got} == pytest.approx(want, abs=2e-6)
+
+
+def test_dark_regions_give_no_pulse(spark):
+    rows = [(c, 0, t, 100.0 + t % 3, None if (c, t) == (3, 15) else 20.0 if (c, t) in ((1, 30), (2, 31)) else 90.0 + t % 5, 80.0) for c in range(4) for t in range(120)]
+    rows = [(c, r, t, 20.0 if g == 20.0 else x, g, b) for c, r, t, x, g, b in rows]
+    df = spark.createDataFrame(rows, "case_id long, region int, frame int, r double, g double, b double")
+    got = {r.case_id: r for r in signal.pulse_metrics(df).collect()}
+    assert got[1].peak_hz is None and all(got[c].peak_hz is not None for c in (0, 2, 3))  # frame 31 isn't looked at
