@@ -1,12 +1,9 @@
-"""What surrounds the tools: contract of plug-ins, progress rows, texts to and from language models, small text formats."""
+"""What surrounds the tools: settings, error rows, progress rows, texts to and from language models, small text formats."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +34,6 @@ class Options:
     failures: int = 3
 
 
-EVIDENCE = "tool string, success boolean, real_prob double, confidence double, error boolean, error_msg string, execution_time double, evidence_summary string"
-
-
 def error_row(tool: Column, message: Column) -> Column:
     """The evidence of a tool that failed: no opinion, and the kind of error in words."""
     kind = routing.failure(message)
@@ -49,44 +43,6 @@ def error_row(tool: Column, message: Column) -> Column:
     )
 
 
-@dataclass
-class Registry:
-    """Tools by name: functions from a pandas row (a dict) to (real_prob, confidence, summary). Those whose ``setup`` fails are
-    kept out, with the reason in ``failed``."""
-
-    tools: dict[str, Callable[[dict], tuple[float, float, str]]] = field(default_factory=dict)
-    failed: dict[str, str] = field(default_factory=dict)
-
-    def register(self, name: str, tool: Callable[[dict], tuple[float, float, str]], setup: Callable[[], None] | None = None) -> None:
-        try:
-            if setup:
-                setup()
-            self.tools[name] = tool
-        except Exception as e:  # whatever a plug-in raises, the others go on
-            self.failed[name] = f"{type(e).__name__}: {e}"
-
-    def run(self, cases: DataFrame, key: str = "case_id") -> DataFrame:
-        """Evidence rows of all tools for all cases: (key, tool, success, ...); a tool that raises gives an error row."""
-        tools, columns = dict(self.tools), [c for c in cases.columns if c != key]
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names = [key, *[x.split()[0] for x in EVIDENCE.split(", ")]]
-            for b in batches:
-                rows = []
-                for k, *values in zip(b[key], *(b[c] for c in columns)):
-                    for name, tool in tools.items():
-                        began = time.monotonic()
-                        try:
-                            p, c, text = tool(dict(zip(columns, values)))
-                            rows.append((k, name, True, min(1.0, max(0.0, p)), c, False, None, time.monotonic() - began, text))
-                        except Exception as e:
-                            kind, confidence = next(((a, b) for word, a, b in routing.FAILURES if word in type(e).__name__), ("UNKNOWN", 0.0))
-                            rows.append((k, name, False, 0.5, confidence, True, str(e), time.monotonic() - began, f"Tool {name} failed: [{kind}] {e}"))
-                yield pd.DataFrame(rows, columns=names)
-
-        return cases.mapInPandas(work, f"{key} {dict(cases.dtypes)[key]}, {EVIDENCE}")
-
-
 def normalised_weights(weights: DataFrame) -> DataFrame:
     """(tool, weight) that sum to 1; sums within a millionth of it stay as they are. A row for each tool: a few in all."""
     total = weights.agg(F.sum("weight").alias("total"))

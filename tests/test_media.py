@@ -255,17 +255,11 @@ def test_admission(spark):
 # Around the tools
 
 
-def test_plug_ins(spark):
-    def broken(row):
-        raise service.ToolTimeoutError("too slow")
-
-    r = service.Registry()
-    r.register("half", lambda row: (row["x"] / 2, 0.9, "ok"))
-    r.register("slow", broken)
-    r.register("absent", broken, setup=lambda: (_ for _ in ()).throw(ImportError("no such model")))
-    got = {(x.case_id, x.tool): x for x in r.run(spark.createDataFrame([(1, 1.0), (2, 9.0)], "case_id long, x double")).collect()}
-    assert set(got) == {(c, t) for c in (1, 2) for t in ("half", "slow")} and r.failed == {"absent": "ImportError: no such model"}
-    assert got[1, "half"].real_prob == 0.5 and got[2, "half"].real_prob == 1.0 and got[1, "slow"].confidence == 0.2 and "[TIMEOUT] too slow" in got[1, "slow"].evidence_summary
+def test_kinds_of_errors(spark):
+    errors = [service.OutOfMemoryToolError("no room"), service.ToolTimeoutError("too slow"), service.InvalidInputError("bad"), KeyError("k")]
+    rows = spark.createDataFrame([(n, f"{type(e).__name__}: {e}") for n, e in enumerate(errors)], "n int, m string")
+    got = [r.e for r in rows.orderBy("n").select(service.error_row(F.lit("t"), F.col("m")).alias("e")).collect()]
+    assert [(e.confidence, e.evidence_summary.split("[")[1].split("]")[0]) for e in got] == [(0.1, "RESOURCE"), (0.2, "TIMEOUT"), (0.0, "INPUT"), (0.0, "UNKNOWN")]
 
 
 def test_normalised_weights(spark):
@@ -319,20 +313,6 @@ def test_tracks_are_told_from_their_second_hit(spark):
     assert sorted((r.track, r.frame) for r in ended) == [(1, 0), (1, 1), (2, 41)]
 
 
-def test_kinds_of_errors(spark):
-    def raising(error):
-        def tool(row):
-            raise error
-
-        return tool
-
-    r = service.Registry()
-    for name, error in (("memory", service.OutOfMemoryToolError("no room")), ("input", service.InvalidInputError("bad")), ("odd", KeyError("k"))):
-        r.register(name, raising(error))
-    got = {x.tool: x for x in r.run(spark.createDataFrame([(1,)], "case_id long")).collect()}
-    assert [(got[n].confidence, got[n].evidence_summary.split("[")[1].split("]")[0]) for n in ("memory", "input", "odd")] == [(0.1, "RESOURCE"), (0.0, "INPUT"), (0.0, "UNKNOWN")]
-
-
 def test_word_index_finds_what_a_scan_finds(spark):
     store = spark.createDataFrame([(1, "The end of it"), (2, "of the, and"), (3, None), (4, "THE AND OF x")], "doc_id long, reasoning string")
     for words in (["of", "The"], ["and"], ["absent"]):
