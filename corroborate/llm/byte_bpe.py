@@ -25,7 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, id_and_text, kept
+from .shared import by_bytes, given_back, id_and_text, kept, slices
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Characters encoded at once; bounds the arrays.
@@ -224,12 +224,10 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(ranks_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in by_bytes(list(map(len, texts)), BATCH_CHARS):
-                ids = own.encode(texts[a:b])
-                out = own.decode(ids)
-                hexes = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, out)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(hexes[0], pa.string()), pa.array(hexes[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in slices(batches, 1, BATCH_CHARS):
+            ids = own.encode(batch.column(1).to_pylist())
+            out = own.decode(ids)
+            hexes = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, out)]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(hexes[0], pa.string()), pa.array(hexes[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(given_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, id_and_text, without
+from .shared import by_bytes, given_back, id_and_text, without
 
 Q, RATE = 8, 0.10
 #: Characters of items in one block; its tables take about 40 bytes for each.
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 6, kinds)], ["doc_id", "item_id", "edits", "start", "end", "allowed"])
 
-        return rows.mapInArrow(run, "doc_id long, item_id long, edits int, start int, end int, allowed int")
+        return rows.mapInArrow(given_back(run), "doc_id long, item_id long, edits int, start int, end int, allowed int")
 
     return reduce(DataFrame.union, map(against, range(blocks)))
 

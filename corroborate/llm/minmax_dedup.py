@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, by_bytes, id_and_text, kept
+from .shared import Scratch, by_bytes, given_back, id_and_text, kept
 
 BANDS, ROWS = 40, 6
 #: 16 values of four bits in each; 480 hash functions give 960 values.
@@ -152,7 +152,7 @@ def hashed_sets(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROW
                 lists = [pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(x.ravel())) for n, x in zip((bands, SKETCH_LONGS), keys)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), *lists], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(given_back(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -165,7 +165,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(given_back(run), "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(list(x), pa.int64()) for x in (zip(*out) if out else [[]] * 4)], ["a", "b", "shared", "either"])
 
     grouped = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return grouped.mapInArrow(run, "a long, b long, shared long, either long")
+    return grouped.mapInArrow(given_back(run), "a long, b long, shared long, either long")
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([pa.array(list(k), pa.int64()) for k in (zip(*out) if out else [[]] * 2)], ["a", "b"])
 
     grouped = held.union(past).repartition("main", "block").sortWithinPartitions("main", "block", F.col("y").asc_nulls_first())
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(given_back(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:

@@ -59,7 +59,7 @@ FEATURES = [
     "length", "digits", "dots", "blanks", "hyphens", "colons", "at", "plus", "parentheses", "longest", "groups", "upper", "letters", "spelled", "luhn", "domain", "cue",
     "reference", "date", "time", "account", "first", "second", "last", "zero", "years", "book", "alike", "touching", "distinct",
 ]
-SAMPLE_ROWS, SAMPLE_SPANS, TREES, RATE, PRECISION = 2000, 1000, 80, 0.3, 0.98
+SAMPLE_ROWS, SAMPLE_SPANS, TREES, RATE, PRECISION = 2000, 1000, 50, 0.4, 0.98
 
 
 def _digits(value: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +94,26 @@ def by_bytes(sizes: Sequence[int], most: int, rows: int = 1 << 30) -> Iterator[t
         yield start, len(sizes)
 
 
+def slices(batches: Iterator[pa.RecordBatch], place: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of the texts in column ``place``, so that what is made of a slice's texts is bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+        for a, b in by_bytes(sizes, most):
+            yield batch.slice(a, b - a)
+
+
+def given_back(run: Callable) -> Callable:
+    """``run`` of a task, after which the worker, which lives on for other tasks, gives freed memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 _kept: dict = {}
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, id_and_text, kept
+from .shared import by_bytes, given_back, id_and_text, kept, slices
 
 #: Labelled rows the field is fitted on at most, and their bytes; clean rows at most for each toxic one.
 SAMPLE_ROWS, SAMPLE_BYTES, CLEAN_PER_TOXIC = 4000, 12_000_000, 2.0
@@ -307,7 +307,7 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     import re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, BATCH_CHARS):
             levels = _levels_of(field)
             texts = batch.column(1).to_pylist()
             found = tag(field, texts, levels)
@@ -320,7 +320,7 @@ def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
                     places[k] = ",".join(f"{words[i][0]}:{words[i][1]}" for i in h.tolist() if i < len(words))
             yield pa.record_batch([batch.column(0), pa.array(score(field, expected)), pa.array([len(h) for h in hits], pa.int64()), pa.array(expected), pa.array(places, pa.string())], ["doc_id", "score", "n_toxic", "expected", "spans"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_toxic long, expected double, spans string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(given_back(run), "doc_id long, score double, n_toxic long, expected double, spans string")
 
 
 def clean(docs: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -330,12 +330,11 @@ def clean(docs: DataFrame, field: Field, text_col: str = "text", least: float =
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(place).to_pylist()]
-            found = tag(field, texts, _levels_of(field))
+        for batch in slices(batches, place, BATCH_CHARS):
+            found = tag(field, [x or "" for x in batch.column(place).to_pylist()], _levels_of(field))
             yield batch.filter(pa.array(score(field, np.array([evidence(m) for m in found])) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
