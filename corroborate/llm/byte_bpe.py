@@ -29,7 +29,7 @@ from .shared import by_bytes, given_back, id_and_text, kept, slices
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Characters encoded at once; bounds the arrays.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 #: The code points that Unicode calls white space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
