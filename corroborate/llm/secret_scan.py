@@ -1,12 +1,13 @@
 """Secret scans: two character Markov models, one of random strings and one of ordinary identifiers, compared by their
 log-likelihood ratio. DataFrame functions only.
 
-Fixed formats (assignments, access keys, hex runs) are found by pattern, and label the samples: what they match is random,
-tokens of the same alphabet beside them are ordinary. One pass over a bounded sample of rows (``sample_rows`` by hash of
-the id) yields both, the only pass besides the scan itself. Half of the sampled tokens are counted (what crosses to the
-driver is a table of at most 2 x 67 x 67 bigrams), the other half sets the threshold: the ratio that all but
-``false_share`` of the ordinary ones stay below. Long tokens that overlap no base span and exceed it are added as kind
-``random``, but not those in the common form of a universally unique identifier. Counts are smoothed; without random samples nothing is added.
+Fixed formats (assignments, access keys, hex runs) are found by pattern, and label what is learned from: what they match is
+random, tokens of the same alphabet beside them are ordinary. One pass over all rows counts each different token, and the
+table of these counts is all that training reads from then on. Half of the occurrences (by hash of id and token) give the
+bigram counts (what crosses to the driver is a table of at most 2 x 67 x 67), the other half the threshold: the least
+step of a fixed scale that at most ``false_share`` of the ordinary ones exceed (a count for each step crosses to the
+driver). Long tokens that overlap no base span and exceed it are added as kind ``random``, but not those in the common form
+of a universally unique identifier. Counts are smoothed; without random strings nothing is added.
 
 Null and empty texts have no spans; repeated rows each get a row; an empty table gives an empty result. Other columns
 are not read.
@@ -33,11 +34,11 @@ TOKEN, LEARNED = r"[A-Za-z0-9+/_=-]{16,}", r"[A-Za-z0-9+/_=-]{8,}"
 UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 N = len(SYMBOLS)
-#: Natural logarithm of the odds that a random string must have over an ordinary identifier, at least.
-LEAST = 8.0
+#: Natural logarithm of the odds that a random string must have over an ordinary identifier, at least; thresholds are this
+#: times a power of GROWTH.
+LEAST, GROWTH = 8.0, 1.01
 #: Share of held-out ordinary tokens that may exceed the threshold.
 FALSE_SHARE = 0.001
-SAMPLE_ROWS = 2000
 BACKED = 20.0
 
 
@@ -65,28 +66,33 @@ class Trained:
     tokens: int
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, false_share: float = FALSE_SHARE) -> Trained | None:
-    """Both models, or None where a sample has no random string. ``docs``: doc_id, text."""
+def train(docs: DataFrame, false_share: float = FALSE_SHARE) -> Trained | None:
+    """Both models from all rows, or None where they hold no random string to count. ``docs``: doc_id, text."""
     text, base = F.col("text"), F.col("base")
-    scratch = Scratch(docs.sparkSession, "secret-samples")
-    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", base_spans(text).alias("base"))
+    scratch = Scratch(docs.sparkSession, "secret-tokens")
     secret = F.transform(base, lambda s: F.struct(F.lit(1).alias("y"), F.coalesce(F.when(s["kind"] == 0, s["group"]), s["value"]).alias("token")))
-    ordinary = F.transform(spans.outside(spans.found(text, LEARNED, 3), base), lambda s: F.struct(F.lit(0).alias("y"), s["value"].alias("token")))
-    tokens = sample.select("doc_id", F.explode(F.concat(secret, ordinary)).alias("t")).select("t.*", F.pmod(F.xxhash64("doc_id", "t.token"), F.lit(2)).alias("half"))
-    tokens = scratch.table(tokens, "tokens")
-    codes = tokens.where("half = 0").select("y", _codes(F.col("token")).alias("c"))
-    pairs = codes.select("y", F.explode(F.arrays_zip(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))).alias("b"))).alias("p")).where("p.b IS NOT NULL")
-    counts = {(r.y, r.a, r.b): r.n for r in pairs.groupBy("y", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).collect()}
+    # Without a base span nothing can overlap one, so no places are needed.
+    beside = F.when(F.size(base) == 0, F.regexp_extract_all(text, F.lit(LEARNED), F.lit(0))).otherwise(F.transform(spans.outside(spans.found(text, LEARNED, 3), base), lambda s: s["value"]))
+    ordinary = F.transform(beside, lambda t: F.struct(F.lit(0).alias("y"), t.alias("token")))
+    each = docs.select("doc_id", "text", base_spans(text).alias("base")).select("doc_id", F.explode(F.concat(secret, ordinary)).alias("t"))
+    each = each.select("t.*", F.pmod(F.xxhash64("doc_id", "t.token"), F.lit(2)).alias("half"))
+    tokens = scratch.table(each.groupBy("half", "y", "token").agg(F.count("*").alias("n")), "tokens")
+    codes = tokens.where("half = 0").select("y", "n", _codes(F.col("token")).alias("c"))
+    pairs = codes.select("y", "n", F.explode(F.arrays_zip(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))).alias("a"), F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))).alias("b"))).alias("p")).where("p.b IS NOT NULL")
+    counts = {(r.y, r.a, r.b): r.n for r in pairs.groupBy("y", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n")).collect()}
     if not any(y for y, _, _ in counts):
+        scratch.drop("tokens")
         return None
     model = ratios(counts)
-    held = tokens.where("half = 1").select("y", ratio(F.col("token"), model).alias("r"))
-    high = held.agg(F.percentile(F.when(F.col("y") == 0, F.col("r")), 1 - false_share).alias("r")).first().r
-    threshold = max(LEAST, high if high is not None else LEAST)
-    found = held.agg(F.avg(F.when(F.col("y") == 1, (F.col("r") > threshold).cast("int"))).alias("recall"), F.avg(F.when(F.col("y") == 0, (F.col("r") > threshold).cast("int"))).alias("wrong"), F.count("*").alias("n")).first()
+    held = tokens.where("half = 1").select("y", "n", ratio(F.col("token"), model).alias("r"))
+    step = F.when(F.col("r") > LEAST, F.ceil(F.log(F.col("r") / LEAST) / math.log(GROWTH))).otherwise(0)
+    steps = {(r.y, r.step): r.n for r in held.groupBy("y", step.alias("step")).agg(F.sum("n").alias("n")).collect()}
     scratch.drop("tokens")
-    return Trained(model, threshold, found.recall or 0.0, found.wrong or 0.0, found.n)
+    total = [sum(n for (y, _), n in steps.items() if y == k) for k in (0, 1)]
+    above = lambda k, level: sum(n for (y, at), n in steps.items() if y == k and at > level)
+    level = next(k for k in sorted({0, *(at for _, at in steps)}) if above(0, k) <= false_share * total[0])
+    recall, wrong = (above(k, level) / total[k] if total[k] else 0.0 for k in (1, 0))
+    return Trained(model, LEAST * GROWTH**level, recall, wrong, sum(total))
 
 
 def ratios(counts: dict[tuple[int, int, int], int]) -> list[float]:

@@ -195,6 +195,20 @@ def test_secrets_beside_the_base(spark, prose):
     assert sum(got[i] for i in range(40)) >= 38 and not any(got[i] for i in range(40, len(asked)))
 
 
+def test_secrets_are_learned_from_all_rows(spark):
+    rng = random.Random(21)
+    words, symbols = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(8, 12))) for _ in range(300)], secret_scan.SYMBOLS[:62]
+    # The only rows with secrets are the last by hash of the id.
+    last = {r.doc_id for r in spark.range(2600).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id").desc()).limit(200).collect()}
+    texts = [" ".join(rng.choices(words, k=12)) + (" token=" + "".join(rng.choices(symbols, k=24)) if i in last else "") for i in range(2600)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, words[0]), (2600, None)], DOCS)
+    trained = secret_scan.train(docs)
+    # Half of all tokens are held out: 12 words a row, and 200 secrets.
+    assert trained and trained.recall >= 0.95 and trained.false_share <= 0.001 and 0.48 <= trained.tokens / (2600 * 12 + 201) <= 0.52
+    asked = spark.createDataFrame([(1, "see " + "".join(rng.choices(symbols, k=28)) + " here"), (2, words[0] + words[1])], DOCS)
+    assert {r.doc_id: r.n_random for r in secret_scan.secret_counts(asked, trained=trained).collect()} == {1: 1, 2: 0}
+
+
 def test_personal_data_beside_the_base(spark, prose):
     rng, words = prose
     digits = lambda n: "".join(rng.choices("0123456789", k=n))
