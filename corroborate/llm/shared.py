@@ -102,14 +102,19 @@ def slices(batches: Iterator[pa.RecordBatch], place: int, most: int) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """This process gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def given_back(run: Callable) -> Callable:
     """``run`` of a task, after which the worker, which lives on for other tasks, gives freed memory back to the system."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
 

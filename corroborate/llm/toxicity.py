@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, given_back, id_and_text, kept, slices
+from .shared import by_bytes, give_back, given_back, id_and_text, kept, slices
 
 #: Labelled rows the field is fitted on at most, and their bytes; clean rows at most for each toxic one.
 SAMPLE_ROWS, SAMPLE_BYTES, CLEAN_PER_TOXIC = 4000, 12_000_000, 2.0
@@ -35,8 +35,8 @@ REMEMBERED = 250_000
 #: Tokens in a block of the messages' scan at most.
 LONGEST_BLOCK = 128
 STEPS, RATE, RIDGE = 60, 0.3, 1e-3
-#: Training sequences are cut after so many tokens (all tokens are used).
-SEQUENCE = 200
+#: Training sequences are cut after so many tokens (all tokens are used); marginals are made of so many sequences at once.
+SEQUENCE, AT_ONCE = 200, 500
 #: Evidence, in nats, that a feature must give before it labels tokens.
 EVIDENCE = 11.0
 #: A toxic document of which more than this share of five-word runs stood in others is a copy and labels nothing.
@@ -205,7 +205,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = STEPS, clean_per_toxic:
     for step in range(steps):
         level = bias + np.bincount(word, weights=weights[feature], minlength=len(words))
         emission = level[ids_]
-        m = marginals(emission, ends_, tuple(after))
+        m = np.empty(len(ids_))
+        for k in range(0, len(ends_), AT_ONCE):
+            a, b = ends_[k - 1] if k else 0, ends_[min(k + AT_ONCE, len(ends_)) - 1]
+            m[a:b] = marginals(emission[a:b], ends_[k : k + AT_ONCE] - a, tuple(after))
         lack = seen - np.bincount(ids_, weights=m, minlength=len(words))
         gradient = [np.bincount(feature, weights=lack[word], minlength=len(kept)) - RIDGE * len(ends_) * weights, float(lack.sum()), np.zeros(4)]
         if step % 4 == 0:
@@ -295,10 +298,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     if not picked:
         return fit([], [], clean_per_toxic=clean_per_toxic, copied=copied)
     ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
-    found = own.join(F.broadcast(ids), "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas()
-    found["h"] = found["doc_id"].map({i: k for k, i in enumerate(picked)})
-    found = found.sort_values(["h", "text", "y"], kind="stable")
-    return fit(found["text"].tolist(), found["y"].tolist(), clean_per_toxic=clean_per_toxic, copied=copied)
+    place = {i: k for k, i in enumerate(picked)}
+    found = own.join(F.broadcast(ids), "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    found = sorted((place[r.doc_id], r.text, r.y) for r in found)
+    field = fit([text for _, text, _ in found], [y for *_, y in found], clean_per_toxic=clean_per_toxic, copied=copied)
+    del found
+    give_back()  # the driver's Python lives on beside all that follows
+    return field
 
 
 def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

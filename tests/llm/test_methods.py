@@ -173,6 +173,14 @@ def test_masks_of_overlapping_spans(spark):
     assert [r.m for r in df.select(pii.mask(F.col("t"), F.col("f")).alias("m")).collect()] == [out + text[at:], "none"]
 
 
+def test_fitting_takes_marginals_of_a_few_sequences_at_once(monkeypatch):
+    seen, plain = [], toxicity.marginals
+    monkeypatch.setattr(toxicity, "marginals", lambda emission, ends, after: seen.append(len(ends)) or plain(emission, ends, after))
+    texts = ["some plain words of text " * 3000] * 6 + ["some vilestuff words of text " * 3000] * 6
+    toxicity.fit(texts, [0] * 6 + [1] * 6, steps=1)
+    assert max(seen) <= 500 and sum(seen) > 800
+
+
 # Secrets and personal data
 
 
