@@ -52,7 +52,7 @@ def route(confidence_weighting: bool = False) -> Column:
     grey, blur, compression = F.col("grayscale"), F.col("blur"), F.col("compression")
     base = F.col("fusion_weight")
     by = conf if confidence_weighting else F.lit(1.0)
-    vote = lambda w, c=None: F.struct(((s * w if c is None else c) * by).alias("contribution"), (w * by).alias("weight"), F.lit(False).alias("abstain"))
+    vote = lambda w, share=s: F.struct((w * by * share).alias("contribution"), (w * by).alias("weight"), F.lit(False).alias("abstain"))
     silent = lambda abstain: F.struct(F.lit(0.0).alias("contribution"), F.lit(0.0).alias("weight"), F.lit(abstain).alias("abstain"))
     sbi = F.when(s >= 0.80, _times(0.15, (compression, 0.40), (grey, 0.1))).otherwise(_times(0.03 + 0.12 * F.col("univfd_fake"), (compression, 0.40), (grey | blur, 0.1)))
     return (
@@ -60,8 +60,8 @@ def route(confidence_weighting: bool = False) -> Column:
         .when(F.coalesce(conf, F.lit(0.0)) <= 0, silent(True))
         .when((base == 0) & (tool != "check_c2pa"), silent(True))
         .when(tool == "check_c2pa", silent(False))
-        .when((tool == "run_rppg") & (s < 0.30), vote(F.lit(0.06), F.lit(0.0)))
-        .when((tool == "run_rppg") & (s > 0.70), vote(F.lit(0.06), F.lit(0.06) * 0.85))
+        .when((tool == "run_rppg") & (s < 0.30), vote(F.lit(0.06), 0.0))
+        .when((tool == "run_rppg") & (s > 0.70), vote(F.lit(0.06), 0.85))
         .when(tool == "run_rppg", silent(True))
         .when(tool == "run_univfd", vote(base))
         .when(tool == "run_xception", vote(_times(base, (grey | compression, 1.25))))
@@ -85,6 +85,25 @@ def routed(evidence: DataFrame, confidence_weighting: bool = False, mode: str =
     return rows.withColumn("contribution", F.col("r.contribution") * damp).withColumn("weight", F.col("r.weight") * damp).withColumn("abstain", F.col("r.abstain")).drop("r")
 
 
+def deviation(votes: Column) -> Column:
+    """Standard deviation of an array of structs (category, slot, x), sorted: x by x inside a category, then over the means of
+    the categories. Thresholds compare it unrounded, so two votes exactly at one fall as they do in this order."""
+    new = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, v: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (v["x"] - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (v["x"] - mean) * (v["x"] - a["mean"])).alias("m2"))
+
+    def join(a: Column, b: Column) -> Column:
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + b["n"] / n * gap).alias("mean"), (b["m2"] + a["m2"] + gap * gap * b["n"] * a["n"] / n).alias("m2"))
+
+    categories = F.array_distinct(F.transform(votes, lambda v: v["category"]))
+    parts = F.transform(categories, lambda c: F.aggregate(F.filter(votes, lambda v: v["category"].eqNullSafe(c)), new, add))
+    return F.aggregate(parts, new, join, lambda a: F.sqrt(a["m2"] / a["n"]))
+
+
 def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "prefer_success", provenance_override: bool = True, strict_reference: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
     """One row for each case: score of authenticity, verdict, conflict, weights, policy boost and override.
 
@@ -109,7 +128,7 @@ def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "
         F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("c"), *[c.alias(n) for n, c in (also or {}).items()],
         total(F.col("weight"), gpu & (weight > 0)).alias("gw"), total(F.col("contribution"), gpu & (weight > 0)).alias("gc"),
         total(F.col("weight"), ~gpu & (weight > 0)).alias("cw"), total(F.col("contribution"), ~gpu & (weight > 0)).alias("cc"),
-        F.count(implied).alias("n_implied"), F.coalesce(F.stddev_pop(implied), F.lit(0.0)).alias("std"),
+        F.sort_array(F.collect_list(F.when(implied.isNotNull(), F.struct("category", "slot", implied.alias("x"))))).alias("votes"),
         F.max(F.when(votes, fake)).alias("strongest"), F.count_if(votes & (fake > d.FAKE_ABOVE) & (conf >= d.SINGLE_CONFIDENCE)).alias("singles"),
         F.slice(F.sort_array(F.collect_list(F.when(dual, fake)), False), 1, 2).alias("top"), F.count_if(dual).alias("duals"),
         F.sum("logit").alias("logit"), F.count("logit").alias("suspects"),
@@ -119,7 +138,7 @@ def fused(evidence: DataFrame, confidence_weighting: bool = False, mode: str = "
         F.coalesce(F.max((F.col("tool") == "check_c2pa") & F.col("success") & F.coalesce("c2pa_verified", F.lit(False))), F.lit(False)).alias("verified"),
         total(F.col("fusion_weight"), visual).alias("vis_total"), total(F.col("plain.weight"), visual & (F.col("plain.weight") > 1e-9)).alias("vis_w"), total(F.col("plain.contribution"), visual & (F.col("plain.weight") > 1e-9)).alias("vis_c"),
     )
-    std = F.when(F.col("n_implied") < 2, 0.0).otherwise(F.col("std"))
+    std = F.when(F.size("votes") < 2, 0.0).otherwise(deviation(F.col("votes")))
     gpu_mean = F.col("gc") / F.col("gw")
     base = F.when(F.col("w") < 1e-9, F.lit(0.5)).when(F.col("gw") > 1e-9, (1 - d.CPU_SHARE) * gpu_mean + d.CPU_SHARE * F.when(F.col("cw") > 1e-9, F.col("cc") / F.col("cw")).otherwise(gpu_mean)).otherwise(F.col("c") / F.col("w"))
     boost = F.when(F.col("singles") > 0, d.SINGLE_BOOST * F.col("strongest")).when(F.col("duals") >= 2, d.MULTI_BOOST * (F.get("top", F.lit(0)) + F.get("top", F.lit(1))) / 2).otherwise(0.0)
