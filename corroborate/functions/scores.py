@@ -11,10 +11,16 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """Rounded half up by the product with a power of ten, as SQL engines do it; ``F.round`` goes by the shortest decimal, so
+    what lies a bit below a tie goes another way."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def rounded(x: Column, digits: int = 4) -> Column:
     """Rounded half up, with a shift far below the last digit: sums that are ties on paper fall on one side whatever the
     order their terms were added in."""
-    return F.round(x + 10.0 ** -(digits + 3), digits)
+    return nearest(x + 10.0 ** -(digits + 3), digits)
 
 
 def to_logit(p: Column) -> Column:
