@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import iou, range_severity, rounded
+from ..functions.scores import iou, nearest, range_severity, rounded
+from . import pairs
 from .tracks import admission
 
 # Ranges and weights of the six checks, gates, landmarks of regions and patches.
@@ -168,9 +169,8 @@ def detections(boxes: DataFrame, key: list[str]) -> DataFrame:
 def nearest_set(tracks: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
     """For each track's box (key, track, x1 ..) the landmark set (key, ord, x1 ..) of its frame that overlaps most, the first of
     equals: (key, track, ord, iou)."""
-    box = lambda t, n: t.select(*key, *[c for c in t.columns if c in ("track", "ord")], F.struct("x1", "y1", "x2", "y2").alias(n))
-    pairs = box(tracks, "a").join(box(sets, "b"), key).withColumn("iou", F.round(iou(F.col("a"), F.col("b")), 6))
-    best = pairs.groupBy(*key, "track").agg(F.max_by(F.struct("ord", "iou"), F.struct("iou", -F.col("ord"))).alias("m"))
+    each = pairs.by_frame(tracks, sets, key, "track", "ord", pairs.best)
+    best = each.groupBy(*key, "track").agg(F.max_by(F.struct("ord", "iou"), F.struct("iou", -F.col("ord"))).alias("m"))
     return best.select(*key, "track", "m.ord", "m.iou")
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import iou, rounded
+from ..functions.scores import rounded
+from . import pairs
 
 
 def longest_runs(boxes: DataFrame) -> DataFrame:
@@ -31,10 +32,9 @@ def as_of(frames: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def overlaps(boxes: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs of tracks that overlap in a frame: (case_id, frame, a, b, iou), by an equi-join on the frame."""
-    box = F.struct("x1", "y1", "x2", "y2")
-    a, b = boxes.select("case_id", "frame", F.col("track").alias("a"), box.alias("p")), boxes.select("case_id", "frame", F.col("track").alias("b"), box.alias("q"))
-    return a.join(b, ["case_id", "frame"]).where("a < b").select("case_id", "frame", "a", "b", F.round(iou(F.col("p"), F.col("q")), 6).alias("iou")).where(F.col("iou") >= least)
+    """Pairs of tracks that overlap in a frame: (case_id, frame, a, b, iou), a < b."""
+    a, b = boxes.select("case_id", "frame", F.col("track").alias("a"), *pairs.BOX), boxes.select("case_id", "frame", F.col("track").alias("b"), *pairs.BOX)
+    return pairs.by_frame(a, b, ["case_id", "frame"], "a", "b", pairs.at_least(least))
 
 
 def coverage(boxes: DataFrame, total_frames: int) -> DataFrame:
