@@ -138,9 +138,7 @@ def rebased_boxes(spark, sf_dir):
 @query
 def unmatched_boxes(spark, sf_dir):
     b = bridge.track_boxes(spark, sf_dir)
-    hit = tracks.overlaps(b, least=0.3)
-    both = hit.select("case_id", "frame", F.col("a").alias("track")).union(hit.select("case_id", "frame", "b"))
-    return faces.unmatched(b, both, ["case_id", "frame", "track"]).select("case_id", "frame", "track")
+    return faces.unmatched(b, ["case_id", "frame"]).select("case_id", "frame", "track")
 
 
 @query

@@ -232,9 +232,14 @@ def rebased(boxes: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("frame", F.col("frame") - F.col("start")).drop("start", "end")
 
 
-def unmatched(boxes: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
-    """Boxes without a match."""
-    return boxes.join(matches.select(*key).distinct(), key, "left_anti")
+def unmatched(boxes: DataFrame, key: list[str], least: float = 0.3) -> DataFrame:
+    """Boxes that overlap with no other track's box of the same key by ``least``. The join leaves a box at its first match."""
+    a, b, box = boxes.alias("a"), boxes.select(*key, "track", *pairs.BOX).alias("b"), lambda t: F.struct(*[F.col(f"{t}.{c}") for c in pairs.BOX])
+    share = iou(box("a"), box("b"))
+    match = (F.col("a.track") != F.col("b.track")) & (share > least - 1e-6) & (nearest(share, 6) >= least)
+    for c in key:
+        match = (F.col(f"a.{c}") == F.col(f"b.{c}")) & match
+    return a.join(b, match, "left_anti")
 
 
 def worst(rows: DataFrame, key: str, score: str = "score", order: str = "face") -> DataFrame:
