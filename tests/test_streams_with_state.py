@@ -1,5 +1,6 @@
 """Streams with state: equal to batch for any cut into micro-batches, late rows, and a restart from a checkpoint."""
 
+import itertools
 import os
 import random
 
@@ -139,3 +140,27 @@ def test_cases_settle_by_time(spark, tmp_path):
         assert {(r.case_id, r.version, r.sign, r.tool) for r in seen} == {("3", 1, 1, "run_dct"), ("4", 1, 1, "run_dct")}
     finally:
         q.stop()
+
+
+def test_assignment_is_best_and_tracks_out_of_sight_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(11)
+    for n, m in ((4, 6), (6, 4), (5, 5)):
+        for _ in range(30):
+            x = rng.random((n, m)) * (rng.random((n, m)) < 0.5)
+            x[rng.integers(n)] = 0.0
+            small = x if n <= m else x.T
+            best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(small.shape[1]), small.shape[0]))
+            pairs = forensic.assign(x, 0.0)
+            assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            if (x > 0).sum(axis=1).max() > 1 or (x > 0).sum(axis=0).max() > 1:
+                assert sum(x[i, j] for i, j in pairs) == pytest.approx(best)
+    seen = []
+    monkeypatch.setattr(forensic, "overlaps", lambda a, b, f=forensic.overlaps: seen.append(b.shape[0]) or f(a, b))
+    t = forensic.Tracker()
+    t.frame(0, np.array([[1000.0 * k, 0, 1000 * k + 50, 50] for k in range(300)]))
+    assert [r[0] for r in t.frame(1, np.array([[2000.0, 2, 2050, 52]]))] == [3] and seen == [0, 1]
+
+
+def test_cases_are_dealt_to_many_tasks(spark):
+    b = spark.createDataFrame([(c, f, 0.0, 0.0, 9.0, 9.0) for c in "abcdefghij" for f in range(3)], BOXES)
+    assert forensic.track(b).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
